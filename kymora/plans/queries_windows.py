@@ -297,7 +297,8 @@ KEYS = {"0train": "T", "1test": "E"}
 def _raw_keys(spark, d):
     t = tables.trials(spark, d)
     key = F.when(F.col("run") == 5, "2extra").when(F.col("session") == "T", "0train").otherwise("1test")
-    return t.drop("session").withColumn("key", F.when((F.col("subject") == 3) & (F.col("run") < 5), "0train").otherwise(key))
+    key = F.when((F.col("subject") == 3) & (F.col("run") < 5), "0train").otherwise(key)
+    return t.withColumn("key", key).drop("session")
 
 
 RAW_SQL = """

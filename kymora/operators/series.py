@@ -38,16 +38,16 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Col
     bucket and shifted by the row count of the buckets before it.
     """
     keys = list(keys)
-    cut = df.withColumn("_b", bucket)
-    counts = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    cut = df.withColumn("_db", bucket)
+    counts = cut.groupBy(*keys, "_db").agg(F.count(F.lit(1)).alias("_dn"))
+    earlier = Window.partitionBy(*keys).orderBy("_db").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_db", F.coalesce(F.sum("_dn").over(earlier), F.lit(0)).alias("_doff"))
+    inside = Window.partitionBy(*keys, "_db").orderBy(*order)
     return (
-        cut.withColumn("_i", F.row_number().over(inside) - 1)
-        .join(offsets, [*keys, "_b"])
-        .withColumn(name, (F.col("_i") + F.col("_off")).cast("bigint"))
-        .drop("_b", "_i", "_off")
+        cut.withColumn("_di", F.row_number().over(inside) - 1)
+        .join(offsets, [*keys, "_db"])
+        .withColumn(name, (F.col("_di") + F.col("_doff")).cast("bigint"))
+        .drop("_db", "_di", "_doff")
     )
 
 

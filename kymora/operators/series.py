@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kymora.session import checkpointed
+from kymora.session import stored
 
 CHUNK_ROWS = 65536
 
@@ -164,14 +164,14 @@ def moving_standardise(
 ) -> DataFrame:
     """Causal standardisation; the first ``block`` samples use their own mean and spread.
 
-    The running mean is checkpointed here, as the variance is built on top of it.
+    The running mean is stored here, as the variance is built on top of it.
     """
     if block < 0 or eps <= 0:
         raise ValueError("block must not be negative and eps must be positive")
     keys = list(keys)
     mean = ewm_mean(df, keys, idx, F.col(value), alpha, "_m").withColumn("_dev", F.col(value) - F.col("_m"))
     # Read twice by the variance: stored once instead of being worked out twice.
-    mean = checkpointed(mean)
+    mean = stored(mean)
     both = ewm_mean(mean, keys, idx, F.col("_dev") * F.col("_dev"), alpha, "_var")
     score = F.col("_dev") / F.greatest(F.lit(eps), F.sqrt(F.greatest(F.col("_var"), F.lit(0.0))))
     if block > 0:
@@ -262,7 +262,7 @@ def ordered_fold(
     def ends_of(data: DataFrame) -> DataFrame:
         return arranged(data).mapInPandas(runner(plain, False), end_schema)
 
-    table = checkpointed(ends_of(base.withColumn("_start", start_zero)).withColumn("_start", start_zero))
+    table = stored(ends_of(base.withColumn("_start", start_zero)).withColumn("_start", start_zero))
     while True:
         # A first chunk starts at zero; any other where its predecessor ended.
         due = F.coalesce(F.lag("_end").over(by_chunk), start_zero)
@@ -272,7 +272,7 @@ def ordered_fold(
             break
         again = base.join(changed.select(*ident, F.col("_due").alias("_start")), ident)
         redone = ends_of(again).join(changed.select(*ident, F.col("_due").alias("_start")), ident)
-        table = checkpointed(
+        table = stored(
             table.join(changed.select(*ident), ident, "left_anti").unionByName(redone.select(table.columns))
         )
     data = base.join(table.select(*ident, "_start"), ident)

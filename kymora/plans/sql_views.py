@@ -55,9 +55,15 @@ SELECT o.o_orderkey AS episode_id, CAST(o.o_custkey%9+1 AS INT) AS subject, o.o_
        median(CASE WHEN l_returnflag<>'R' THEN l_quantity END) AS time_to_target_median
 FROM orders o JOIN lineitem l ON l.l_orderkey=o.o_orderkey
 GROUP BY o.o_orderkey, o.o_custkey, o.o_orderpriority, o.o_orderstatus""",
+    "d_scored": """
+SELECT *, CAST(episode_id%4*125 AS INT) AS latency_ms, 0.25::DOUBLE+0.5::DOUBLE*success_rate AS command_accuracy, CAST(episode_id%4 AS INT) AS bursts_without_command,
+  CASE WHEN episode_id%2=0 THEN 'aware' ELSE 'blind' END AS intent_mode, 1-coalesce(alpha,0)*0.8::DOUBLE+0.01::DOUBLE*(episode_id%7) AS user_contribution_index,
+  CAST(1+episode_id%3 AS DOUBLE) AS window_s, CASE WHEN episode_id%7=0 THEN 'stitched' ELSE 'burst' END AS protocol,
+  CASE episode_id%3 WHEN 0 THEN 'smoothing' WHEN 1 THEN 'jitter' ELSE 'burst' END AS error_struct
+FROM d_episode""",
 }
 
-NEEDS = {"d_argmax": ("d_posterior",), "d_burst": ("d_posterior",)}
+NEEDS = {"d_scored": ("d_episode",), "d_argmax": ("d_posterior",), "d_burst": ("d_posterior",)}
 
 
 def expand(sql: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpointed(df):
-    """Cut lineage through reliable storage, so a lost executor costs nothing."""
+def stored(df):
+    """Write a table to the shared folder and read it back.
+
+    Cuts lineage on reliable storage: what is built on top reads the files, not
+    the plan, and a lost executor costs nothing.  File sizes also tell the
+    planner how big the table is.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys):
+    """Hash-partition few but expensive rows over all tasks.
+
+    An explicit number keeps adaptive execution from packing them into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

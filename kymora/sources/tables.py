@@ -158,3 +158,19 @@ def episodes(spark: SparkSession, folder: str) -> DataFrame:
         (F.least(F.col("n_ok"), F.lit(8)) / 8.0).alias("success_rate"),
         F.col("med").alias("time_to_target_median"),
     )
+
+
+def scored_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Episodes with the further axes and metrics that the report tables read."""
+    i = F.col("episode_id")
+    return episodes(spark, folder).select(
+        "*",
+        (i % 4 * 125).cast("int").alias("latency_ms"),
+        (F.lit(0.25) + 0.5 * F.col("success_rate")).alias("command_accuracy"),
+        (i % 4).cast("int").alias("bursts_without_command"),
+        F.when(i % 2 == 0, "aware").otherwise("blind").alias("intent_mode"),
+        (F.lit(1.0) - F.coalesce("alpha", F.lit(0.0)) * 0.8 + 0.01 * (i % 7)).alias("user_contribution_index"),
+        (i % 3 + 1).cast("double").alias("window_s"),
+        F.when(i % 7 == 0, "stitched").otherwise("burst").alias("protocol"),
+        F.when(i % 3 == 0, "smoothing").when(i % 3 == 1, "jitter").otherwise("burst").alias("error_struct"),
+    )

@@ -183,7 +183,7 @@ def _matrix_function_signed(m: np.ndarray) -> np.ndarray:
     return (q * np.exp(w)) @ q.T
 
 
-def geometric_mean(covs: DataFrame, keys: Sequence[str], p: int, iterations: int = 10, tol: float = 1e-9) -> DataFrame:
+def geometric_mean(covs: DataFrame, keys: Sequence[str], p: int, iterations: int = 10, tol: float = 1e-6) -> DataFrame:
     """Mean of positive-definite matrices per key under the affine-invariant metric.
 
     Each iteration is one aggregate of tangent vectors; only one small matrix

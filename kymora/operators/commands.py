@@ -46,8 +46,12 @@ def _ys(table: Table) -> list[float]:
 
 
 def blend(p: Column, table: Table = DIRECTIONS) -> tuple[Column, Column]:
-    """Probability-weighted sum of the class directions, not normalised."""
-    return V.weighted_sum(p, _xs(table)), V.weighted_sum(p, _ys(table))
+    """Probability-weighted sum of the class directions, not normalised.
+
+    The table is short and constant, so the sum is spelled out and compiled.
+    """
+    total = lambda ws: sum((F.get(p, F.lit(i)).cast("double") * w for i, w in enumerate(ws) if w != 0), F.lit(0.0))
+    return total(_xs(table)), total(_ys(table))
 
 
 def decoded_direction(p: Column, table: Table = DIRECTIONS) -> tuple[Column, Column]:
@@ -76,7 +80,10 @@ def attractive_target(
     Targets are a handful of constants per episode layout, so they are folded
     into the expression rather than joined.
     """
-    bx, by = blend(p, table)
+    return _aim(x, y, *blend(p, table), targets, window_deg)
+
+
+def _aim(x: Column, y: Column, bx: Column, by: Column, targets: Table, window_deg: float) -> Column:
     norm = V.hypot(bx, by)
     scores = []
     for tx, ty in targets:
@@ -131,12 +138,13 @@ def shared_command(
     if intent_mode not in ("aware", "blind"):
         raise ValueError(f"unknown intent mode {intent_mode!r}, expected aware or blind")
     p, x, y = F.col("posterior"), F.col("x"), F.col("y")
-    aim = F.col("target_idx") if intent_mode == "blind" else attractive_target(x, y, p, targets, angular_window_deg, table)
-    user = weighted_command(p, v_max, entropy_scaling, table)
+    bx, by = blend(p, table)
     ready = steps.select(
-        "*", aim.alias("aim"), user[0].alias("_wx"), user[1].alias("_wy"),
-        effective_alpha(p, alpha, alpha_mode, alpha_min, alpha_max).alias("alpha_used"),
+        "*", bx.alias("_bx"), by.alias("_by"), effective_alpha(p, alpha, alpha_mode, alpha_min, alpha_max).alias("alpha_used")
     )
+    scale = (1.0 - V.normalised_entropy(p)) * v_max if entropy_scaling else F.lit(v_max)
+    aim = F.col("target_idx") if intent_mode == "blind" else _aim(x, y, F.col("_bx"), F.col("_by"), targets, angular_window_deg)
+    ready = ready.withColumn("aim", aim).withColumn("_wx", F.col("_bx") * scale).withColumn("_wy", F.col("_by") * scale).drop("_bx", "_by")
     auto = autonomy_command(x, y, F.col("aim"), targets, obstacles, v_max, k_rep, d0)
     ready = ready.withColumn("_ax", auto[0]).withColumn("_ay", auto[1])
     a = F.col("alpha_used")

@@ -116,47 +116,42 @@ def _stitched(trials, session, trial, onset, label, sfreq, window, stride, n, tm
 # --- cutting signal ---
 
 
-def blocks(samples: DataFrame, keys: Sequence[str], idx: str, value: str, rows: int = 1024) -> DataFrame:
-    """Samples packed into fixed blocks: one array of at most ``rows`` values each.
+def blocks(samples: DataFrame, keys: Sequence[str], idx: str, value: str, rows: int = 1024, overlap: int = 0) -> DataFrame:
+    """Samples packed into blocks of ``rows`` values, each followed by the first ``overlap`` of the next.
 
-    Cuts then move one or two arrays per range instead of every sample.
+    A block is a bounded array, so a long series becomes many rows.
     """
-    packed = samples.groupBy(*keys, F.floor(F.col(idx) / rows).alias("block")).agg(
+    if not 0 <= overlap < rows:
+        raise ValueError("the overlap must be shorter than a block")
+    at, own = F.col(idx) % rows, F.floor(F.col(idx) / rows)
+    shared = F.when((at < overlap) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    packed = samples.select(*keys, idx, value, F.explode(shared).alias("block")).groupBy(*keys, "block").agg(
         F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))).alias("_s")
     )
     return packed.select(*keys, "block", F.transform("_s", lambda s: s["v"]).alias("signal"))
 
 
+def block_rows(length: int) -> int:
+    """Block size for cuts of ``length`` samples."""
+    return max(64, 1 << (2 * length - 1).bit_length())
+
+
 def cut(
-    packed: DataFrame, ranges: DataFrame, on: Sequence[str], series_keys: Sequence[str], range_id: str,
-    start: str, length: int, rows: int = 1024,
+    samples: DataFrame, ranges: DataFrame, on: Sequence[str], series_keys: Sequence[str], range_id: str, start: str, length: int,
+    idx: str = "sample_idx", value: str = "value",
 ) -> DataFrame:
     """Signal of every range ``[start, start + length)``, one row per range and series.
 
-    ``on`` are the keys that ranges and blocks share (a subset of
-    ``series_keys``); together with the block number they form the equi-join
-    key of the range join, so a long series is spread over its blocks.
+    ``on`` are the keys that ranges and samples share (a subset of
+    ``series_keys``).  Blocks overlap by one range, so every range lies inside
+    one block: the range join is an equi-join on keys and block number, and a
+    long series is spread over its blocks.
     """
-    first = F.floor(F.col(start) / rows)
-    last = F.floor((F.col(start) + (length - 1)) / rows)
-    wanted = ranges.select(*on, range_id, F.col(start).alias("_start")).withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("_start") / rows), F.floor((F.col("_start") + (length - 1)) / rows)))
-    )
-    from_ = F.greatest(F.col("_start") - F.col("block") * rows, F.lit(0))
-    to = F.least(F.col("_start") + length - F.col("block") * rows, F.lit(rows))
-    pieces = wanted.join(packed, [*on, "block"]).select(
-        *series_keys, range_id, "_start", "block",
-        F.slice("signal", (from_ + 1).cast("int"), (to - from_).cast("int")).alias("_piece"),
-    )
-    # A range touches at most length / rows + 2 blocks, so each group is a handful of arrays.
-    return (
-        pieces.groupBy(*series_keys, range_id, "_start")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "_piece"))).alias("_p"))
-        .select(
-            *series_keys, range_id, F.col("_start").alias(start),
-            F.flatten(F.transform("_p", lambda x: x["_piece"])).alias("signal"),
-        )
-    )
+    rows = block_rows(length)
+    packed = blocks(samples, series_keys, idx, value, rows, length - 1)
+    wanted = ranges.select(*on, range_id, F.col(start).alias("_start")).withColumn("block", F.floor(F.col("_start") / rows))
+    inside = F.slice("signal", (F.col("_start") - F.col("block") * rows + 1).cast("int"), length)
+    return wanted.join(packed, [*on, "block"]).select(*series_keys, range_id, F.col("_start").alias(start), inside.alias("signal"))
 
 
 def slice_window(signal: Column, start: Column, window: int) -> Column:

@@ -9,6 +9,7 @@ from kymora.functions.vectors import rounded
 from kymora.operators import features as FE
 from kymora.operators import posterior as P
 from kymora.plans.registry import query
+from kymora.session import stored
 from kymora.sources import tables
 
 CHANNELS = ("click", "error", "purchase", "signup", "view")
@@ -83,7 +84,7 @@ def spatial_covariance(spark, d):
 @query("tangent_features")
 def tangent_features(spark, d):
     """Tangent vectors at the mean of the first half of each subject's windows."""
-    covs = _covs(spark, d)
+    covs = stored(_covs(spark, d))
     half = covs.groupBy("subject").agg((F.max("window") / 2).alias("_half"))
     train = covs.join(half, "subject").where(F.col("window") <= F.col("_half")).drop("_half")
     ref = FE.geometric_mean(train, ["subject"], 5)

@@ -117,8 +117,7 @@ def extract_windows(spark, d):
     s = tables.samples(spark, d)
     w = W.window_starts(_lengths(spark, d), ["subject", "channel"], "n", 32, 12.5)
     w = w.withColumn("window_id", F.col("start_sample"))
-    packed = W.blocks(s, ["subject", "channel"], "sample_idx", "value")
-    out = W.cut(packed, w, ["subject", "channel"], ["subject", "channel"], "window_id", "start_sample", 32)
+    out = W.cut(s, w, ["subject", "channel"], ["subject", "channel"], "window_id", "start_sample", 32)
     return _summary(out.drop("window_id"))
 
 
@@ -153,8 +152,7 @@ WHERE status='ok' GROUP BY ALL""",
 def epoch_cut(spark, d):
     """Eight samples after every cue, for every channel."""
     ok = _plan(spark, d).where(F.col("status") == "ok")
-    packed = W.blocks(tables.samples(spark, d), ["subject", "channel"], "sample_idx", "value")
-    return _summary(W.cut(packed, ok, ["subject"], ["subject", "channel"], "trial_id", "start_sample", 8))
+    return _summary(W.cut(tables.samples(spark, d), ok, ["subject"], ["subject", "channel"], "trial_id", "start_sample", 8))
 
 
 def _clock(spark, d):

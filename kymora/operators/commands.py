@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from kymora.functions import vectors as V
 from kymora.operators import asof, series
 from kymora.operators.trace import DIRECTIONS
+from kymora.session import stored
 
 MIN_DISTANCE = 1e-6
 Table = Sequence[tuple[float, float]]
@@ -193,7 +194,8 @@ def held_emission(
     """Class held at every step: the last emission stays active for ``hold_s``; -1 otherwise."""
     if hold_s <= 0:
         raise ValueError("hold_s must be positive")
-    fired = emissions.where(F.col("emitted") >= 0).withColumn("_fired", F.col(at))
+    # Stored: the fold behind the emissions would otherwise run for each branch of the scan.
+    fired = stored(emissions.where(F.col("emitted") >= 0).select(*keys, at, "emitted", F.col(at).alias("_fired")))
     out = asof.latest_available(fired, steps, keys, at, now, 0.0, ["emitted", "_fired"], step_columns)
     live = F.coalesce(F.col(now) - F.col("_fired") < hold_s, F.lit(False))
     return out.withColumn("held_class", F.when(live, F.col("emitted")).otherwise(-1)).drop("emitted", "_fired")

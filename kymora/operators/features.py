@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymora.functions import vectors as V
@@ -223,12 +223,11 @@ def mutual_information(rows: DataFrame, features: str, label: str, bins: int = 8
     width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     binned = long.join(ends, "feature").withColumn("bin", F.least(F.floor(width * bins), F.lit(bins - 1)))
     joint = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
-    by_bin = joint.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
-    by_label = joint.groupBy("feature", "label").agg(F.sum("n").alias("nl"))
-    total = joint.groupBy("feature").agg(F.sum("n").alias("nt"))
-    all_ = joint.join(by_bin, ["feature", "bin"]).join(by_label, ["feature", "label"]).join(total, "feature")
+    # The joint table is features x bins x labels: small, so its margins are windows over it.
+    over = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
+    margins = joint.select("feature", "n", over("bin").alias("nb"), over("label").alias("nl"), over().alias("nt"))
     term = F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("nl")))
-    return all_.groupBy("feature").agg(F.sum(term).alias("information"))
+    return margins.groupBy("feature").agg(F.sum(term).alias("information"))
 
 
 def select_top(scores: DataFrame, score: str, index: str, k: int) -> DataFrame:

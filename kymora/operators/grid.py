@@ -187,7 +187,8 @@ def draw_subjects(rows: DataFrame, n_boot: int, seed: int, group: str = "subject
     A subject drawn twice gets two labels, so a model sees two groups.
     """
     levels = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = series.dense_index(levels, [], [group], F.lit(0), "copy").drop("_rows")
+    prefix = F.substring(F.md5(F.col(group).cast("string")), 1, 3)
+    placed = series.dense_index(levels, [], [prefix, group], prefix, "copy").drop("_rows")
     n = levels.agg(F.count(F.lit(1))).scalar()
     slots = placed.select("copy", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("replicate")).withColumn(
         "_pick", F.floor(H.u01(seed, "resample", F.col("replicate"), F.col("copy")) * n)

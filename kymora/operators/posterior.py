@@ -34,16 +34,18 @@ def agreement(df: DataFrame, cell: Sequence[str], truth: str, pred: str) -> Data
     if not cell:
         return agreement(df.withColumn("_all", F.lit(1)), ["_all"], truth, pred).drop("_all")
     matrix = df.groupBy(*cell, F.col(truth).alias("_y"), F.col(pred).alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
-    hits = matrix.groupBy(*cell).agg(
-        F.sum("_n").alias("n"), F.sum(F.when(F.col("_y") == F.col("_z"), F.col("_n")).otherwise(0)).alias("_hit")
+    # One row per cell with its confusion matrix, at most K * K entries.
+    whole = matrix.groupBy(*cell).agg(
+        F.sum("_n").alias("n"),
+        F.sum(F.when(F.col("_y") == F.col("_z"), F.col("_n")).otherwise(0)).alias("_hit"),
+        F.collect_list(F.struct("_y", "_z", "_n")).alias("_m"),
     )
-    rows = matrix.groupBy(*cell, F.col("_y").alias("_k")).agg(F.sum("_n").alias("_row"))
-    cols = matrix.groupBy(*cell, F.col("_z").alias("_k")).agg(F.sum("_n").alias("_col"))
-    chance = rows.join(cols, [*cell, "_k"]).groupBy(*cell).agg(F.sum(F.col("_row") * F.col("_col")).alias("_rc"))
+    column = lambda k: F.aggregate("_m", F.lit(0).cast("bigint"), lambda s, b: s + F.when(b["_z"] == k, b["_n"]).otherwise(0))
+    chance = F.aggregate("_m", F.lit(0).cast("bigint"), lambda s, a: s + a["_n"] * column(a["_y"]))
     po = F.col("_hit") / F.col("n")
-    pe = F.coalesce(F.col("_rc"), F.lit(0)) / (F.col("n").cast("double") * F.col("n"))
-    return hits.join(chance, cell, "left").select(
-        *cell, "n", po.alias("accuracy"), F.when(pe != 1.0, (po - pe) / (1.0 - pe)).alias("kappa")
+    pe = chance / (F.col("n").cast("double") * F.col("n"))
+    return whole.withColumn("_pe", pe).select(
+        *cell, "n", po.alias("accuracy"), F.when(F.col("_pe") != 1.0, (po - F.col("_pe")) / (1.0 - F.col("_pe"))).alias("kappa")
     )
 
 

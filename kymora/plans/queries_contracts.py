@@ -551,7 +551,7 @@ def unmatched_classes(spark, d):
 
 
 DRAW_SQL = f"""
-WITH s AS (SELECT subject, row_number() OVER (ORDER BY subject)-1 AS i FROM (SELECT DISTINCT subject FROM d_episode)),
+WITH s AS (SELECT subject, row_number() OVER (ORDER BY substr(md5(CAST(subject AS VARCHAR)),1,3), subject)-1 AS i FROM (SELECT DISTINCT subject FROM d_episode)),
 n AS (SELECT count(*) AS n FROM s),
 g AS (SELECT r.replicate, s.i AS copy, CAST(floor({u01("77", "'resample'", "replicate", "s.i")}*n) AS BIGINT) AS pick FROM s, n, (SELECT CAST(unnest(range(1,41)) AS INT) AS replicate) r),
 w AS (SELECT replicate, copy, s.subject, s.subject||'_r'||copy AS resampled FROM g JOIN s ON s.i=g.pick)"""

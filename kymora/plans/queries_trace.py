@@ -118,7 +118,7 @@ def _held(spark, d):
     steps = asof.burst_steps(
         tables.posteriors(spark, d).select("subject", "burst_id").distinct(), ["subject", "burst_id"], 0.125, 3.5, 2.0
     ).withColumn("clock", F.col("burst_id") * 8.0 + F.col("now"))
-    return C.held_emission(emitted.drop("burst_id"), steps, ["subject"], "clock", "clock", 0.5, ["burst_id", "step"])
+    return C.held_emission(emitted, steps, ["subject"], "clock", "clock", 0.5, ["burst_id", "step"])
 
 
 @query("emission_hold", HELD_CTE + " SELECT subject, burst_id, step, coalesce(held_class,-1) AS held_class FROM h")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,20 +72,28 @@ def meta_block(episodes: DataFrame, seed: int, synthetic: bool, n_boot: int = 10
 PARTS = ("episodes", "summary", "config")
 
 
-def _run_address(df: DataFrame) -> list[str]:
-    return ["experiment", "run_id"] if {"experiment", "run_id"} <= set(df.columns) else []
+def _published(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/manifest")
+    except AnalysisException:
+        return None
 
 
 def write_run(episodes: DataFrame, summary: DataFrame, config: DataFrame, path: str) -> None:
     """Publish runs: three tables by (experiment, run_id), then one manifest row per run.
 
     The manifest is written last and readers start from it, so a run is either
-    wholly there or not at all.
+    wholly there or not at all.  A publish that broke off can be repeated: it
+    replaces its own folders.  A run that is already published is refused.
     """
     validate_schema(episodes)
+    keys = ["experiment", "run_id"]
+    done = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"))
+    before = _published(episodes.sparkSession, path)
+    if before is not None and done.join(before, keys, "left_semi").limit(1).count():
+        raise FileExistsError(f"{path} already holds one of these runs")
     for name, part in zip(PARTS, (episodes, summary, config), strict=True):
-        part.write.mode("append").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "run_id").parquet(f"{path}/{name}")
-    done = episodes.groupBy("experiment", "run_id").agg(F.count(F.lit(1)).alias("n_episodes"))
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")
     done.write.mode("append").parquet(f"{path}/manifest")
 
 
@@ -94,7 +103,7 @@ def load_run(spark: SparkSession, path: str, experiment: str | None = None) -> d
     for name in (*PARTS, "manifest"):
         try:
             out[name] = spark.read.parquet(f"{path}/{name}")
-        except Exception as error:
+        except AnalysisException as error:
             raise FileNotFoundError(f"{path} has no {name}; is it a run folder?") from error
     manifest = out["manifest"] if experiment is None else out["manifest"].where(F.col("experiment") == experiment)
     keys = manifest.select("experiment", "run_id")

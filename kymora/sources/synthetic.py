@@ -13,7 +13,7 @@ from kymora.operators import series
 def shuffled_index(df: DataFrame, keys: list[str], seed: int, tag: str, ident: str, name: str) -> DataFrame:
     """Position in a hashed order per key; buckets are hash prefixes, so they are even by construction."""
     digest = df.withColumn("_h", F.md5(H.key_text(seed, tag, F.col(ident))))
-    return series.dense_index(digest, keys, ["_h"], F.substring("_h", 1, 3), name).drop("_h")
+    return series.dense_index(digest, keys, ["_h"], F.substring("_h", 1, 4), name).drop("_h")
 
 
 def synthetic_posteriors(

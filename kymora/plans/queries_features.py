@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kymora.functions import vectors as V
@@ -17,40 +18,53 @@ SFREQ = 250.0
 BANDS = ((20.0, 40.0), (40.0, 70.0), (70.0, 100.0))
 
 
-def response_sql():
-    """Impulse response of the first band as a table of constants, from the plain recursion."""
-    zeros, poles, gain = FE.butterworth_bandpass(2, *BANDS[0], SFREQ)
-    n = len(FE.impulse_response(2, *BANDS[0], SFREQ))
-    import numpy as np
+def response_sql(order, bands):
+    """Impulse responses as a table (band, k, h) of constants, from the plain recursion."""
+    parts = []
+    for band, (lo, hi) in enumerate(bands):
+        zeros, poles, gain = FE.butterworth_bandpass(order, lo, hi, SFREQ)
+        n = len(FE.impulse_response(order, lo, hi, SFREQ))
+        b, a = gain * np.real(np.poly(zeros)), np.real(np.poly(poles))
+        h = np.zeros(n)
+        for t in range(n):
+            h[t] = (b[t] if t < len(b) else 0.0) - sum(a[k] * h[t - k] for k in range(1, len(a)) if t - k >= 0)
+        values = ",".join(f"{v!r}" for v in h.tolist())
+        parts.append(f"SELECT CAST({band} AS INT) AS band, unnest(range(0,{n})) AS k, unnest([{values}]::DOUBLE[]) AS h")
+    return " UNION ALL ".join(parts)
 
-    b, a = gain * np.real(np.poly(zeros)), np.real(np.poly(poles))
-    h = np.zeros(n)
-    for t in range(n):
-        h[t] = (b[t] if t < len(b) else 0.0) - sum(a[k] * h[t - k] for k in range(1, len(a)) if t - k >= 0)
-    return "SELECT unnest(range(0," + str(n) + ")) AS k, unnest([" + ",".join(f"{v!r}" for v in h.tolist()) + "]::DOUBLE[]) AS h"
 
+def filtered_sql(order, bands):
+    return f"""WITH r AS ({response_sql(order, bands)}), y AS (SELECT s.subject, s.channel, s.sample_idx, band, sum(h*x.value) AS y
+ FROM d_sample s JOIN r ON r.k<=s.sample_idx JOIN d_sample x ON x.subject=s.subject AND x.channel=s.channel AND x.sample_idx=s.sample_idx-r.k GROUP BY ALL)"""
 
-@query(
-    "band_filter",
-    f"WITH r AS ({response_sql()}) SELECT s.subject, s.channel, s.sample_idx, round(sum(h*x.value),5)+0.0 AS filtered FROM d_sample s JOIN r ON r.k<=s.sample_idx JOIN d_sample x ON x.subject=s.subject AND x.channel=s.channel AND x.sample_idx=s.sample_idx-r.k GROUP BY s.subject, s.channel, s.sample_idx",
-)
+
+SERIES = ["subject", "channel"]
+
+
+def _filtered(spark, d, order, bands):
+    return FE.band_filter(tables.samples(spark, d), SERIES, "sample_idx", "value", sfreq=SFREQ, bands=bands, order=order)
+
+
+@query("band_filter", filtered_sql(2, BANDS[:1]) + " SELECT subject, channel, sample_idx, round(y,5)+0.0 AS filtered FROM y")
 def band_filter(spark, d):
     """Causal second-order band-pass of every series."""
-    out = FE.band_filter(tables.samples(spark, d), ["subject", "channel"], "sample_idx", "value", sfreq=SFREQ, bands=BANDS[:1], order=2)
-    return out.select("subject", "channel", "sample_idx", rounded(F.col("filtered"), 5).alias("filtered"))
+    return _filtered(spark, d, 2, BANDS[:1]).select(*SERIES, "sample_idx", rounded(F.col("filtered"), 5).alias("filtered"))
 
 
-@query("causal_filter_4_to_38")
+@query("causal_filter_4_to_38", filtered_sql(4, [(4.0, 38.0)]) + " SELECT subject, channel, sample_idx, round(y,4)+0.0 AS filtered FROM y")
 def causal_filter_4_to_38(spark, d):
     """The default fourth-order band of 4 to 38 Hz."""
-    return FE.band_filter(tables.samples(spark, d), ["subject", "channel"], "sample_idx", "value", sfreq=SFREQ, bands=[(4.0, 38.0)])
+    return _filtered(spark, d, 4, [(4.0, 38.0)]).select(*SERIES, "sample_idx", rounded(F.col("filtered"), 4).alias("filtered"))
 
 
-@query("band_log_power")
+@query(
+    "band_log_power",
+    filtered_sql(2, BANDS) + " SELECT subject, channel, band, sample_idx//64 AS \"window\", count(*) AS n, round(ln(var_pop(y)),5) AS log_power FROM y GROUP BY ALL",
+)
 def band_log_power(spark, d):
     """Log variance per 64-sample window in three bands."""
-    s = FE.band_filter(tables.samples(spark, d), ["subject", "channel"], "sample_idx", "value", sfreq=SFREQ, bands=BANDS)
-    return FE.band_log_power(s, ["subject", "channel"], "sample_idx", 64)
+    out = FE.band_log_power(_filtered(spark, d, 2, BANDS), SERIES, "sample_idx", 64)
+    return out.select(*SERIES, "band", "window", "n", rounded(F.col("log_power"), 5).alias("log_power"))
 
 
 def _cov_sql():

@@ -203,10 +203,66 @@ def model_moments(spark, d):
     return m.select("grp", "level", "n", *r("sx", "sxx"), *[rounded(F.col(c), 4).alias(c) for c in ("sy", "sxy", "syy")])
 
 
-@query("mixed_model")
+def reml_sql(x, y, source, keys=()):
+    """Random-intercept fit of ``y`` on ``x`` by closed forms for two terms and a narrowing search, unrolled."""
+    k = "".join(f"{c}, " for c in keys)
+    using = f"USING ({', '.join(keys)})" if keys else "ON true"
+    value = "(n-2)*ln(s2)+lg+ln(det)"
+
+    def level(name, points):
+        """Profile values of a table of (keys, i, theta)."""
+        return f"""
+{name}_a AS (SELECT {k}i, theta, sum(n) AS n, count(*) AS ng, sum(n-n*n*theta/(1+n*theta)) AS a11, sum(sx-n*sx*theta/(1+n*theta)) AS a12, sum(sxx-sx*sx*theta/(1+n*theta)) AS a22,
+   sum(sy-n*sy*theta/(1+n*theta)) AS b1, sum(sxy-sx*sy*theta/(1+n*theta)) AS b2, sum(syy-sy*sy*theta/(1+n*theta)) AS q, sum(ln(1+n*theta)) AS lg FROM ({points}) p JOIN st {using} GROUP BY {k}i, theta),
+{name}_b AS (SELECT *, a11*a22-a12*a12 AS det, (a22*b1-a12*b2)/(a11*a22-a12*a12) AS e0, (a11*b2-a12*b1)/(a11*a22-a12*a12) AS e1 FROM {name}_a),
+{name} AS (SELECT *, (q-b1*e0-b2*e1)/(n-2) AS s2 FROM {name}_b),
+{name}_m AS (SELECT {k}arg_min(i, {value}) AS best, min({value}) AS low, arg_min(theta, {value}) AS theta FROM {name} {"GROUP BY " + ", ".join(keys) if keys else ""})"""
+
+    first = "-18.420680743952367::DOUBLE + i*(32.23619130191664::DOUBLE/42)"
+    ids = f"SELECT DISTINCT {', '.join(keys)} FROM st" if keys else "SELECT 1 AS one"
+    text = f"""
+st AS (SELECT {k}subject, CAST(count(*) AS DOUBLE) AS n, sum({x}) AS sx, sum({y}) AS sy, sum({x}*{x}) AS sxx, sum({x}*{y}) AS sxy, sum({y}*{y}) AS syy FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {k}subject),
+ids AS ({ids}),
+{level("z", f"SELECT {k}0 AS i, 0.0::DOUBLE AS theta FROM ids").strip()},
+{level("g0", f"SELECT {k}i, exp({first}) AS theta FROM ids, (SELECT unnest(range(0,43)) AS i)").strip()},
+w0 AS (SELECT {k}{first.replace("i*", "greatest(best-1,0)*")} AS lo, {first.replace("i*", "least(best+1,42)*")} AS hi FROM g0_m)"""
+    for r in range(1, 7):
+        text += f""",
+{level(f"g{r}", f"SELECT {k}i, exp(lo+i*(hi-lo)/24) AS theta FROM w{r - 1}, (SELECT unnest(range(0,25)) AS i)").strip()},
+w{r} AS (SELECT {k}lo+greatest(best-1,0)*(hi-lo)/24 AS lo, lo+least(best+1,24)*(hi-lo)/24 AS hi FROM w{r - 1} JOIN g{r}_m {using})"""
+    chosen = f"SELECT {''.join(f'g6_m.{c} AS {c}, ' for c in keys)}0 AS i, CASE WHEN g6_m.low < z_m.low THEN g6_m.theta ELSE 0 END AS theta FROM g6_m JOIN z_m {using}"
+    text += f""",
+{level("f", chosen).strip()},
+t AS (SELECT {k}'Intercept' AS term, e0 AS estimate, sqrt(s2*a22/det) AS se, CAST(n AS BIGINT) AS n_obs, ng AS n_groups, theta*s2 AS group_var FROM f
+ UNION ALL SELECT {k}'{x}', e1, sqrt(s2*a11/det), CAST(n AS BIGINT), ng, theta*s2 FROM f)"""
+    return text
+
+
+ENDS = "round(estimate-1.959963984540054*se,5)+0.0 AS ci_lo, round(estimate+1.959963984540054*se,5)+0.0 AS ci_hi"
+FIVE = lambda *names: [rounded(F.col(n), 5).alias(n) for n in names]
+RESPONSE = f"s AS (SELECT *, {LOGIT} AS response FROM d_scored)"
+
+
+@query(
+    "mixed_model",
+    "WITH " + RESPONSE + "," + reml_sql("kappa_offline", "response", "s") + f" SELECT term, round(estimate,5)+0.0 AS estimate, round(se,5) AS se, {ENDS}, n_obs, n_groups, round(group_var,5) AS group_var FROM t",
+)
 def mixed_model(spark, d):
-    """Random-intercept fit of the response on kappa, intervals and p-values."""
-    return M.fit_mixed(_modelled(spark, d), M.Design("kappa_offline"), "response")
+    """Random-intercept fit of the response on kappa, with intervals."""
+    out = M.fit_mixed(_modelled(spark, d), M.Design("kappa_offline"), "response")
+    return out.select("term", *FIVE("estimate", "se", "ci_lo", "ci_hi"), "n_obs", "n_groups", *FIVE("group_var"))
+
+
+@query(
+    "mixed_model_of_contribution",
+    "WITH s AS (SELECT *, user_contribution_index+0.02::DOUBLE*subject AS response FROM d_scored)," + reml_sql("success_rate", "response", "s")
+    + f" SELECT term, round(estimate,5)+0.0 AS estimate, round(se,5) AS se, {ENDS}, n_obs, n_groups, round(group_var,5) AS group_var FROM t",
+)
+def mixed_model_of_contribution(spark, d):
+    """The same fit on a response whose level differs between subjects, so the group variance is not zero."""
+    e = EP(spark, d).withColumn("response", F.col("user_contribution_index") + 0.02 * F.col("subject"))
+    out = M.fit_mixed(e, M.Design("success_rate"), "response")
+    return out.select("term", *FIVE("estimate", "se", "ci_lo", "ci_hi"), "n_obs", "n_groups", *FIVE("group_var"))
 
 
 @query("interaction_model")
@@ -237,21 +293,34 @@ def trade_off_applies(spark, d):
     return M.trade_off_applies(EP(spark, d), "effective_acc", "mapping")
 
 
-@query("slope_by_autonomy")
+SLOPES = "WITH " + RESPONSE + ", sa AS (SELECT * FROM s WHERE alpha IS NOT NULL)," + reml_sql("kappa_offline", "response", "sa", ("alpha",)) + """,
+sp AS (SELECT alpha, count(response) AS n, stddev_samp(response) AS sd FROM sa GROUP BY alpha),
+lv AS (SELECT sp.alpha, sp.n, sd, estimate, estimate-1.959963984540054*se AS lo, estimate+1.959963984540054*se AS hi FROM sp JOIN t ON t.alpha=sp.alpha AND term='kappa_offline')"""
+
+
+@query(
+    "slope_by_autonomy",
+    SLOPES + " SELECT alpha, n, round(sd,5) AS response_sd, round(estimate,5)+0.0 AS slope, round(lo,5)+0.0 AS ci_lo, round(hi,5)+0.0 AS ci_hi, sd<1e-6 AS saturated, lo<=0 AND hi>=0 AS includes_zero FROM lv",
+)
 def slope_by_autonomy(spark, d):
     """Kappa slope at every autonomy level and whether its interval holds zero."""
-    return M.slope_by_level(_modelled(spark, d), "response")
+    out = M.slope_by_level(_modelled(spark, d), "response")
+    return out.select("alpha", "n", *FIVE("response_sd", "slope", "ci_lo", "ci_hi"), "saturated", "includes_zero")
 
 
-@query("autonomy_crossing")
+@query("autonomy_crossing", SLOPES + " SELECT min(CASE WHEN lo<=0 AND hi>=0 THEN alpha END) AS alpha_star, count(*) AS n_levels FROM lv")
 def autonomy_crossing(spark, d):
     return M.crossing(M.slope_by_level(_modelled(spark, d), "response"))
 
 
-@query("contribution_guard")
+@query(
+    "contribution_guard",
+    "WITH " + reml_sql("alpha", "user_contribution_index", "d_scored").strip() + f" SELECT term, round(estimate,5)+0.0 AS estimate, round(se,5) AS se, {ENDS}, n_obs, n_groups, round(group_var,5) AS group_var FROM t",
+)
 def contribution_guard(spark, d):
     """User contribution against autonomy."""
-    return M.guard_fit(_modelled(spark, d))
+    out = M.guard_fit(_modelled(spark, d))
+    return out.select("term", *FIVE("estimate", "se", "ci_lo", "ci_hi"), "n_obs", "n_groups", *FIVE("group_var"))
 
 
 @query("model_report")

@@ -115,8 +115,13 @@ def ring_position(index: Column, n: int, radius: float = 1.0) -> tuple[Column, C
 
 
 def pick_const(index: Column, values: Sequence[float]) -> Column:
-    """Constant lookup by a zero-based index."""
-    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int"))
+    """Constant lookup by a zero-based index; null for a null index.
+
+    The index is tested here: a lookup in an array of constants is taken to be
+    never null, whatever its index is.
+    """
+    found = F.element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int"))
+    return F.when(index.isNotNull(), found)
 
 
 def rounded(c: Column, places: int = 6) -> Column:

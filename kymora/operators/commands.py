@@ -81,19 +81,22 @@ def attractive_target(
     Targets are a handful of constants per episode layout, so they are folded
     into the expression rather than joined.
     """
-    return _aim(x, y, *blend(p, table), targets, window_deg)
+    return _best_within(_alignments(x, y, *blend(p, table), targets), window_deg)
 
 
-def _aim(x: Column, y: Column, bx: Column, by: Column, targets: Table, window_deg: float) -> Column:
+def _alignments(x: Column, y: Column, bx: Column, by: Column, targets: Table) -> Column:
+    """Cosine between the intent and the way to each target; -2 where there is no way or no intent."""
     norm = V.hypot(bx, by)
     scores = []
     for tx, ty in targets:
         dx, dy = F.lit(tx) - x, F.lit(ty) - y
         d = V.hypot(dx, dy)
         scores.append(F.when((d > MIN_DISTANCE) & (norm > MIN_DISTANCE), (dx * bx + dy * by) / (d * norm)).otherwise(F.lit(-2.0)))
-    best = F.array(*scores)
-    enough = F.array_max(best) >= math.cos(math.radians(window_deg))
-    return F.when((norm > MIN_DISTANCE) & enough, V.argmax_class(best))
+    return F.array(*scores)
+
+
+def _best_within(alignments: Column, window_deg: float) -> Column:
+    return F.when(F.array_max(alignments) >= math.cos(math.radians(window_deg)), V.argmax_class(alignments))
 
 
 def repulsion(x: Column, y: Column, obstacles: Table, k_rep: float, d0: float) -> tuple[Column, Column]:
@@ -108,14 +111,14 @@ def repulsion(x: Column, y: Column, obstacles: Table, k_rep: float, d0: float) -
 
 
 def autonomy_command(
-    x: Column, y: Column, target: Column, targets: Table, obstacles: Table, v_max: float, k_rep: float, d0: float
+    x: Column, y: Column, tx: Column, ty: Column, obstacles: Table, v_max: float, k_rep: float, d0: float
 ) -> tuple[Column, Column]:
-    """Pull to the target plus pushes from obstacles, shortened to the speed limit."""
-    dx, dy = V.pick_const(target, _xs(targets)) - x, V.pick_const(target, _ys(targets)) - y
+    """Pull to the target at ``(tx, ty)``, if any, plus pushes from obstacles, shortened to the speed limit."""
+    dx, dy = tx - x, ty - y
     n = V.hypot(dx, dy)
-    pull = lambda c: F.when(target.isNotNull() & (n > MIN_DISTANCE), c / n * v_max).otherwise(0.0)
+    pull = lambda c: F.when(n > MIN_DISTANCE, c / n * v_max).otherwise(0.0)
     rx, ry = repulsion(x, y, obstacles, k_rep, d0)
-    return V.clip_to(pull(dx) + rx, pull(dy) + ry, v_max)
+    return pull(dx) + rx, pull(dy) + ry
 
 
 def effective_alpha(p: Column, alpha: Column | float, mode: str, alpha_min: float, alpha_max: float) -> Column:
@@ -144,16 +147,26 @@ def shared_command(
         "*", bx.alias("_bx"), by.alias("_by"), effective_alpha(p, alpha, alpha_mode, alpha_min, alpha_max).alias("alpha_used")
     )
     scale = (1.0 - V.normalised_entropy(p)) * v_max if entropy_scaling else F.lit(v_max)
-    aim = F.col("target_idx") if intent_mode == "blind" else _aim(x, y, F.col("_bx"), F.col("_by"), targets, angular_window_deg)
-    ready = ready.withColumn("aim", aim).withColumn("_wx", F.col("_bx") * scale).withColumn("_wy", F.col("_by") * scale).drop("_bx", "_by")
-    auto = autonomy_command(x, y, F.col("aim"), targets, obstacles, v_max, k_rep, d0)
-    ready = ready.withColumn("_ax", auto[0]).withColumn("_ay", auto[1])
+    # Each stage is a column of its own, so the compiled expressions stay small.
+    if intent_mode == "blind":
+        ready = ready.withColumn("aim", F.col("target_idx"))
+    else:
+        ready = ready.withColumn("_al", _alignments(x, y, F.col("_bx"), F.col("_by"), targets))
+        ready = ready.withColumn("aim", _best_within(F.col("_al"), angular_window_deg)).drop("_al")
+    ready = ready.select(
+        "*", (F.col("_bx") * scale).alias("_wx"), (F.col("_by") * scale).alias("_wy"),
+        V.pick_const(F.col("aim"), _xs(targets)).alias("_tx"), V.pick_const(F.col("aim"), _ys(targets)).alias("_ty"),
+    ).drop("_bx", "_by")
+    fx, fy = autonomy_command(x, y, F.col("_tx"), F.col("_ty"), obstacles, v_max, k_rep, d0)
+    ready = ready.withColumn("_fx", fx).withColumn("_fy", fy)
+    ax, ay = V.clip_to(F.col("_fx"), F.col("_fy"), v_max)
+    ready = ready.withColumn("_ax", ax).withColumn("_ay", ay)
     a = F.col("alpha_used")
     both = V.clip_to(a * F.col("_ax") + (1 - a) * F.col("_wx"), a * F.col("_ay") + (1 - a) * F.col("_wy"), v_max)
     return (
         ready.withColumn("ux", F.when(a == 0, F.col("_wx")).otherwise(both[0]))
         .withColumn("uy", F.when(a == 0, F.col("_wy")).otherwise(both[1]))
-        .drop("_wx", "_wy", "_ax", "_ay")
+        .drop("_wx", "_wy", "_tx", "_ty", "_fx", "_fy", "_ax", "_ay")
     )
 
 

@@ -51,15 +51,15 @@ def band_filter(spark, d):
     return _filtered(spark, d, 2, BANDS[:1]).select(*SERIES, "sample_idx", rounded(F.col("filtered"), 5).alias("filtered"))
 
 
-@query("causal_filter_4_to_38", filtered_sql(4, [(4.0, 38.0)]) + " SELECT subject, channel, sample_idx, round(y,4)+0.0 AS filtered FROM y")
+@query("causal_filter_4_to_38", filtered_sql(4, [(4.0, 38.0)]) + " SELECT subject, channel, sample_idx, round(y,3)+0.0 AS filtered FROM y")
 def causal_filter_4_to_38(spark, d):
     """The default fourth-order band of 4 to 38 Hz."""
-    return _filtered(spark, d, 4, [(4.0, 38.0)]).select(*SERIES, "sample_idx", rounded(F.col("filtered"), 4).alias("filtered"))
+    return _filtered(spark, d, 4, [(4.0, 38.0)]).select(*SERIES, "sample_idx", rounded(F.col("filtered"), 3).alias("filtered"))
 
 
 @query(
     "band_log_power",
-    filtered_sql(2, BANDS) + " SELECT subject, channel, band, sample_idx//64 AS \"window\", count(*) AS n, round(ln(var_pop(y)),5) AS log_power FROM y GROUP BY ALL",
+    filtered_sql(2, BANDS) + " SELECT subject, channel, band, sample_idx//64 AS \"window\", count(*) AS n, round(CASE WHEN var_pop(y)>0 THEN ln(var_pop(y)) END,5) AS log_power FROM y GROUP BY ALL",
 )
 def band_log_power(spark, d):
     """Log variance per 64-sample window in three bands."""

@@ -159,7 +159,7 @@ ENTROPY = "(-(" + "+".join(f"CASE WHEN p{i}>1e-12 THEN p{i}*ln(p{i}) ELSE 0 END"
 
 @query(
     "weighted_entropy_command",
-    f"SELECT window_id, round({ENTROPY},6) AS entropy, round(0.15*(p1-p0)*(1-{ENTROPY}),6) AS ux, round(0.15*(p3-p2)*(1-{ENTROPY}),6) AS uy FROM d_posterior",
+    f"SELECT window_id, round({ENTROPY},6) AS entropy, round(0.15*(p1-p0)*(1-{ENTROPY}),6)+0.0 AS ux, round(0.15*(p3-p2)*(1-{ENTROPY}),6)+0.0 AS uy FROM d_posterior",
 )
 def weighted_entropy_command(spark, d):
     out = C.apply_mapping("s2_weighted_entropy", tables.posteriors(spark, d))
@@ -314,7 +314,7 @@ def clip_speed(spark, d):
 
 @query(
     "unit_directions",
-    "SELECT event_id, round(vx/sqrt(vx*vx+vy*vy),6)+0.0 AS ux, round(vy/sqrt(vx*vx+vy*vy),6)+0.0 AS uy, sqrt(vx*vx+vy*vy)>1e-9 AS usable FROM d_trace",
+    "SELECT event_id, CASE WHEN sqrt(vx*vx+vy*vy)>1e-9 THEN round(vx/sqrt(vx*vx+vy*vy),6)+0.0 ELSE 0.0 END AS ux, CASE WHEN sqrt(vx*vx+vy*vy)>1e-9 THEN round(vy/sqrt(vx*vx+vy*vy),6)+0.0 ELSE 0.0 END AS uy, sqrt(vx*vx+vy*vy)>1e-9 AS usable FROM d_trace",
 )
 def unit_directions(spark, d):
     ux, uy = V.unit(F.col("vx"), F.col("vy"))

@@ -170,3 +170,14 @@ def test_clip_keeps_the_heading(spark):
     assert (r["x"], r["y"]) == (pytest.approx(0.3), pytest.approx(0.4))
     with pytest.raises(ValueError):
         V.clip_to(F.lit(1.0), F.lit(1.0), 0.0)
+
+
+def test_constant_lookup_of_a_null_index(spark):
+    df = spark.createDataFrame([(1,), (None,)], "i int")
+    assert [r["v"] for r in df.select(V.pick_const(F.col("i"), [5.0, 6.0]).alias("v")).collect()] == [6.0, None]
+
+
+def test_no_aim_leaves_repulsion_only(spark):
+    df = posteriors(spark, [[0.25] * 4]).withColumn("x", F.lit(0.2)).withColumn("y", F.lit(0.0))
+    r = C.shared_command(df, V.ring(8), [(0.0, 0.0)], alpha=1.0).first()
+    assert r["aim"] is None and r["uy"] == 0.0 and r["ux"] == pytest.approx(0.02 * (1 / 0.2 - 1 / 0.35))

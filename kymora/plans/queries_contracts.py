@@ -80,25 +80,25 @@ def _damaged(spark, d):
     w = F.col("window_id")
     scaled = F.transform("posterior", lambda v: (v * 1.1).cast("float"))
     rows = p.select(
-        w.alias("window_id"), "subject", "burst_id",
+        w.alias("window_id"), "subject", F.when(F.col("burst_id") % 23 == 5, F.col("burst_id") + 1000000).otherwise(F.col("burst_id")).alias("burst_id"),
         F.when(w % 53 == 0, -1).otherwise(F.col("label")).alias("label"),
         (F.col("t_rel") - F.when(w % 31 == 3, 0.5).otherwise(0.0)).alias("t_rel"),
         F.when(w % 37 == 0, scaled).otherwise(F.col("posterior")).alias("posterior"),
     )
-    b = tables.bursts(spark, d).where(F.col("burst_id") % 23 != 5)
+    b = tables.bursts(spark, d)
     return rows, b.withColumn("burst_offset", F.when(F.col("burst_id") % 19 == 4, F.col("burst_onset") - 1).otherwise(F.col("burst_offset")))
 
 
 @query(
     "posterior_problems",
     """
-WITH r AS (SELECT *, t_rel - CASE WHEN window_id%31=3 THEN 0.5 ELSE 0 END AS t FROM d_posterior),
-g AS (SELECT *, max(NULL) OVER (), lag(t) OVER (PARTITION BY subject, burst_id ORDER BY window_id) AS before FROM r)
+WITH r AS (SELECT * REPLACE (CASE WHEN burst_id%23=5 THEN burst_id+1000000 ELSE burst_id END AS burst_id), t_rel - CASE WHEN window_id%31=3 THEN 0.5 ELSE 0 END AS t FROM d_posterior),
+g AS (SELECT *, lag(t) OVER (PARTITION BY subject, burst_id ORDER BY window_id) AS before FROM r)
 SELECT subject, burst_id, window_id, 'not a distribution' AS rule FROM r WHERE window_id%37=0
 UNION ALL SELECT subject, burst_id, window_id, 'label out of range' FROM r WHERE window_id%53=0
 UNION ALL SELECT subject, burst_id, window_id, 'time not increasing' FROM g WHERE t<=before
-UNION ALL SELECT subject, burst_id, window_id, 'unknown burst' FROM r WHERE burst_id%23=5
-UNION ALL SELECT subject, burst_id, CAST(NULL AS BIGINT), 'burst ends before it starts' FROM d_burst WHERE burst_id%19=4 AND burst_id%23<>5""".replace("max(NULL) OVER (), ", ""),
+UNION ALL SELECT subject, burst_id, window_id, 'unknown burst' FROM r WHERE burst_id>=1000000
+UNION ALL SELECT subject, burst_id, CAST(NULL AS BIGINT), 'burst ends before it starts' FROM d_burst WHERE burst_id%19=4""",
 )
 def posterior_problems(spark, d):
     return PS.problems(*_damaged(spark, d))
@@ -499,11 +499,12 @@ def feature_checks(spark, d):
 
 @query(
     "labels_contiguous",
-    "SELECT subject, session, count(DISTINCT class) AS n_classes, max(class) AS top, min(class)=0 AND max(class)+1=count(DISTINCT class) AS contiguous FROM d_trial WHERE NOT (subject=2 AND class=1) GROUP BY ALL",
+    "SELECT subject, session, count(DISTINCT class) AS n_classes, max(class) AS top, min(class)=0 AND max(class)+1=count(DISTINCT class) AS contiguous FROM (SELECT subject, session, CASE WHEN subject=2 AND class=1 THEN 0 ELSE class END AS class FROM d_trial) GROUP BY ALL",
 )
 def labels_contiguous(spark, d):
     """Labels must run from zero without a hole; subject 2 gets one here."""
-    t = tables.trials(spark, d).where(~((F.col("subject") == 2) & (F.col("class") == 1)))
+    hole = (F.col("subject") == 2) & (F.col("class") == 1)
+    t = tables.trials(spark, d).withColumn("class", F.when(hole, 0).otherwise(F.col("class")))
     n = F.countDistinct("class")
     return t.groupBy("subject", "session").agg(
         n.alias("n_classes"), F.max("class").alias("top"), ((F.min("class") == 0) & (F.max("class") + 1 == n)).alias("contiguous")

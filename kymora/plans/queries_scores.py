@@ -72,14 +72,12 @@ def condition_estimates(spark, d):
 
 @query(
     "few_subjects_estimates",
-    "WITH s AS (SELECT * FROM d_episode WHERE subject<=CASE WHEN mapping='1-URGENT' THEN 2 ELSE 5 END), " + estimate_sql("e", ["mapping"], ("success_rate",), "s").strip()
-    + " SELECT mapping, round(mean,6) AS mean, round(sd,6) AS sd, n_subjects, round(ci_lo,6) AS ci_lo, round(ci_hi,6) AS ci_hi, ci_note FROM e",
+    "WITH m AS (" + means_sql(["mapping"], ("success_rate",), "d_episode") + ") SELECT mapping, round(avg(mean),6) AS mean, round(stddev_samp(mean),6) AS sd, count(*) AS n_subjects, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi, count(*)||' subject(s); a between-subject interval needs at least 10' AS ci_note FROM m GROUP BY mapping",
 )
 def few_subjects_estimates(spark, d):
-    """A condition with two subjects gets a reason instead of an interval."""
-    e = tables.episodes(spark, d).where(F.col("subject") <= F.when(F.col("mapping") == "1-URGENT", 2).otherwise(5))
-    means = SC.subject_means(SC.subject_sums(e, ["mapping"], ("success_rate",)), ["mapping"], ("success_rate",))
-    return SC.estimates(means, ["mapping"]).select("mapping", *r("mean", "sd"), "n_subjects", *r("ci_lo", "ci_hi"), "ci_note")
+    """Nine subjects where ten are asked for: a reason instead of an interval."""
+    means = SC.subject_means(SC.subject_sums(tables.episodes(spark, d), ["mapping"], ("success_rate",)), ["mapping"], ("success_rate",))
+    return SC.estimates(means, ["mapping"], min_subjects=10).select("mapping", *r("mean", "sd"), "n_subjects", *r("ci_lo", "ci_hi"), "ci_note")
 
 
 AX = ("mapping", "decoder", "quality_level", "alpha")
@@ -107,14 +105,15 @@ def score_blocks(spark, d):
 
 @query(
     "varying_axes",
-    "SELECT * FROM (VALUES ('mapping'),('decoder'),('quality_level'),('alpha'),('intent_mode'),('protocol'),('window_s'),('latency_ms'),('error_struct')) t(axis) JOIN LATERAL (SELECT CASE axis "
+    "WITH v0 AS (SELECT * REPLACE ('burst' AS protocol, 2.0 AS window_s, CAST(NULL AS VARCHAR) AS intent_mode) FROM d_scored) SELECT * FROM (VALUES ('mapping'),('decoder'),('quality_level'),('alpha'),('intent_mode'),('protocol'),('window_s'),('latency_ms'),('error_struct')) t(axis) JOIN LATERAL (SELECT CASE axis "
     + " ".join(
-        f"WHEN '{a}' THEN (SELECT count(DISTINCT {a})+max(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END) > 1 FROM d_scored WHERE decoder='P')" for a in SC.CELL_AXES
+        f"WHEN '{a}' THEN (SELECT count(DISTINCT {a})+max(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END) > 1 FROM v0)" for a in SC.CELL_AXES
     ) + " END AS varies) v ON true",
 )
 def varying_axes(spark, d):
-    """Axes that vary among the episodes of one decoder."""
-    return SC.axis_variation(EP(spark, d).where(F.col("decoder") == "P")).select("axis", "varies")
+    """Axes that vary; protocol, window and intent mode are held fixed or missing."""
+    e = EP(spark, d).withColumn("protocol", F.lit("burst")).withColumn("window_s", F.lit(2.0))
+    return SC.axis_variation(e.withColumn("intent_mode", F.lit(None).cast("string"))).select("axis", "varies")
 
 
 CAND = ("success_rate", "time_to_target_median", "effective_acc", "user_contribution_index")

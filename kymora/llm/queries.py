@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import packing, token_counts
+from kymora.llm import dart_minhash, packing, secret_links, string_kernel, substring_dedup, token_counts
 from kymora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query()
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query()
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.find_secrets(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    digest = F.sha2(F.encode(secret_links.listed(F.col("base")), "UTF-8"), 256)
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), digest.alias("base_sha256"), secret_links.listed(F.col("spans")).alias("spans"))
+
+
+@query()
+def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = string_kernel.fit(docs.filter(~string_kernel.held_out("doc_id")))
+    return string_kernel.predict(docs, model).select("doc_id", string_kernel.held_out("doc_id").alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,8 @@ at their first common boundary.  Where none is found, the overlap is widened (an
 chunk with it) and only those documents are encoded again.
 
 A boundary counts as proven in the left chunk only if it lies ``margin`` characters
-before its end, so that look-ahead and added tokens cut off there cannot matter.
+before its end, so that look-ahead and added tokens cut off there cannot matter; where
+the chunk ends with the text nothing is cut off.
 """
 
 from __future__ import annotations
@@ -65,8 +66,13 @@ def cut(chunk: int, overlap: int):
                     [
                         pa.array([b.column(c)[i].as_py()] * n, pa.int64()) for c in ("doc_id", "n_bytes", "row")
                     ]
-                    + [pa.array(range(n), pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array([text[s : s + chunk + overlap] for s in starts], pa.string())],
-                    ["doc_id", "n_bytes", "row", "chunk", "last", "part"],
+                    + [
+                        pa.array(range(n), pa.int32()),
+                        pa.array([k == n - 1 for k in range(n)]),
+                        pa.array([s + chunk + overlap >= len(text) for s in starts]),
+                        pa.array([text[s : s + chunk + overlap] for s in starts], pa.string()),
+                    ],
+                    ["doc_id", "n_bytes", "row", "chunk", "last", "ends", "part"],
                 )
 
     return run
@@ -82,11 +88,13 @@ def edges(path: str, chunk: int, overlap: int):
             got = enc.encode(parts, ids=False)
             first = np.searchsorted(got.text, np.arange(len(parts) + 1))
             out: list[list] = [[], [], [], []]
+            ends = b.column("ends").to_pylist()
             for i, part in enumerate(parts):
+                sure = len(part) - (0 if ends[i] else enc.margin)  # nothing is cut off at the end of the text
                 start, count = got.start[first[i] : first[i + 1]], got.count[first[i] : first[i + 1]]
                 before = np.cumsum(count) - count
                 head = start < overlap
-                tail = (start >= chunk) & (start <= len(part) - enc.margin)
+                tail = (start >= chunk) & (start <= sure)
                 for o, x in zip(out, (start[head], before[head], start[tail] - chunk, before[tail]), strict=True):
                     o.append(x)
             lists = [pa.array(o, pa.list_(pa.int64())) for o in out]
@@ -136,13 +144,13 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     base = "doc_id bigint, n_bytes bigint, row bigint, chunk int, last boolean"
     lists = "total bigint, head array<bigint>, head_n array<bigint>, tail array<bigint>, tail_n array<bigint>"
     while True:
-        chunks = long.mapInArrow(cut(chunk, overlap), f"{base}, part string").repartition(n, "row", "chunk")
+        chunks = long.mapInArrow(cut(chunk, overlap), f"{base}, ends boolean, part string").repartition(n, "row", "chunk")
         seams = stored(spliced(chunks.mapInArrow(edges(path, chunk, overlap), f"{base}, {lists}")), "seams")
         good = seams.filter(~F.col("failed")).select("doc_id", "n_bytes", "n_tokens", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
         result = result.unionByName(good.select("doc_id", "n_bytes", "n_tokens"))
         bad = seams.filter("failed").select("row")
         if bad.isEmpty():
             return result
-        long = long.join(bad, "row", "left_semi").select(*long.columns)
+        long = stored(long.join(bad, "row", "left_semi").select(*long.columns), "widened")
         overlap *= 4
         chunk = max(chunk, overlap)

@@ -113,12 +113,15 @@ class Rolling:
 
 
 class Words:
-    """Words of UTF-8 texts: maximal stretches without space and without U+0009 to U+000D."""
+    """Words of UTF-8 texts: maximal stretches without gap bytes, by default space and U+0009 to U+000D."""
 
-    def __init__(self, seeds: tuple[int, ...] = (11, 29)) -> None:
+    def __init__(self, seeds: tuple[int, ...] = (11, 29), gaps: bytes = b" \t\n\v\f\r", fold: bool = False) -> None:
         self.rolls = [Rolling(s, 256) for s in seeds]
         self.gap = np.zeros(256, bool)
-        self.gap[[32, 9, 10, 11, 12, 13]] = True
+        self.gap[list(gaps)] = True
+        self.fold = np.arange(256, dtype=np.uint8)
+        if fold:  # A-Z count as a-z
+            self.fold[65:91] += 32
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """(bytes, document of each word, start, end, hashes); start and end are byte places."""
@@ -137,7 +140,7 @@ class Words:
         doc = np.searchsorted(cuts, starts, side="right") - 1
         hashes = []
         for r in self.rolls:
-            hashes.append(splitmix(r.of(r.prefix(data), starts, ends) ^ (ends - starts).astype(U64)))
+            hashes.append(splitmix(r.of(r.prefix(self.fold[data]), starts, ends) ^ (ends - starts).astype(U64)))
         return data, doc, starts, ends, hashes
 
 

@@ -13,9 +13,11 @@ number of darts that depends on ``k`` alone (T. Christiani, 2020).
 
 Grouping: equal texts are one node.  Nodes that share a band of values meet in a
 bucket.  In each bucket every node is compared with one pivot, exactly; components of
-these links are formed; a second pass with another pivot and a last pass over the
-pairs that still cross components make the grouping complete for the candidates,
-without ever listing the pairs of a group that is already one component.
+these links are formed, and a second pass takes another pivot.  Buckets that still hold
+several components are then compared in full, in blocks: the members outside the
+bucket's largest component against all members, as one product of bag matrices per
+pair of blocks, which returns only links that join components.  So the grouping is
+complete for the candidates, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymora.llm.common import U64, Rolling, Words, documents, slices, splitmix, stored, unit
+from kymora.llm.common import U64, Rolling, Words, documents, slices, splitmix, stored, tasks, unit
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 BASE = -6  # ranks below 2**BASE are one region
 SEED = 0xDA27
+MEMBERS = 256  # of a bucket in one block
 
 
 @functools.lru_cache(1)
@@ -167,12 +170,14 @@ def compare(threshold: float, shingle: int):
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component of links (a, b).
 
-    Alternating large and small stars (Kiveris and others, 2014); each turn is two
-    aggregations and joins on tables, and ends when the links no longer change.
+    Alternating large and small stars (Kiveris and others, 2014): each turn is a few
+    aggregations and joins on tables, until every node hangs on one smallest node.
     """
     edges = stored(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
     while True:
+        twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        if twice.union(edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -180,19 +185,107 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("a"), F.col("m").alias("b")).union(joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = stored(small.distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after more links (a, b), which are first lifted to components."""
+    if labels is None:
+        return stored(components(links), "labels")
+
+    def lifted(df: DataFrame, c: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(c), F.col("component").alias("up"))
+        return df.join(own, c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
+
+    above = stored(components(lifted(lifted(links.select("a", "b"), "a"), "b")), "labels")
+    old = labels.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    new = above.join(labels.select("node"), "node", "left_anti")
+    return stored(old.select("node", F.coalesce("top", "component").alias("component")).union(new.select("node", "component")), "labels")
+
+
+def elements(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, element): a shingle that occurs n times is n elements, so set overlap is bag overlap."""
+    doc, s, count = bags(column, shingle)
+    turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(doc, count), splitmix(np.repeat(s, count) + turn.astype(U64))
+
+
+def joining(threshold: float, shingle: int):
+    """Arrow map over rows sorted by (band, p, q): links that join components, of each pair of blocks."""
+
+    def links_of(rows: pa.RecordBatch, doc: np.ndarray, element: np.ndarray) -> list[tuple[bytes, bytes]]:
+        left = np.array(rows.column("left").to_pylist(), bool)
+        if left.all() or not left.any():
+            return []
+        n = rows.num_rows
+        size = np.bincount(doc, minlength=n)
+        _, slot, count = np.unique(element, return_inverse=True, return_counts=True)
+        shared = count[slot] > 1
+        _, slot = np.unique(slot[shared], return_inverse=True)
+        x = np.zeros((n, int(slot.max()) + 1 if len(slot) else 1), np.float32)
+        x[doc[shared], slot] = 1
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        both = np.rint(x[a] @ x[b].T).astype(np.int64)
+        good = (both > 0) & (both >= threshold * (size[a][:, None] + size[b][None, :] - both) - 1e-9)
+        node, component = rows.column("node").to_pylist(), rows.column("component").to_pylist()
+        top: dict[bytes, bytes] = {}
+
+        def find(c: bytes) -> bytes:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(good), strict=True):
+            one, two = find(component[a[i]]), find(component[b[j]])
+            if one != two:
+                top[max(one, two)] = min(one, two)
+                out.append((node[a[i]], node[b[j]]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the group that may go on
+
+        def solved(group: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
+            doc, element = elements(group.column("text"), shingle)
+            keys = list(zip(*(group.column(c).to_pylist() for c in ("band", "p", "q")), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            first = np.searchsorted(doc, cuts)
+            out = []
+            for k in range(len(cuts) - 1):
+                here = slice(first[k], first[k + 1])
+                out += links_of(group.slice(cuts[k], cuts[k + 1] - cuts[k]), doc[here] - cuts[k], element[here])
+            return out
+
+        def batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for b in slices(batches, "text", 1 << 21):
+            if held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in ("band", "p", "q")):
+                yield batch(solved(joined_rows(held)))
+                held = []
+            last = b.num_rows - 1
+            while last and all(b.column(c)[last - 1] == b.column(c)[last] for c in ("band", "p", "q")):
+                last -= 1
+            if last:
+                yield batch(solved(joined_rows([*held, b.slice(0, last)])))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield batch(solved(joined_rows(held)))
+
+    return run
+
+
+def joined_rows(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, class_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, node, class_id, first) for every row of ``docs`` (doc_id, text).
 
     ``node`` is a digest of the text, ``class_id`` the smallest doc_id of its class:
-    the texts connected by similarities of at least ``threshold``.  Equal texts are
-    one node.  A text of one to four words is one shingle.  Null and blank texts have
+    the texts connected by similarities of at least ``threshold``.  ``first`` marks the
+    rows of the document that names the class.  Equal texts are one node.  A text of one to four words is one shingle.  Null and blank texts have
     no shingles: each keeps its own doc_id as class (so blank texts with equal ids
     share it).  Repeated rows get a row each; a null doc_id is a member but never
     names a class, unless it has nothing else (null).  Other columns are ignored; an
@@ -215,29 +308,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         pivots = members.groupBy("band").agg(pivot(F.struct("node", "size", *(["component"] if "component" in members.columns else []))).alias("p"))
         return members.join(pivots, "band").select(members["*"], F.col("p.node").alias("other"), F.col("p.size").alias("o_size"), *([F.col("p.component").alias("o_component")] if "component" in members.columns else []))
 
-    links = stored(verified(against_pivot(met, F.min).filter(fits & (F.col("node") != F.col("other")))), "links")
+    labels = merged(None, verified(against_pivot(met, F.min).filter(fits & (F.col("node") != F.col("other")))))
 
-    def open_buckets(links: DataFrame) -> DataFrame:
+    def open_buckets() -> DataFrame:
         """Members of buckets that still hold several components."""
-        labelled = met.join(components(links), "node", "left").select("node", "size", "band", F.coalesce("component", "node").alias("component"))
+        labelled = met.join(labels, "node", "left").select("node", "size", "band", F.coalesce("component", "node").alias("component"))
         mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
         return stored(labelled.join(mixed.select("band"), "band", "left_semi"), "buckets")
 
-    left = open_buckets(links)
-    crossing = F.col("component") != F.col("o_component")
-    links = stored(links.union(verified(against_pivot(left, F.max).filter(fits & crossing))), "links")
-    left = open_buckets(links)
-    sizes = left.groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top")).select("band", F.col("top.component").alias("top"))
-    few = left.join(largest, "band").filter("component != top")
-    other = left.select("band", F.col("node").alias("other"), F.col("size").alias("o_size"), F.col("component").alias("o_component"))
-    links = links.union(verified(few.join(other, "band").filter(fits & crossing)))
-    label = components(links)
-    members = signed.select("doc_id", "node", "size").join(label, "node", "left")
+    labels = merged(labels, verified(against_pivot(open_buckets(), F.max).filter(fits & (F.col("component") != F.col("o_component")))))
+    labels = merged(labels, in_full(open_buckets(), texts, threshold, shingle))
+    members = signed.select("doc_id", "node", "size").join(labels, "node", "left")
     members = members.select("doc_id", "node", F.when(F.col("size") > 0, F.coalesce("component", "node")).alias("component"))
-    names = members.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "node")).alias("least")
+    names = members.filter(F.col("component").isNotNull()).groupBy("component").agg(least)
     named = members.join(names, "component", "left")
-    return named.select("doc_id", "node", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    alone = F.col("component").isNull()
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node"))
+    return named.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), (alone | first).alias("first"))
+
+
+def in_full(members: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Links (a, b) that join components of members (node, size, band, component) of one band, all pairs compared in blocks."""
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"))
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    bands = bands.select("band", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("n_p"), blocks(F.col("all")).alias("n_q"))
+    full = members.join(bands, "band").join(texts, "node")
+    h = F.xxhash64("node")
+    out = lambda p, q, left: [F.col("band"), p.alias("p"), q.alias("q"), F.lit(left).alias("left"), F.col("node"), F.col("component"), F.col("text")]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = full.filter("component != top").withColumn("other", every("n_q")).select(*out(F.pmod(h, F.col("n_p")).cast("int"), F.col("other"), True))
+    rest = full.withColumn("other", every("n_p")).select(*out(F.col("other"), F.pmod(h, F.col("n_q")).cast("int"), False))
+    dealt = few.union(rest).repartition(tasks(members.sparkSession), "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return dealt.mapInArrow(joining(threshold, shingle), "a binary, b binary")
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import dart_minhash, packing, secret_links, string_kernel, substring_dedup, token_counts
+from kymora.llm import ann_forest, bm25_wand, dart_minhash, packing, piece_sampling, secret_links, string_kernel, substring_dedup, token_counts, url_graph
 from kymora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,39 @@ def query(sql: str | None = None):
     return add
 
 
+def sql_url_graph(steps: int = 24) -> str:
+    """Rules and both spreads, step by step; masses are whole units, so that both sides are equal."""
+    u = url_graph
+    fits = " UNION ALL ".join(
+        f"SELECT i, {len(h + p)} AS len, '{h + p}' AS rule, '{v}' AS ruled FROM p WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, v in u.RULES
+    )
+    parts = []
+    for name, seed, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+        parts.append(f"{name}0 AS (SELECT host, (({u.UNIT} * {seed}) // pages) * {100 - u.DAMPING} // 100 AS mass FROM seed)")
+        parts.append(f"{name}f AS (SELECT {src} AS src, {dst} AS dst, n, sum(n) OVER (PARTITION BY {src}) AS alln FROM edge)")
+        for k in range(1, steps):
+            moved = f"SELECT f.dst AS host, sum(((s.mass * {u.DAMPING} // 100) * f.n // f.alln)) AS mass FROM {name}{k - 1} s JOIN {name}f f ON f.src = s.host WHERE s.mass > 0 GROUP BY 1"
+            parts.append(f"{name}{k} AS MATERIALIZED ({moved})")
+        every = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(steps))
+        parts.append(f"{name} AS (SELECT host, sum(mass) AS mass FROM ({every}) GROUP BY 1)")
+    link = u.LINK.replace("'", "''")
+    return f"""
+WITH a AS (SELECT row_number() OVER () AS i, page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT i, page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+fit AS (SELECT i, arg_max(rule, struct_pack(len, rule)) AS rule, arg_max(ruled, struct_pack(len, rule)) AS ruled FROM ({fits}) GROUP BY i),
+j AS (SELECT p.*, rule, ruled FROM p LEFT JOIN fit USING (i)),
+l AS (SELECT DISTINCT i, host AS src, translate(regexp_extract(target, '//([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}') AS dst
+  FROM (SELECT i, host, unnest(regexp_extract_all(html, '{link}', 1)) AS target FROM j WHERE host <> '')),
+edge AS (SELECT src, dst, count(*) AS n FROM l WHERE dst <> '' AND src <> dst GROUP BY 1, 2),
+seed AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM j WHERE host <> '' GROUP BY 1),
+{", ".join(parts)}
+SELECT page_id, j.host, path, rule,
+  coalesce(ruled, CASE WHEN coalesce(d.mass, 0) >= {u.LEAST} AND coalesce(d.mass, 0) > coalesce(t.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(t.mass, 0)::BIGINT AS trust, coalesce(d.mass, 0)::BIGINT AS distrust
+FROM j LEFT JOIN t ON t.host = j.host LEFT JOIN d ON d.host = j.host"""
+
+
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,3 +99,44 @@ def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = string_kernel.fit(docs.filter(~string_kernel.held_out("doc_id")))
     return string_kernel.predict(docs, model).select("doc_id", string_kernel.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query(sql_url_graph())
+def op2_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    back = piece_sampling.decode(piece_sampling.encode(docs, path, keep=("text",)), path)
+    ids = F.array_join("ids", " ")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.crc32(F.encode(ids, "UTF-8")).alias("ids_crc32"), same.alias("lossless"))
+
+
+def sql_bm25() -> str:
+    from kymora.llm.bm25_wand import DIGITS, K1, B
+
+    return f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_graph.UPPER}', '{url_graph.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+l AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1),
+g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents) AS mean),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * ({K1} + 1)::DOUBLE / (tf + {K1} * (1 - {B} + {B} * dl::DOUBLE / mean)))), {DIGITS}) AS score
+  FROM p q JOIN p USING (term) JOIN f USING (term) JOIN l ON l.doc_id = p.doc_id CROSS JOIN g
+  WHERE q.doc_id % 100 = 0 AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+@query(sql_bm25())
+def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_wand.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)

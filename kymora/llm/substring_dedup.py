@@ -220,11 +220,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first_probe: int = FIR
     while lengths[-1] < window:
         lengths.append(min(2 * lengths[-1], window))
     n = tasks(docs.sparkSession)
-    base = documents(docs, *keep)
+    more = [c for c in keep if c not in ("doc_id", "text")]
+    base = documents(docs, *more)
     base = base.withColumn("d", F.coalesce("doc_id", F.lit(LOW))).withColumn("r", F.xxhash64("d", "text"))
     firsts = base.filter(F.col("text").isNotNull()).groupBy(F.md5("text").alias("node")).agg(F.min(F.struct("d", "r")).alias("x"))
     firsts = firsts.select(F.col("x.r").alias("r"), F.lit(True).alias("first")).distinct()
-    texts = base.select("doc_id", *keep, "d", "r", "text")
+    texts = base.select("doc_id", *more, "d", "r", "text")
     kept, before = None, None
     for length in lengths[:-1]:
         source = texts if kept is None else texts.join(kept, "r")

@@ -130,7 +130,7 @@ p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
 l AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1),
 g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents) AS mean),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * ({K1} + 1)::DOUBLE / (tf + {K1} * (1 - {B} + {B} * dl::DOUBLE / mean)))), {DIGITS}) AS score
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (p.tf * ({K1} + 1)::DOUBLE / (p.tf + {K1} * (1 - {B} + {B} * dl::DOUBLE / mean)))), {DIGITS}) AS score
   FROM p q JOIN p USING (term) JOIN f USING (term) JOIN l ON l.doc_id = p.doc_id CROSS JOIN g
   WHERE q.doc_id % 100 = 0 AND p.doc_id <> q.doc_id GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)

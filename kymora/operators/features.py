@@ -183,26 +183,32 @@ def _matrix_function_signed(m: np.ndarray) -> np.ndarray:
     return (q * np.exp(w)) @ q.T
 
 
-def geometric_mean(covs: DataFrame, keys: Sequence[str], p: int, iterations: int = 10, tol: float = 1e-6) -> DataFrame:
+def geometric_mean(covs: DataFrame, keys: Sequence[str], p: int, tol: float = 1e-6) -> DataFrame:
     """Mean of positive-definite matrices per key under the affine-invariant metric.
 
     Each iteration is one aggregate of tangent vectors; only one small matrix
-    per key is stored between iterations.
+    per key is stored between iterations.  It ends when every step is below ``tol``.
+    Steps of a spread that is too wide need not shrink; where the largest step has not
+    become smaller ten times running, this is an error and not an answer.
     """
     keys, m = list(keys), len(pairs(p))
     covs = stored(covs)  # read once per iteration
     mean_of = lambda c: F.array(*[F.avg(F.col(c)[i]) for i in range(m)])
     ref = stored(covs.groupBy(*keys).agg(mean_of("cov").alias("ref")))
     log_at, step = _log_at(p), _step_along(p)
-    for _ in range(iterations):
+    least, worse = float("inf"), 0
+    while True:
         tangent = covs.join(ref, keys).select(*keys, "ref", log_at("cov", "ref").alias("_t"))
         moved = tangent.groupBy(*keys).agg(F.first("ref").alias("ref"), mean_of("_t").alias("_d"))
         size = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, v: a + v * v))
         new = stored(moved.select(*keys, step("ref", "_d").alias("ref"), size.alias("_size")))
         ref = new.select(*keys, "ref")
-        if new.agg(F.max("_size")).first()[0] < tol:
-            break
-    return ref
+        largest = new.agg(F.max("_size")).first()[0]
+        if largest is None or largest < tol:
+            return ref
+        least, worse = (largest, 0) if largest < least else (least, worse + 1)
+        if worse == 10:
+            raise ArithmeticError(f"the mean does not settle: the largest step stays at {least:.3g}")
 
 
 def tangent_features(covs: DataFrame, reference: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
@@ -300,9 +306,11 @@ def fit_logistic(train: DataFrame, features: str, label: str, c: float = 1.0, ma
 def score_logistic(rows: DataFrame, model, features: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = rows.withColumn("features", array_to_vector(F.transform(F.col(features), lambda v: v.cast("double"))))
+    # the model reads and adds columns of its own, so the rows travel in one struct
+    data = rows.select(F.struct("*").alias("row"), array_to_vector(F.transform(F.col(features), lambda v: v.cast("double"))).alias("features"))
     out = model.transform(data)
-    return out.withColumn("posterior", V.as_float(vector_to_array("probability"))).drop("features", "rawPrediction", "probability", "prediction")
+    kept = [F.col("row")[c].alias(c) for c in rows.columns if c != "posterior"]
+    return out.select(*kept, V.as_float(vector_to_array("probability")).alias("posterior"))
 
 
 # --- decoders by name ---
@@ -336,6 +344,3 @@ def decode_with_udf(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray]
 
     return rows.withColumn("posterior", run(F.col(features)))
 
-
-def has_posterior(df: DataFrame) -> Column:
-    return V.is_distribution(F.col("posterior"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +18,7 @@ METRICS = (
 CELL_AXES = (
     "mapping", "decoder", "quality_level", "alpha", "intent_mode", "protocol", "window_s", "latency_ms", "error_struct",
 )
-IN_ROW_SUBJECTS = 512
+ROW_DRAWS = 8192  # draws in one row
 
 
 def _clean(df: DataFrame, name: str) -> Column:
@@ -88,83 +85,44 @@ def subject_means(sums: DataFrame, cell: Sequence[str], metrics: Sequence[str],
     return long.select(*keys, F.col("x.metric").alias("metric"), (F.col("x.s") / F.col("x.n")).alias("mean"), F.col("x.n").alias("n"))
 
 
-def _uniform(digest: Column, offset: Column) -> Column:
-    return F.conv(F.substr(digest, offset, F.lit(8)), 16, 10).cast("double") / F.lit(H.SCALE)
-
-
-def _placed(means: DataFrame, keys: Sequence[str], draw_key: Sequence, subject: str) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy(subject)
-    return means.select(
-        *keys, "mean", (F.row_number().over(order) - 1).alias("_slot"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_of"),
-        H.key_text(*draw_key).alias("_draw"),
+def _placed(means: DataFrame, keys: Sequence[str], draw_key: Sequence) -> DataFrame:
+    """Per group, its subject means in the order of the subjects, and the text its draws are keyed by."""
+    return means.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_subject", "mean"))), lambda s: s["mean"]).alias("_v"),
+        F.first(H.key_text(*draw_key)).alias("_draw"),
     )
 
 
-def _ends_in_row(placed: DataFrame, keys: Sequence[str], n_boot: int, ci: float) -> DataFrame:
-    """Intervals of small groups: the subject means travel as one short array.
+def _replicate_mean(rep: Column, draw: Column, values: Column) -> Column:
+    """Mean of one replicate; a digest names the draws of four slots."""
+    n = F.size(values)
 
-    All replicates of a group are one NumPy lookup; a digest serves four slots.
-    """
-    low = (1.0 - ci) / 2.0
+    def picked(slot: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", draw, rep.cast("string"), F.floor(slot / 4).cast("string")))
+        u = F.conv(F.substring(digest, slot % 4 * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(H.SCALE)
+        return F.get(values, F.floor(u * n).cast("int"))
 
-    @F.pandas_udf("struct<lo double, hi double>")
-    def ends(draw: pd.Series, values: pd.Series) -> pd.DataFrame:
-        out = []
-        for key, v in zip(draw, values, strict=True):
-            n, blocks = len(v), -(-len(v) // 4)
-            raw = b"".join(
-                hashlib.md5(f"{key}|{rep}|{b}".encode()).digest() for rep in range(1, n_boot + 1) for b in range(blocks)
-            )
-            u = np.frombuffer(raw, dtype=">u4").reshape(n_boot, blocks * 4)[:, :n] / H.SCALE
-            means = np.asarray(v)[np.floor(u * n).astype(np.int64)].mean(axis=1)
-            out.append(np.quantile(means, [low, 1.0 - low]))
-        return pd.DataFrame(out, columns=["lo", "hi"]) if out else pd.DataFrame({"lo": [], "hi": []}, dtype="float64")
-
-    groups = placed.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_slot", "mean"))), lambda s: s["mean"]).alias("_v"),
-        F.first("_draw").alias("_draw"),
-    )
-    return spread(groups, *[F.col(k) for k in keys]).select(*keys, ends("_draw", "_v").alias("_q")).select(
-        *keys, F.col("_q.lo").alias("ci_lo"), F.col("_q.hi").alias("ci_hi")
-    )
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, slot: a + picked(slot)) / n
 
 
-def _replicates_by_join(placed: DataFrame, keys: Sequence[str], n_boot: int) -> DataFrame:
-    """Replicate means of large groups: every draw is a row that meets its subject in an equi-join."""
-    slots = (
-        placed.select(*keys, "_slot", "_of", "_draw")
-        .repartition(*[F.col(k) for k in keys], F.col("_slot"))
-        .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    )
-    digest = F.md5(F.concat_ws("|", F.col("_draw"), F.col("_rep").cast("string"), F.floor(F.col("_slot") / 4).cast("string")))
-    u = _uniform(digest, (F.col("_slot") % 4 * 8 + 1).cast("int"))
-    picked = slots.withColumn("_pick", F.floor(u * F.col("_of")).cast("int")).alias("a").join(
-        placed.select(*keys, F.col("_slot").alias("_pick"), "mean").alias("b"),
-        [*[F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.col("a._pick") == F.col("b._pick")],
-    )
-    grouped = picked.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._rep").alias("_rep"))
-    return grouped.agg(F.avg("b.mean").alias("_m")).drop("_rep")
-
-
-def bootstrap(
-    means: DataFrame, keys: Sequence[str], n_boot: int, ci: float, draw_key: Sequence, subject: str = "subject",
-    in_row: int = IN_ROW_SUBJECTS,
-) -> DataFrame:
+def bootstrap(means: DataFrame, keys: Sequence[str], n_boot: int, ci: float, draw_key: Sequence, subject: str = "subject") -> DataFrame:
     """Percentile interval of the mean over resampled subjects, per group.
 
-    Draws are hashed from the group, the replicate and the slot, so both ways
-    of computing them give the same replicates.  Groups of at most ``in_row``
-    subjects work on a short array; larger ones spread their draws as rows.
+    Draws are hashed from the group, the replicate and the slot.  A group is the array
+    of its subject means, one number per subject; its replicates are dealt to rows of
+    ROW_DRAWS draws, so a group of many subjects is more rows and not a longer one.
     """
     keys = list(keys)
-    placed = _placed(means, keys, draw_key, subject).where(F.col("_of") > 1)
-    out = _ends_in_row(placed.where(F.col("_of") <= in_row), keys, n_boot, ci)
-    if placed.where(F.col("_of") > in_row).limit(1).count():
-        low = (1.0 - ci) / 2.0
-        large = _replicates_by_join(placed.where(F.col("_of") > in_row), keys, n_boot)
-        q = large.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(low), F.lit(1.0 - low))).alias("_q"))
-        out = out.unionByName(q.select(*keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi")))
-    return out
+    groups = _placed(means.withColumn("_subject", F.col(subject)), keys, draw_key).where(F.size("_v") > 1)
+    per_row = F.greatest(F.lit(1), F.floor(F.lit(ROW_DRAWS) / F.size("_v"))).cast("int")
+    dealt = groups.withColumn("_from", F.explode(F.sequence(F.lit(1), F.lit(n_boot), per_row)))
+    to = F.least(F.col("_from") + per_row - 1, F.lit(n_boot))
+    rows = spread(dealt, *[F.col(k) for k in keys], F.col("_from"))
+    means_of = F.transform(F.sequence(F.col("_from"), to), lambda r: _replicate_mean(r, F.col("_draw"), F.col("_v")))
+    drawn = rows.select(*keys, F.explode(means_of).alias("_m"))
+    low = (1.0 - ci) / 2.0
+    ends = drawn.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(low), F.lit(1.0 - low))).alias("_q"))
+    return ends.select(*keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
 def estimates(

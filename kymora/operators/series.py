@@ -202,8 +202,7 @@ def ordered_fold(
     state is held.  Chunks of one series first start from the zero state, and
     those whose predecessor ended elsewhere run again until no start changes,
     so the result is the sequential one while long series use many tasks.
-    Series that fit in a chunk need one pass.  The chunk table is evaluated
-    here (one small row per chunk).
+    The chunk table is evaluated here (one small row per chunk).
     """
     keys, inputs = list(keys), list(inputs)
     ident = [*keys, "_c"]
@@ -251,11 +250,6 @@ def ordered_fold(
         [*[base.schema[c] for c in plain], *[T.StructField(name, kind) for name, kind in out_fields]]
     )
 
-    chunked = base.where(F.col("_c") > 0).limit(1).count() > 0
-    if not chunked:
-        data = base.withColumn("_start", start_zero)
-        return arranged(data).mapInPandas(runner(plain, True), out_schema).drop("_c")
-
     end_schema = T.StructType([*key_fields, T.StructField("_end", state_type)])
     by_chunk = Window.partitionBy(*keys).orderBy("_c")
 

@@ -22,8 +22,16 @@ def split_problems(trials: DataFrame, subject: str = "subject") -> DataFrame:
     return per.where((F.col("n_train") == 0) | (F.col("n_test") == 0) | (F.col("n_unknown") > 0))
 
 
-def train_test(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the train session and of the test session."""
+def train_test(trials: DataFrame, check: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of the train session and of the test session.
+
+    With ``check`` a table with rows of any other session is refused.
+    """
+    if check:
+        other = trials.where(F.col("session").isNull() | ~F.col("session").isin(N.TRAIN_SESSION, N.TEST_SESSION))
+        bad = other.select("session").distinct().limit(5).collect()
+        if bad:
+            raise ValueError(f"unknown sessions {sorted(str(r[0]) for r in bad)}")
     return trials.where(F.col("session") == N.TRAIN_SESSION), trials.where(F.col("session") == N.TEST_SESSION)
 
 

@@ -164,16 +164,20 @@ def median_time(outcomes: DataFrame, key: str = "episode_id") -> DataFrame:
 
 
 def summarise(outcomes: DataFrame, trace: DataFrame, n_targets: int, dt: float, key: str = "episode_id") -> DataFrame:
-    """Every metric of an episode from its outcomes and its trace."""
+    """Every metric of an episode from its outcomes and its trace.
+
+    An episode that has only one of the two keeps its row, with nulls for the rest;
+    ``has_outcomes`` and ``has_trace`` tell which it has.
+    """
     first = outcome_metrics(
         outcomes, n_targets, key, ["n_success", "n_timeouts", "collisions", "success_rate", "path_efficiency"]
-    ).join(median_time(outcomes, key), key)
+    ).join(median_time(outcomes, key), key, "left").withColumn("has_outcomes", F.lit(True))
     uci, left_out = contribution(F.col("decoder_update") & F.col("has_command"))
     second = trace.groupBy(key).agg(
         (F.count(F.lit(1)) * F.lit(dt)).alias("episode_duration_s"),
         uci.alias("user_contribution_index"),
         left_out.alias("uci_excluded_frac"),
-    ).join(mean_reversals(trace, key=key), key)
-    both = first.join(second, key)
+    ).join(mean_reversals(trace, key=key), key, "left").withColumn("has_trace", F.lit(True))
+    both = first.join(second, key, "full").fillna(False, ["has_outcomes", "has_trace"])
     rate = F.least(F.col("success_rate"), F.lit(1.0))
     return both.withColumn("effective_itr", X.information_rate(rate, n_targets, F.col("episode_duration_s")))

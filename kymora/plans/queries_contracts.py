@@ -215,25 +215,77 @@ def _episode_rows(spark, d):
         F.col("success_rate").alias("command_accuracy"), (F.col("success_rate") * 8).alias("n_success"), (i % 3).alias("n_timeouts"),
         (F.col("success_rate") * 40.0).alias("effective_itr"), (i % 4).alias("bursts_without_command"), (i % 5 + 100.0).alias("wall_time_s"),
     )
-    return RN.episode_frame(full, G.variant_table(spark, VARIANTS))
+    return RN.episode_frame(full, G.variant_table(spark, VARIANTS), missing="keep")
 
 
 EP_SQL = CELL_SQL + f""",
 w AS (SELECT * FROM (VALUES ('burst_w1000',1.0::FLOAT,0.25::FLOAT),('burst_w2000',2.0::FLOAT,0.25::FLOAT),('stitched_w2000',2.0::FLOAT,0.5::FLOAT)) t(variant, window_s, stride_s)),
-ep AS (SELECT v.*, w.window_s, w.stride_s, {EXPERIMENT_SQL} AS experiment FROM v JOIN w USING (variant))"""
+ep AS (SELECT v.*, w.window_s, w.stride_s, {EXPERIMENT_SQL} AS experiment FROM v LEFT JOIN w USING (variant))"""
 
 
 @query(
     "episode_table",
     EP_SQL + """ SELECT experiment, subject::TINYINT AS subject, decoder, mapping, quality_level::FLOAT AS quality_level, alpha::FLOAT AS alpha, window_s, stride_s,
- (episode_id%2*250)::SMALLINT AS latency_ms, protocol, kappa_offline::FLOAT AS kappa_offline, success_rate::FLOAT AS success_rate, (success_rate*8)::TINYINT AS n_success, time_to_target_median::FLOAT AS time_to_target_median, count(*) AS n
+ (episode_id%2*250)::SMALLINT AS latency_ms, protocol, kappa_offline::FLOAT AS kappa_offline, success_rate::FLOAT AS success_rate, (success_rate*8)::TINYINT AS n_success, time_to_target_median::FLOAT AS time_to_target_median,
+ CASE WHEN variant IN (SELECT variant FROM w) THEN 'ok' ELSE 'no variant' END AS variant_status, count(*) AS n
  FROM ep GROUP BY ALL""",
 )
 def episode_table(spark, d):
-    """Episode table in contract order and types, counted over its distinct rows."""
+    """Episode table in contract order and types, counted over its distinct rows; no episode is left out."""
     cols = ["experiment", "subject", "decoder", "mapping", "quality_level", "alpha", "window_s", "stride_s", "latency_ms", "protocol",
             "kappa_offline", "success_rate", "n_success", "time_to_target_median"]
-    return _episode_rows(spark, d).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("window_s").isNull(), "no variant").otherwise("ok").alias("variant_status")
+    return _episode_rows(spark, d).groupBy(*cols, status).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "cells_without_variant_refused",
+    CELL_SQL + " SELECT variant, count(*) AS n, true AS refused FROM v WHERE variant NOT IN (SELECT variant FROM h) GROUP BY variant",
+)
+def cells_without_variant_refused(spark, d):
+    """An episode table is refused while cells name a variant that is not described; here are the cells."""
+    cells, variants = _cells(spark, d), G.variant_table(spark, VARIANTS)
+    try:
+        RN.episode_frame(G.with_variant(cells), variants)
+        refused = False
+    except ValueError:
+        refused = True
+    return G.unreachable(cells, variants).groupBy("variant").agg(F.count(F.lit(1)).alias("n")).withColumn("refused", F.lit(refused))
+
+
+STORE_SQL = SET_SQL + """ SELECT subject, decoder, session, {hash} AS cfg_hash, count(*) AS n_windows, round(sum(t_rel),3) AS t_rel FROM c {where} GROUP BY ALL"""
+
+
+def _store_counts(spark, path):
+    back = PS.read_posteriors(spark, path, validate=True)
+    return back.groupBy("subject", "decoder", "session", "cfg_hash").agg(
+        F.count(F.lit(1)).alias("n_windows"), rounded(F.sum(F.col("t_rel").cast("double")), 3).alias("t_rel")
+    )
+
+
+@query("store_grows_by_address", STORE_SQL.format(hash="'00112233'", where=""))
+def store_grows_by_address(spark, d):
+    """Datasets written in steps to one store; a hash of digits stays text, and a second write of an address is refused."""
+    path = scratch(spark, "store")
+    rows, bursts = _dataset(spark, d).withColumn("cfg_hash", F.lit("00112233")), tables.bursts(spark, d)
+    for part in (F.col("subject") < 4, F.col("subject") >= 4):
+        PS.write_posteriors(rows.where(part), bursts.where(part), path)
+    try:
+        PS.write_posteriors(rows.where("subject = 1"), bursts.where("subject = 1"), path)
+    except FileExistsError:
+        return _store_counts(spark, path)
+    raise AssertionError("an address that exists was written again")
+
+
+@query("store_replaces_one_address", STORE_SQL.format(hash="'0a1b2c3d'", where="WHERE subject<>2 OR session<>'T' OR burst_id%4=0"))
+def store_replaces_one_address(spark, d):
+    """A forced write replaces the addresses it brings and no others."""
+    path = scratch(spark, "store")
+    rows, bursts = _dataset(spark, d), tables.bursts(spark, d)
+    PS.write_posteriors(rows, bursts, path)
+    part = (F.col("subject") == 2) & (F.col("session") == "T") & (F.col("burst_id") % 4 == 0)
+    PS.write_posteriors(rows.where(part), bursts.where("subject = 2"), path, force=True)
+    return _store_counts(spark, path)
 
 
 @query(
@@ -417,7 +469,7 @@ def variant_keys(spark, d):
 @query(
     "direction_permutations",
     """WITH k AS (SELECT episode_id, k FROM d_episode, (SELECT unnest(range(0,4)) AS k))
-SELECT episode_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY md5('1337|'||episode_id||'|'||k)) AS direction_perm, true AS valid FROM k GROUP BY episode_id""",
+SELECT episode_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY md5('1337|'||episode_id||'|'||k)) AS direction_perm, list_sort(list(k))=[0,1,2,3] AS valid FROM k GROUP BY episode_id""",
 )
 def direction_permutations(spark, d):
     """Class-to-direction table of every episode, drawn from its content."""
@@ -433,8 +485,7 @@ def band_edges(spark, d):
     """Values per 4-wide band between 4 and 40."""
     b = G.band_of(F.col("value"), 4.0, 40.0, 4.0)
     n = tables.read(spark, d, "events").groupBy(b.alias("band")).agg(F.count(F.lit(1)).alias("n")).where(F.col("band").isNotNull())
-    edges = G.band_edges(4.0, 40.0, 4.0)
-    return n.select("band", V.pick_const(F.col("band"), [e[0] for e in edges]).alias("low"), V.pick_const(F.col("band"), [e[1] for e in edges]).alias("high"), "n")
+    return n.join(G.band_table(spark, 4.0, 40.0, 4.0), "band").select("band", "low", "high", "n")
 
 
 @query(
@@ -488,7 +539,7 @@ def usable_responses(spark, d):
     )
 
 
-@query("feature_checks", "SELECT label, count(*) AS n, count(*) FILTER (WHERE len(embedding)<>64) AS n_wrong_size, 0::BIGINT AS n_not_finite FROM embeddings GROUP BY label")
+@query("feature_checks", "SELECT label, count(*) AS n, count(*) FILTER (WHERE len(embedding)<>64) AS n_wrong_size, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))>0) AS n_not_finite FROM embeddings GROUP BY label")
 def feature_checks(spark, d):
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -621,7 +672,8 @@ def session_differences(spark, d):
 
 @query(
     "split_is_exact",
-    "SELECT subject, count(*) FILTER (WHERE session='T') AS n_train, count(*) FILTER (WHERE session='E') AS n_test, 0::BIGINT AS n_shared, true AS covers FROM d_trial GROUP BY subject",
+    """SELECT subject, count(*) FILTER (WHERE session='T') AS n_train, count(*) FILTER (WHERE session='E') AS n_test, count(*)-count(DISTINCT trial_id) AS n_shared,
+ count(DISTINCT trial_id) FILTER (WHERE session IN ('T','E'))=count(*) AS covers FROM d_trial GROUP BY subject""",
 )
 def split_is_exact(spark, d):
     """Train and test trials: nothing shared, nothing lost."""
@@ -637,7 +689,9 @@ def split_is_exact(spark, d):
     return per.join(whole, "subject").select("subject", "n_train", "n_test", "n_shared", (F.col("_u") == F.col("_all")).alias("covers"))
 
 
-@query("split_problems", "SELECT subject, count(*) FILTER (WHERE session='T') AS n_train, 0::BIGINT AS n_test, count(*) FILTER (WHERE session='E') AS n_unknown FROM d_trial WHERE subject=4 GROUP BY subject")
+@query("split_problems", """WITH x AS (SELECT subject, CASE WHEN subject=4 AND session='E' THEN 'X' ELSE session END AS session FROM d_trial)
+SELECT subject, count(*) FILTER (WHERE session='T') AS n_train, count(*) FILTER (WHERE session='E') AS n_test, count(*) FILTER (WHERE session IS NULL OR session NOT IN ('T','E')) AS n_unknown
+FROM x GROUP BY subject HAVING n_train=0 OR n_test=0 OR n_unknown>0""")
 def split_problems(spark, d):
     """Subject 4 has its second session renamed, which the split refuses."""
     t = tables.trials(spark, d)

@@ -510,13 +510,14 @@ t AS (SELECT episode_id, count(*)*0.1::DOUBLE AS episode_duration_s, {UCI_SQL} F
 v AS (SELECT episode_id, avg(n_reversals) AS direction_reversals FROM c GROUP BY episode_id)
 SELECT episode_id, n_success, n_timeouts, collisions, round(success_rate,6) AS success_rate, round(path_efficiency,6) AS path_efficiency, time_to_target_median, time_to_target_excluded,
  round(episode_duration_s,6) AS episode_duration_s, user_contribution_index, uci_excluded_frac, round(direction_reversals,6) AS direction_reversals,
- round({ITR.format(d="episode_duration_s", r="least(success_rate,1)")},6) AS effective_itr FROM o JOIN t USING (episode_id) JOIN v USING (episode_id)""",
+ round({ITR.format(d="episode_duration_s", r="least(success_rate,1)")},6) AS effective_itr,
+ o.episode_id IS NOT NULL AS has_outcomes, t.episode_id IS NOT NULL AS has_trace FROM o FULL JOIN t USING (episode_id) LEFT JOIN v USING (episode_id)""",
 )
 def episode_summary(spark, d):
-    """All metrics of the episodes that have both outcomes and a trace."""
+    """All metrics of every episode that has outcomes or a trace."""
     out = TR.summarise(tables.outcomes(spark, d), tables.trace(spark, d), 8, DT)
     return out.select(
-        "episode_id", "n_success", "n_timeouts", "collisions", "time_to_target_median", "time_to_target_excluded",
+        "episode_id", "n_success", "n_timeouts", "collisions", "time_to_target_median", "time_to_target_excluded", "has_outcomes", "has_trace",
         *r("success_rate", "path_efficiency", "episode_duration_s", "user_contribution_index", "uci_excluded_frac",
            "direction_reversals", "effective_itr"),
     )

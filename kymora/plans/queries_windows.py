@@ -306,11 +306,12 @@ WITH r AS (SELECT subject, run, trial_id, CASE WHEN subject=3 AND run<5 THEN '0t
 @query(
     "session_translation",
     RAW_SQL + """, s AS (SELECT DISTINCT subject, CASE key WHEN '0train' THEN 'T' WHEN '1test' THEN 'E' END AS session, run FROM r)
-SELECT subject, session, run, row_number() OVER (PARTITION BY subject, session ORDER BY run)-1 AS run_position FROM s WHERE session IS NOT NULL""",
+SELECT subject, coalesce(session,'unknown') AS session, run, row_number() OVER (PARTITION BY subject, session ORDER BY run)-1 AS run_position FROM s""",
 )
 def session_translation(spark, d):
-    """Translated session keys, runs in key order."""
-    runs = R.normalise_sessions(_raw_keys(spark, d), "key", KEYS).select("subject", "session", "run").distinct()
+    """Translated session keys, runs in key order; runs under an unknown key are told as such."""
+    named = R.normalise_sessions(_raw_keys(spark, d), "key", KEYS, unknown="keep")
+    runs = named.select("subject", F.coalesce("session", F.lit("unknown")).alias("session"), "run").distinct()
     return series.dense_index(runs, ["subject", "session"], ["run"], F.lit(0), "run_position")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,9 @@ CONTRACT = T.StructType(
         T.StructField("boundary", T.BooleanType()),
     ]
 )
-ADDRESS = ("decoder", "protocol", "window_ms", "stride_ms", "cfg_hash", "session", "subject")
+ADDRESS_TYPES = T.StructType().add("decoder", "string").add("protocol", "string").add("window_ms", "integer").add("stride_ms", "integer").add("cfg_hash", "string").add("session", "string").add("subject", "integer")
+ADDRESS = tuple(ADDRESS_TYPES.names)
+STORED = T.StructType([*CONTRACT.fields, *ADDRESS_TYPES.fields])
 RULES = ("not a distribution", "label out of range", "unknown burst", "burst ends before it starts", "time not increasing")
 
 
@@ -65,20 +68,40 @@ def problems(rows: DataFrame, bursts: DataFrame, n_classes: int = 4, keys: Seque
 def write_posteriors(
     rows: DataFrame, bursts: DataFrame, path: str, force: bool = False, n_classes: int = 4, subject: str = "subject"
 ) -> None:
-    """Validate and write one dataset per address; refuses to replace unless ``force``.
+    """Validate and write one dataset per address.
 
-    Files appear through the output committer, so readers never see half a write.
+    An address that exists is refused, or replaced with ``force``; other addresses of
+    the store stay as they are.  Files appear through the output committer, so readers
+    never see half a write.
     """
     found = problems(rows, bursts, n_classes, [subject]).groupBy("rule").count().collect()  # at most five rows
     if found:
         raise ValueError("; ".join(f"{r['rule']}: {r['count']}" for r in sorted(found)))
     shaped = rows.join(bursts.select(subject, "burst_id", "burst_onset", "burst_offset"), [subject, "burst_id"])
-    out = shaped.select(*[F.col(f.name).cast(f.dataType) for f in CONTRACT.fields], *ADDRESS)
-    out.write.mode("overwrite" if force else "errorifexists").partitionBy(*ADDRESS).parquet(path)
+    out = shaped.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+    if not force:
+        there = addresses(rows.sparkSession, path)
+        clash = None if there is None else out.select(*ADDRESS).distinct().join(there, list(ADDRESS), "left_semi").limit(1).collect()
+        if clash:
+            raise FileExistsError(f"{path} already holds {clash[0].asDict()}")
+    # one folder per address: dynamic overwrite touches only the addresses at hand
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*ADDRESS).parquet(path)
 
 
-def read_posteriors(spark: SparkSession, path: str, **address) -> DataFrame:
-    """Rows of the datasets that match ``address``; other folders are never opened."""
+def addresses(spark: SparkSession, path: str) -> DataFrame | None:
+    """The addresses of a store (from its folders); None where there is none."""
+    try:
+        return spark.read.schema(STORED).parquet(path).select(*ADDRESS).distinct()
+    except AnalysisException:
+        return None
+
+
+def read_posteriors(spark: SparkSession, path: str, validate: bool = False, n_classes: int = 4, **address) -> DataFrame:
+    """Rows of the datasets that match ``address``; other folders are never opened.
+
+    The types of the address are stated, so a hash of digits stays text.  With
+    ``validate`` the rows are checked again as they were when written.
+    """
     unknown = set(address) - set(ADDRESS)
     if unknown:
         raise KeyError(f"unknown address fields {sorted(unknown)}, expected some of {ADDRESS}")
@@ -89,8 +112,14 @@ def read_posteriors(spark: SparkSession, path: str, **address) -> DataFrame:
             raise KeyError(f"the dataset has no column {f.name}")
         if have[f.name].simpleString() != f.dataType.simpleString():
             raise ValueError(f"{f.name} is {have[f.name].simpleString()}, expected {f.dataType.simpleString()}")
+    data = spark.read.schema(STORED).parquet(path)
     for name, value in address.items():
         data = data.where(F.col(name) == value)
+    if validate:
+        spans = data.groupBy(*ADDRESS, "burst_id").agg(F.min("burst_onset").alias("burst_onset"), F.max("burst_offset").alias("burst_offset"))
+        found = problems(data, spans, n_classes, ADDRESS).groupBy("rule").count().collect()  # at most five rows
+        if found:
+            raise ValueError("; ".join(f"{r['rule']}: {r['count']}" for r in sorted(found)))
     return data
 
 

@@ -39,9 +39,20 @@ def report(checked: DataFrame) -> DataFrame:
     )
 
 
-def normalise_sessions(raw: DataFrame, key: str, mapping: dict[str, str]) -> DataFrame:
-    """Translate session keys; rows with an unknown key are left out (see ``session_key_problems``)."""
-    return raw.withColumn("session", N.lookup(F.col(key), mapping)).where(F.col("session").isNotNull())
+def normalise_sessions(raw: DataFrame, key: str, mapping: dict[str, str], unknown: str = "refuse") -> DataFrame:
+    """Translate session keys.
+
+    Rows with an unknown key are refused, with the keys named; with
+    ``unknown="keep"`` they stay, with a null session (see ``session_key_problems``).
+    """
+    if unknown not in ("refuse", "keep"):
+        raise ValueError("unknown must be 'refuse' or 'keep'")
+    out = raw.withColumn("session", N.lookup(F.col(key), mapping))
+    if unknown == "refuse":
+        bad = out.where(F.col("session").isNull()).select(key).distinct().limit(5).collect()
+        if bad:
+            raise ValueError(f"unknown session keys {sorted(str(r[0]) for r in bad)}, expected {sorted(mapping)}")
+    return out
 
 
 def session_key_problems(raw: DataFrame, key: str, mapping: dict[str, str], subject: str = "subject") -> DataFrame:

@@ -41,12 +41,20 @@ def validate_schema(df: DataFrame) -> DataFrame:
     return df
 
 
-def episode_frame(cells: DataFrame, variants: DataFrame) -> DataFrame:
+def episode_frame(cells: DataFrame, variants: DataFrame, missing: str = "refuse") -> DataFrame:
     """Episode table in contract order; window and stride come from the cell's replay variant.
 
-    Columns the input does not carry are null.  NaN becomes null.
+    Columns the input does not carry are null.  NaN becomes null.  Cells whose variant
+    is not described are refused, with the variants named; with ``missing="keep"`` they
+    stay, with a null window and stride.
     """
-    joined = cells.drop("window_s", "stride_s").join(variants.select("variant", "window_s", "stride_s"), "variant")
+    if missing not in ("refuse", "keep"):
+        raise ValueError("missing must be 'refuse' or 'keep'")
+    if missing == "refuse":
+        unknown = cells.join(variants.select("variant"), "variant", "left_anti").select("variant").distinct().limit(5).collect()
+        if unknown:
+            raise ValueError(f"no replay variant describes {sorted(str(r['variant']) for r in unknown)}")
+    joined = cells.drop("window_s", "stride_s").join(variants.select("variant", "window_s", "stride_s"), "variant", "left")
     have = set(joined.columns)
 
     def typed(name, kind):
@@ -88,12 +96,16 @@ def write_run(episodes: DataFrame, summary: DataFrame, config: DataFrame, path:
     """
     validate_schema(episodes)
     keys = ["experiment", "run_id"]
-    done = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"))
-    before = _published(episodes.sparkSession, path)
-    if before is not None and done.join(before, keys, "left_semi").limit(1).count():
+    spark = episodes.sparkSession
+    before = _published(spark, path)
+    if before is not None and episodes.join(before, keys, "left_semi").limit(1).count():
         raise FileExistsError(f"{path} already holds one of these runs")
     for name, part in zip(PARTS, (episodes, summary, config), strict=True):
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")
+    written = spark.read.schema(EPISODES).parquet(f"{path}/episodes")  # the manifest counts what is there
+    if before is not None:
+        written = written.join(before, keys, "left_anti")
+    done = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"))
     done.write.mode("append").parquet(f"{path}/manifest")
 
 
@@ -117,8 +129,11 @@ def load_run(spark: SparkSession, path: str, experiment: str | None = None) -> d
 def write_summary(spark: SparkSession, summary: DataFrame, path: str, force: bool = False) -> None:
     """Replace the summary of the runs in ``summary``; other runs stay as they are."""
     target = f"{path}/summary"
-    if not force:
-        existing = spark.read.parquet(target).select("experiment", "run_id")
+    try:
+        existing = None if force else spark.read.parquet(target).select("experiment", "run_id")
+    except AnalysisException:  # no summary yet
+        existing = None
+    if existing is not None:
         clash = summary.select("experiment", "run_id").join(existing, ["experiment", "run_id"], "left_semi")
         if clash.limit(1).count():
             raise FileExistsError("a summary exists for these runs; pass force=True to replace it")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+FILES_PER_BATCH = 64
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,12 +26,20 @@ def enable_state(spark: SparkSession) -> None:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table of the folder as a stream; event time becomes a timestamp in UTC."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    out = reader.parquet(folder)
+    """A table of the folder as a stream; event time becomes a timestamp in UTC.
+
+    A table is one file or a folder of part files.  A batch takes at most
+    ``files_per_batch`` files (FILES_PER_BATCH unless given), so a backlog does not
+    arrive as one batch.
+    """
+    table = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(table).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch or FILES_PER_BATCH))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        out = reader.parquet(table)
+    else:
+        out = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     for f in schema.fields:
         if f.dataType == T.TimestampNTZType():
             out = out.withColumn(f.name, F.col(f.name).cast("timestamp"))

@@ -67,8 +67,9 @@ def test_permutations(spark):
     assert df.where(~G.is_permutation(F.col("p"), 4)).count() == 0
     assert df.distinct().count() > 5
     with pytest.raises(ValueError):
-        G.band_edges(4.0, 40.0, 5.0)
-    assert len(G.band_edges(4.0, 40.0, 4.0)) == 9
+        G.band_table(spark, 4.0, 40.0, 5.0)
+    bands = [tuple(r) for r in G.band_table(spark, 4.0, 5.0, 0.1).orderBy("band").collect()]
+    assert bands[0] == (0, 4.0, 4.1) and bands[-1] == (9, 4.9, 5.0) and len(bands) == 10
 
 
 def data(spark, n=21):

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -37,16 +39,25 @@ def test_a_metric_without_values_has_no_row(spark):
     assert estimate(spark, [(1, "m", float("nan")), (2, "m", None)]).count() == 0
 
 
-def test_both_bootstrap_paths_agree(spark):
+def plain_interval(draw, values, n_boot, ci):
+    """The same draws, one by one."""
+    n, means = len(values), []
+    for rep in range(1, n_boot + 1):
+        raw = b"".join(hashlib.md5(f"{draw}|{rep}|{b}".encode()).digest() for b in range(-(-n // 4)))
+        u = np.frombuffer(raw, dtype=">u4")[:n] / 2**32
+        means.append(np.asarray(values)[np.floor(u * n).astype(int)].mean())
+    return np.quantile(means, [(1 - ci) / 2, (1 + ci) / 2])
+
+
+def test_bootstrap_same_as_plain_draws_for_any_size(spark):
     rng = np.random.default_rng(0)
-    means = spark.createDataFrame([("a", s, float(v)) for s, v in enumerate(rng.normal(size=30))] + [(None, s, float(s)) for s in range(5)], "k string, subject int, mean double")
-    small, large = (
-        SC.bootstrap(means, ["k"], 200, 0.95, [7, F.col("k")], in_row=n).orderBy("k").toPandas() for n in (512, 1)
-    )
-    assert len(small) == 2
-    np.testing.assert_allclose(small[["ci_lo", "ci_hi"]], large[["ci_lo", "ci_hi"]], rtol=1e-12)
-    mixed = SC.bootstrap(means, ["k"], 200, 0.95, [7, F.col("k")], in_row=10).orderBy("k").toPandas()
-    np.testing.assert_allclose(small[["ci_lo", "ci_hi"]], mixed[["ci_lo", "ci_hi"]], rtol=1e-12)
+    groups = {"a": rng.normal(size=30), "b": rng.normal(size=5), "c": rng.normal(size=700), "d": rng.normal(size=9000)}
+    rows = [(k, s, float(v)) for k, vs in groups.items() for s, v in enumerate(vs)] + [("e", 1, 2.0)]
+    means = spark.createDataFrame(rows, "k string, subject int, mean double")
+    got = SC.bootstrap(means, ["k"], 60, 0.9, [7, F.col("k")]).toPandas().set_index("k")
+    assert sorted(got.index) == sorted(groups)
+    for k, values in groups.items():
+        np.testing.assert_allclose(got.loc[k, ["ci_lo", "ci_hi"]].to_numpy(float), plain_interval(f"7|{k}", values, 60, 0.9), rtol=1e-9)
 
 
 def test_axes_count_a_missing_value(spark):
@@ -92,10 +103,14 @@ def dense_reml(pdf, levels, theta):
 
 
 def test_model_equals_a_dense_fit(spark):
-    pdf = sweep()
+    pdf = sweep().iloc[::9].reset_index(drop=True)  # about 60 rows
     levels = ("a", "b", "c")
-    thetas = np.exp(np.linspace(np.log(1e-3), np.log(1e4), 4001))
-    best = min(thetas, key=lambda t: dense_reml(pdf, levels, t)[0])
+    lo, hi = np.log(1e-3), np.log(1e4)
+    for _ in range(8):  # coarse to fine
+        thetas = np.exp(np.linspace(lo, hi, 33))
+        best = min(thetas, key=lambda t: dense_reml(pdf, levels, t)[0])
+        step = (hi - lo) / 32
+        lo, hi = np.log(best) - step, np.log(best) + step
     _, beta, se, group_var = dense_reml(pdf, levels, best)
     got = M.fit_mixed(spark.createDataFrame(pdf), M.Design("effective_acc", "mapping", levels), "response").toPandas().set_index("term")
     order = ["Intercept", "C(mapping)[T.b]", "C(mapping)[T.c]", "effective_acc"]

@@ -68,7 +68,7 @@ class Encoded:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, cache: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache: int = 500_000) -> None:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()

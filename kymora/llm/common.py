@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from kymora.session import shared_dir
 
 U64 = np.uint64
+BATCH_ROWS = 2000
 LOW = np.iinfo(np.int64).min
 
 
@@ -22,7 +24,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """Only the columns an operator needs, so that no other column can clash; a missing one is null."""
+    """Only the columns an operator needs, so that no other column can clash; a missing one is null.
+
+    Whole texts travel in Arrow batches.  Where the session keeps Spark's default of
+    10,000 rows for these, BATCH_ROWS is set, so that a batch is some MB and not some 100.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     have = set(docs.columns)
     want = [("doc_id", "bigint"), ("text", "string"), *((m, None) for m in more)]
     cols = [(docs[f"`{c}`"].cast(t) if t else docs[f"`{c}`"]) if c in have else F.lit(None).cast(t or "string") for c, t in want]
@@ -62,6 +71,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

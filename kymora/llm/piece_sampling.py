@@ -85,7 +85,7 @@ class Lattices:
         trie = self.trie
         for start in range(n):
             here = total[start]
-            if here < 1e-200:  # lift all that is still open
+            if not 1e-200 < here < 1e200:  # bring all that is still open back to a middling size
                 lift = 1.0 / here
                 for e in range(start, min(n, start + self.longest) + 1):
                     total[e] *= lift

@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first_probe: int = FIR
         found = source.mapInArrow(seek(window, length, before), "h bigint, r bigint, pos int, sure boolean")
         alive = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(runs(("h",), False), "r bigint, pos int")
         kept, before = alive.groupBy("r").agg(F.collect_set("pos").alias("kept")), length
-    asked = texts.join(kept.join(firsts, "r", "left_semi"), "r")  # all columns, so that the shuffle of the texts serves twice
+    asked = texts.join(firsts.select("r") if kept is None else kept.join(firsts, "r", "left_semi"), "r")  # all columns, so that the shuffle of the texts serves twice
     met = asked.mapInArrow(occurrences(window, before), "h bigint, h2 bigint, d bigint, r bigint, pos int, length int, sure boolean")
     met = met.repartition(n, "h").sortWithinPartitions("h", "h2", "d", "r", "pos")
     gone = met.mapInArrow(runs(("h", "h2"), True), "r bigint, d bigint, pos int, length int")

@@ -81,33 +81,52 @@ def linked(strong_parts: list[tuple[str, int, int]], weak_parts: list[tuple[str,
     return [p for p, (by_id, by_secret) in zip(parts, near, strict=True) if p[0] == "secret" and by_id or p[0] == "endpoint" and (by_id or by_secret)]
 
 
-def scan(reach: int, keep: list[str]):
-    """Arrow map: spans of each row."""
+def blanked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with each span replaced by its kind in brackets; spans that overlap are one."""
+    if not text or not spans:
+        return text
+    out, at = [], 0
+    for kind, start, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def scan(reach: int, keep: list[str], blank: bool):
+    """Arrow map: spans of each row, and its text without them where that is asked for."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     rank = {k: i for i, k in enumerate(KINDS)}
 
     def spans(rows: list[list[tuple[str, int, int]]]) -> pa.Array:
-        return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in sorted(r, key=lambda s: (s[1], rank[s[0]]))] for r in rows], kind)
+        return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in r] for r in rows], kind)
+
+    def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        return sorted(spans, key=lambda s: (s[1], rank[s[0]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 22):
             base, full = [], []
-            for text in b.column("text").to_pylist():
+            texts = b.column("text").to_pylist()
+            for text in texts:
                 found = strong(text) if text else []
-                base.append(found)
-                full.append(found + linked(found, weak(text, found), reach) if text else [])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), spans(base), spans(full)], [*keep, "base", "spans"])
+                base.append(ordered(found))
+                full.append(ordered(found + linked(found, weak(text, found), reach)) if text else [])
+            clean = pa.array([blanked(t, s) for t, s in zip(texts, full, strict=True)], pa.string()) if blank else None
+            cols = [clean if blank and c == "text" else b.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, spans(base), spans(full)], [*keep, "base", "spans"])
 
     return run
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = (), blank: bool = False) -> DataFrame:
     """(doc_id, ``keep``, base, spans) for every row of ``docs`` (doc_id, text).
 
     ``base`` are the strong spans, ``spans`` those and the linked weak ones; both are
     ordered by start, then kind; places are code points, the end is exclusive.  Null
     and empty texts have none.  Repeated rows and null doc_ids keep a row each.  Whole
-    texts are scanned; ``keep`` may name any other column, and text.  Columns beyond
+    texts are scanned; ``keep`` may name any other column, and text, which with
+    ``blank`` comes back with each span replaced by its kind.  Columns beyond
     these are ignored; an empty table gives no rows.  Scopes are stretches of one
     document, so no row waits for another and nothing is shuffled.
     """
@@ -115,27 +134,9 @@ def find_secrets(docs: DataFrame, reach: int = REACH, keep: tuple[str, ...] = ()
     docs = documents(docs, *more)
     names = ["doc_id", *keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(scan(reach, names), f"{schema}, base {SPAN}, spans {SPAN}")
+    return docs.mapInArrow(scan(reach, names, blank), f"{schema}, base {SPAN}, spans {SPAN}")
 
 
 def listed(spans: Column) -> Column:
     """Spans as text: kind:start:end, comma-joined in their order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-
-def blanked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map: texts (last but one column) with each span (last column) replaced by its kind; spans that touch are one."""
-    for b in batches:
-        names = b.schema.names[:-1]
-        texts = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            if text and spans:
-                out, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        out += [text[at : s["start"]], f"[{s['kind']}]"]
-                    at = max(at, s["end"])
-                text = "".join([*out, text[at:]])
-            texts.append(text)
-        cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
-        yield pa.RecordBatch.from_arrays(cols, names)

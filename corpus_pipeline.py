@@ -61,10 +61,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_links.find_secrets(shaped(docs), keep=tuple(c for c in COLUMNS if c != "doc_id")).drop("base")
-    schema = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
-    out = found.withColumn("hit", F.size("spans") > 0).select(*COLUMNS, "hit", "spans").mapInArrow(secret_links.blanked, f"{schema}, hit boolean")
-    return out.withColumn("n_chars", F.when(F.col("hit"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop("hit")
+    found = secret_links.find_secrets(shaped(docs), keep=tuple(c for c in COLUMNS if c != "doc_id"), blank=True)
+    size = F.when(F.size("spans") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

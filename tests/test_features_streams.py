@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kymora.functions import vectors as V
 from kymora.operators import features as FE
 from kymora.streaming import online as O
 
@@ -71,12 +72,12 @@ def test_decoders(spark):
     df = spark.createDataFrame(pd.DataFrame({"subject": np.where(np.arange(240) < 120, 1, 2), "label": y, "x": x.tolist()}))
     for name, keys in (("discriminant", ["subject"]), ("logistic", [])):
         out = FE.decode(name, df, df, keys, "x", "label", 4)
-        assert out.where(~FE.has_posterior(out)).count() == 0
+        assert out.where(~V.is_distribution(F.col("posterior"))).count() == 0
         assert out.where(F.array_position("posterior", F.array_max("posterior")) - 1 == F.col("label")).count() > 215
     with pytest.raises(KeyError):
         FE.decode("other", df, df, [], "x", "label", 4)
     flat = FE.decode_with_udf(df, lambda b: np.full((len(b), 3), 1 / 3), "x")
-    assert flat.where(~FE.has_posterior(flat)).count() == 0
+    assert flat.where(~V.is_distribution(F.col("posterior"))).count() == 0
 
 
 def test_information_of_a_copy_and_of_noise(spark):

@@ -90,7 +90,7 @@ def test_store_round_trip_and_refusals(spark, tmp_path):
     back = PS.read_posteriors(spark, path, decoder="riemann", session="E")
     assert back.count() == 21 and back.schema["label"].dataType.simpleString() == "tinyint"
     assert "PartitionFilters: [isnotnull(decoder" in back._jdf.queryExecution().toString().replace("\n", " ")
-    with pytest.raises(Exception, match="(?i)exist"):
+    with pytest.raises(Exception, match="already holds"):
         PS.write_posteriors(rows, bursts, path)
     PS.write_posteriors(rows, bursts, path, force=True)
     assert PS.read_posteriors(spark, path).count() == 21

@@ -47,29 +47,31 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow map: rows as shards."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Arrow map: rows as shards; only the postings of a shard are held, never its text."""
+    ids: list[np.ndarray] = []
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = size = 0
 
     def shard() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        text = table.column("text").combine_chunks()
-        text = text if isinstance(text, pa.Array) else text.chunk(0)
-        doc, term, count = terms(text)
-        ids = table.column("doc_id").to_numpy()
-        length = np.bincount(doc, weights=count, minlength=len(ids)).astype(np.int64)
+        doc, term, count = (np.concatenate(x) for x in zip(*postings, strict=True))
+        order = np.lexsort((doc, term))
+        doc, term, count = doc[order], term[order], count[order]
+        length = np.bincount(doc, weights=count, minlength=rows).astype(np.int64)
         first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        cols = [ids.astype("<i8"), length.astype("<i4"), term[first].astype("<u8"), np.append(first, len(term)).astype("<i8"), doc.astype("<i4"), count.astype("<i4")]
-        row = [pa.array([len(ids)], pa.int64()), pa.array([int(length.sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
+        cols = [np.concatenate(ids).astype("<i8"), length.astype("<i4"), term[first].astype("<u8"), np.append(first, len(term)).astype("<i8"), doc.astype("<i4"), count.astype("<i4")]
+        row = [pa.array([rows], pa.int64()), pa.array([int(length.sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
         return pa.RecordBatch.from_arrays(row, ["docs", "words", "ids", "lengths", "terms", "offsets", "doc", "count"])
 
-    for b in slices(batches, "text", SHARD_BYTES // 4):
-        held.append(b)
+    for b in slices(batches, "text", min(SHARD_BYTES, 1 << 20)):
+        doc, term, count = terms(b.column("text"))
+        ids.append(b.column("doc_id").to_numpy(zero_copy_only=False))
+        postings.append((doc.astype(np.int64) + rows, term, count))
+        rows += b.num_rows
         size += b.nbytes
         if size >= SHARD_BYTES:
             yield shard()
-            held, size = [], 0
-    if held:
+            ids, postings, rows, size = [], [], 0, 0
+    if rows:
         yield shard()
 
 

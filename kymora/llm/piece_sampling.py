@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,9 @@ class Lattices:
             raise ValueError("the vocabulary has no byte pieces, so it cannot spell every text")
         if any(MARK in p.lstrip(MARK) for p, _ in pieces):
             raise ValueError("a piece holds a mark after another character, so a long text cannot be cut before blanks")
+        self.letters = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.width = np.array([len(s) for s in self.spelled])
+        self.place = np.cumsum(self.width) - self.width
         chars = sorted({c for p, _ in pieces for c in p})
         self.code = np.zeros(LITERAL + 1, np.int32)  # 0: in no piece
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -135,7 +139,8 @@ class Lattices:
         return out
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        ids = np.asarray(ids, np.int64)
+        text = self.letters[ragged(self.place[ids], self.width[ids])].tobytes().decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -285,7 +290,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         model = lattices(path, POWER)
         for b in batches:
             ids = b.column("ids")
-            texts = [None if x is None else model.decode(x) for x in (ids.slice(i, 1).to_pylist()[0] for i in range(b.num_rows))]
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(np.nan_to_num(pc.list_value_length(ids).to_numpy(zero_copy_only=False)).astype(np.int64))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            texts = [model.decode(flat[s:e]) if k else None for s, e, k in zip(np.append(0, ends[:-1]), ends, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

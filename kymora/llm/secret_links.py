@@ -3,10 +3,10 @@
 Strong spans (assignments, access identifiers, long hex) are reported on their own.
 A bare 40-character key or an endpoint is weak: most are harmless.  Identifiers,
 secrets and endpoints of one document become intervals; an interval join within
-``reach`` characters reports a weak secret where an identifier is near, and a weak
-endpoint where an identifier or a secret is near.  The join carries the nearest end
-and the nearest start of each role through the parts in text order, so many parts in
-one place cost no pairs.
+``reach`` characters reports a weak secret where an identifier or an endpoint is near,
+and a weak endpoint where an identifier or a secret is near.  The join carries the
+nearest end and the nearest start of each role through the parts in text order, so many
+parts in one place cost no pairs.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def strong(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak parts in text order that touch no strong span; an endpoint may not touch a weak secret either."""
+    """Weak parts in text order that touch no strong span; a weak secret and an endpoint may overlap."""
     taken = sorted(taken, key=lambda s: s[1])
     starts = [s[1] for s in taken]
     ends = list(accumulate((s[2] for s in taken), max))
@@ -61,24 +61,26 @@ def linked(strong_parts: list[tuple[str, int, int]], weak_parts: list[tuple[str,
     if not weak_parts:
         return []
     parts = sorted(strong_parts + weak_parts, key=lambda s: s[1:])
-    near = [[False, False] for _ in parts]  # an identifier, a secret
+    near = [[False, False, False] for _ in parts]  # an identifier, a secret, an endpoint
 
-    def role(kind: str) -> int | None:
-        return {"access": 0, "assign": 1, "hex": 1, "secret": 1}.get(kind)
+    def role(kind: str) -> int:
+        return {"access": 0, "assign": 1, "hex": 1, "secret": 1, "endpoint": 2}[kind]
 
     for order in (range(len(parts)), range(len(parts) - 1, -1, -1)):
-        bound: list[int | None] = [None, None]
+        bound: list[int | None] = [None, None, None]
         forward = order.step > 0
         for i in order:
             kind, start, end = parts[i]
-            for k in (0, 1):
+            for k in (0, 1, 2):
                 if bound[k] is not None:
                     near[i][k] |= (start - bound[k] if forward else bound[k] - end) <= reach
             k = role(kind)
-            if k is not None:
-                here = end if forward else start
-                bound[k] = here if bound[k] is None else (max if forward else min)(bound[k], here)
-    return [p for p, (by_id, by_secret) in zip(parts, near, strict=True) if p[0] == "secret" and by_id or p[0] == "endpoint" and (by_id or by_secret)]
+            here = end if forward else start
+            bound[k] = here if bound[k] is None else (max if forward else min)(bound[k], here)
+    return [
+        p for p, (by_id, by_secret, by_endpoint) in zip(parts, near, strict=True)
+        if p[0] == "secret" and (by_id or by_endpoint) or p[0] == "endpoint" and (by_id or by_secret)
+    ]
 
 
 def blanked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:

@@ -45,6 +45,17 @@ def test_weak_parts_need_a_complement(documents):
     assert [k for k, _ in spans(documents, f"token = {KEY40}")] == ["assign"]  # a weak part inside a strong one is not told twice
 
 
+def test_weak_secret_beside_an_endpoint(documents):
+    for host in ("https://api.example.com", "s3.eu-west-1.amazonaws.com"):
+        assert spans(documents, f"{KEY40} at {host}") == [("secret", KEY40), ("endpoint", host)]
+        assert spans(documents, f"{host} with {KEY40}") == [("endpoint", host), ("secret", KEY40)]
+        assert spans(documents, f"{KEY40} {'word ' * 100}{host}") == []
+    assert spans(documents, f"{KEY40} or {KEY40}") == []
+    assert spans(documents, "https://a.example.com and https://b.example.com") == []
+    blank = find_secrets(documents([(1, f"use {KEY40} at https://api.example.com/v1")]), keep=("text",), blank=True).first()["text"]
+    assert blank == "use [secret] at [endpoint]/v1"
+
+
 def test_many_parts_in_one_place(documents):
     text = " ".join([ACCESS, KEY40] * 3000)
     assert len(spans(documents, text)) == 6000

@@ -130,8 +130,15 @@ class Shard:
         hit = np.flatnonzero(total)
         return hit, total[hit]
 
-    def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and rounded scores that can be among the ``k`` best here."""
+    def others(self, entries: np.ndarray, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        doc, score = self.score(entries)
+        if own is None:
+            return doc, score
+        keep = self.ids[doc] != own
+        return doc[keep], score[keep]
+
+    def top(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and rounded scores that can be among the ``k`` best here; rows with the id ``own`` take no place."""
         entries = ragged(self.first[query], self.first[query + 1] - self.first[query])
         if not len(entries):
             return np.zeros(0, np.int64), np.zeros(0)
@@ -141,11 +148,11 @@ class Shard:
         lead = np.argpartition(-bound, start - 1)[:start]
         chosen = np.zeros(self.blocks, bool)
         chosen[lead] = True
-        doc, score = self.score(entries[chosen[block]])
+        doc, score = self.others(entries[chosen[block]], own)
         floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
         rest = ~chosen & (bound >= floor - 2 * 10.0**-DIGITS) & (bound > 0)
         if rest.any():
-            d, s = self.score(entries[rest[block]])
+            d, s = self.others(entries[rest[block]], own)
             doc, score = np.concatenate([doc, d]), np.concatenate([score, s])
         score = np.round(score, DIGITS)
         if len(score) > k:
@@ -155,7 +162,7 @@ class Shard:
         return doc[order], score[order]
 
 
-def searcher(queries: list[tuple[int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int):
+def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int):
     """Arrow map: the best of each shard for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +170,9 @@ def searcher(queries: list[tuple[int, np.ndarray]], wanted: np.ndarray, idf: np.
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard = Shard(row, wanted, idf, mean)
                 q, ids, scores = [], [], []
-                for query_id, t in queries:
-                    doc, score = shard.top(t, k)
-                    q.append(np.full(len(doc), query_id))
+                for number, query_id, t in queries:
+                    doc, score = shard.top(t, k, query_id)
+                    q.append(np.full(len(doc), number))
                     ids.append(shard.ids[doc])
                     scores.append(score)
                 cols = [np.concatenate(x) if x else np.zeros(0) for x in (q, ids, scores)]
@@ -205,10 +212,10 @@ def search(docs: DataFrame, asked: Column, k: int = 10) -> DataFrame:
         for r in index.select("terms", "offsets").mapInArrow(frequencies(wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
             n[r["term"]] = r["n"]
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
-        numbered = [(i, np.searchsorted(wanted, t)) for i, t in enumerate(each)]
+        numbered = [(i, r["query_id"], np.searchsorted(wanted, t)) for i, (r, t) in enumerate(zip(block, each, strict=True))]
         names = spark.createDataFrame([(i, r["query_id"], r["key"]) for i, r in enumerate(block)], "q int, query_id bigint, key bigint")
-        found = index.mapInArrow(searcher(numbered, wanted, idf, stats[1] / stats[0], k + 1), "query_id bigint, doc_id bigint, score double")
-        found = found.withColumnRenamed("query_id", "q").join(names, "q").filter("doc_id != query_id").select("query_id", "key", "doc_id", "score")
+        found = index.mapInArrow(searcher(numbered, wanted, idf, stats[1] / stats[0], k), "query_id bigint, doc_id bigint, score double")
+        found = found.withColumnRenamed("query_id", "q").join(names, "q").select("query_id", "key", "doc_id", "score")
         out = out.union(found if parts == 1 else stored(best(found, k).drop("rank"), "found"))
     ranked = best(out, k)
     return ranked.select("query_id", "rank", "doc_id", "score")

@@ -53,6 +53,15 @@ def test_same_as_brute_force_in_any_shards(documents, monkeypatch, shard):
     assert {q: [got[q][r] for r in sorted(got[q])] for q in got} == want
 
 
+def test_copies_of_the_query_take_no_place(documents):
+    rows = [(100, "alpha beta gamma delta")] * 15 + [(i, f"alpha beta filler{i} {'pad ' * i}") for i in range(1, 31)]
+    got = {}
+    for r in search(documents(rows).coalesce(1), F.col("doc_id") == 100, 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
+    assert {q: [x[r] for r in sorted(x)] for q, x in got.items()} == brute(rows, {100}, 10)
+    assert len(got[100]) == 10
+
+
 def test_blocks_are_pruned_and_nothing_is_lost():
     import numpy as np
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -244,31 +244,59 @@ def select_top(scores: DataFrame, score: str, index: str, k: int) -> DataFrame:
 # --- discriminant analysis ---
 
 
+def _class_moments(keys: Sequence[str], p: int, held: int = 1 << 20):
+    """Count, sums and cross products per (key, class) of a partition in one array, at most ``held`` numbers at a time."""
+    upper = np.triu_indices(p)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([[*k, m.tolist()] for k, m in sums.items()], columns=[*keys, "class", "m"])
+
+        for b in batches:
+            for key, part in b.groupby([*keys, "class"], dropna=False, sort=False):
+                x = np.stack(part["x"].to_numpy())
+                if x.shape[1] != p:
+                    raise ValueError(f"rows have {x.shape[1]} of {p} features")
+                m = np.concatenate([[len(x)], x.sum(0), (x.T @ x)[upper]])
+                sums[key] = sums[key] + m if key in sums else m
+                if len(sums) * len(m) > held:
+                    yield rows()
+                    sums.clear()
+        if sums:
+            yield rows()
+
+    return run
+
+
 def fit_discriminant(train: DataFrame, keys: Sequence[str], features: str, label: str, p: int, shrinkage: float = 0.1) -> DataFrame:
     """Weights of a linear discriminant per key.
 
-    One aggregate makes counts, sums and cross products per (key, class); the
-    solve sees one row per class.
+    Counts, sums and cross products per (key, class) are made per partition and
+    added up entry by entry; the solve sees one number per class and entry.
     """
     keys = list(keys)
-    x = [F.col(features)[i].cast("double") for i in range(p)]
-    stats = train.groupBy(*keys, F.col(label).cast("int").alias("class")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"),
-        F.array(*[F.sum(x[i] * x[j]) for i, j in pairs(p)]).alias("q"),
-    )
-    ddl = "".join(f"{k} {stats.schema[k].dataType.simpleString()}, " for k in keys)
+    zeros = F.array_repeat(F.lit(0.0), p)  # a null adds nothing to a sum
+    x = F.transform(F.slice(F.col(features), 1, p), lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+    data = train.select(*keys, F.col(label).cast("int").alias("class"), F.coalesce(x, zeros).alias("x"))
+    ddl = "".join(f"`{k}` {data.schema[k].dataType.simpleString()}, " for k in keys)
+    partial = data.mapInPandas(_class_moments(keys, p), ddl + "class int, m array<double>")
+    stats = partial.select(*keys, "class", F.posexplode("m").alias("i", "v")).groupBy(*keys, "class", "i").agg(F.sum("v").alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy()
-        means = np.stack(pdf["s"].to_numpy()) / n[:, None]
-        within = sum(_square(q, p) for q in pdf["q"]) - (n[:, None, None] * means[:, :, None] * means[:, None, :]).sum(0)
+        pdf = pdf.sort_values(["class", "i"])
+        width = 1 + p + len(pairs(p))
+        m = pdf["v"].to_numpy().reshape(-1, width)
+        n = m[:, 0]
+        means = m[:, 1 : p + 1] / n[:, None]
+        within = sum(_square(q, p) for q in m[:, p + 1 :]) - (n[:, None, None] * means[:, :, None] * means[:, None, :]).sum(0)
         cov = within / n.sum()
         cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / p * np.eye(p)
         weights = np.linalg.solve(cov, means.T).T
         bias = -0.5 * (weights * means).sum(1) + np.log(n / n.sum())
-        order = np.argsort(pdf["class"].to_numpy())
         return pd.DataFrame(
-            [[*[pdf[k].iloc[0] for k in keys], pdf["class"].to_numpy()[order].tolist(), weights[order].tolist(), bias[order].tolist()]],
+            [[*[pdf[k].iloc[0] for k in keys], pdf["class"].to_numpy()[::width].tolist(), weights.tolist(), bias.tolist()]],
             columns=[*keys, "classes", "weights", "bias"],
         )
 

@@ -148,7 +148,7 @@ def _windows(spark, d):
 def decoded_posteriors(spark, d):
     """Discriminant fitted on the train session of each subject; posteriors for the other session."""
     w = _windows(spark, d)
-    out = FE.decode("discriminant", w.where("session = 'T'"), w.where("session = 'E'"), ["subject"], "embedding", "label", 8)
+    out = FE.decode("discriminant", w.where("session = 'T'"), w.where("session = 'E'"), ["subject"], "embedding", "label", 64)
     return out.select("window_id", "subject", "label", "posterior")
 
 
@@ -162,5 +162,5 @@ def decoded_kappa(spark, d):
 def logistic_posteriors(spark, d):
     """Multinomial logistic model over all subjects, scored on the other session."""
     w = _windows(spark, d)
-    out = FE.decode("logistic", w.where("session = 'T'"), w.where("session = 'E'"), [], "embedding", "label", 8)
+    out = FE.decode("logistic", w.where("session = 'T'"), w.where("session = 'E'"), [], "embedding", "label", 64)
     return out.select("window_id", "subject", "label", "posterior")

@@ -80,6 +80,21 @@ def test_decoders(spark):
     assert flat.where(~V.is_distribution(F.col("posterior"))).count() == 0
 
 
+def test_registered_decoders_read_all_entries(spark, monkeypatch):
+    from kymora.plans import queries_features as Q
+
+    rng = np.random.default_rng(8)
+    y = np.arange(1260) % 4
+    x = 0.1 * rng.normal(size=(1260, 64))
+    x[np.arange(1260), 60 + y] += 1  # only the last four entries tell the labels
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1260), "label": y, "embedding": x.tolist()}))
+    monkeypatch.setattr(Q.tables, "read", lambda *_: df)
+    for q in (Q.decoded_posteriors, Q.logistic_posteriors):
+        out = q(spark, "")
+        right = F.array_position("posterior", F.array_max("posterior")) - 1 == F.col("label")
+        assert out.agg(F.avg(right.cast("int"))).first()[0] > 0.95
+
+
 def test_information_of_a_copy_and_of_noise(spark):
     df = spark.createDataFrame([(i % 2, [float(i % 2), 0.5]) for i in range(100)], "label int, x array<double>")
     got = {r["feature"]: r["information"] for r in FE.mutual_information(df, "x", "label").collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -350,6 +351,14 @@ def _discriminant(train: DataFrame, rows: DataFrame, keys: Sequence[str], featur
 
 def _logistic(train: DataFrame, rows: DataFrame, keys: Sequence[str], features: str, label: str, p: int) -> DataFrame:
     first = lambda df: df.withColumn("_x", F.slice(F.col(features), 1, p))
+    if keys:  # one model per key of the train rows, fitted one after the other
+        out = []
+        for at in train.select(*keys).distinct().orderBy(*keys).collect():
+            here = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(at[k])) for k in keys])
+            out.append(_logistic(train.where(here), rows.where(here), [], features, label, p))
+        if not out:
+            raise ValueError("no train rows to fit a model on")
+        return functools.reduce(DataFrame.unionByName, out)
     return score_logistic(first(rows), fit_logistic(first(train), "_x", label), "_x").drop("_x")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymora.functions import naming as N
@@ -331,11 +334,23 @@ def model_report(spark, d):
         F.lit("interaction").alias("block"), F.col("term").alias("name"), "estimate", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"), F.col("failed").alias("note"))
     h2 = M.trade_off(e, "response", "1-URGENT", n_boot=200).select(
         F.lit("trade ratio").alias("block"), F.col("mapping").alias("name"), "estimate", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"), F.when(F.col("unstable"), "unstable").alias("note"))
-    h3 = M.slope_by_level(e, "response").select(
+    levels = M.slope_by_level(e, "response")
+    h3 = levels.select(
         F.lit("slope by autonomy").alias("block"), F.col("alpha").cast("string").alias("name"), F.col("slope").alias("estimate"), F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"), F.when(F.col("saturated"), "saturated").alias("note"))
     diag = SC.diagnostics(e, CAND).select(
         F.lit("response").alias("block"), F.col("column").alias("name"), F.col("sd").alias("estimate"), F.col("min").alias("lo"), F.col("max").alias("hi"), F.lit(None).cast("string").alias("note"))
-    return h1.unionByName(h2).unionByName(h3).unionByName(diag).select(*cols)
+    none = lambda t: F.lit(None).cast(t)
+    star = M.crossing(levels).select(
+        F.lit("alpha star").alias("block"), F.lit("alpha").alias("name"), F.col("alpha_star").cast("double").alias("estimate"), none("double").alias("lo"), none("double").alias("hi"), F.when(F.col("alpha_star").isNull(), "no interval holds zero").alias("note"))
+    guard = M.guard_fit(e).select(
+        F.lit("guard").alias("block"), F.col("term").alias("name"), "estimate", F.col("ci_lo").alias("lo"), F.col("ci_hi").alias("hi"), F.col("failed").alias("note"))
+    gate = SC.fittable(e, response="response", predictor="kappa_offline", candidates=CAND).select(
+        F.lit("gate").alias("block"), F.lit("fittable").alias("name"), F.col("fittable").cast("double").alias("estimate"), none("double").alias("lo"), none("double").alias("hi"), F.col("reason").alias("note"))
+    missing = F.col("response").isNull() | F.isnan("response")
+    dropped = e.agg(F.count(F.when(missing, 1)).cast("double").alias("estimate")).select(
+        F.lit("dropped rows").alias("block"), F.lit("response").alias("name"), "estimate", none("double").alias("lo"), none("double").alias("hi"), none("string").alias("note"))
+    parts = (h1, h2, h3, star, guard, gate, dropped, diag)
+    return functools.reduce(DataFrame.unionByName, parts).select(*cols)
 
 
 @query(

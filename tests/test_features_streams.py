@@ -80,6 +80,15 @@ def test_decoders(spark):
     assert flat.where(~V.is_distribution(F.col("posterior"))).count() == 0
 
 
+def test_logistic_fits_one_model_per_key(spark):
+    y = np.arange(80) % 2
+    subject = np.where(np.arange(80) < 40, 1, 2)
+    x = np.stack([np.where(subject == 1, y, 1 - y), np.zeros(80)], 1).astype(float)  # the subjects have opposite signs
+    df = spark.createDataFrame(pd.DataFrame({"subject": subject, "label": y, "x": x.tolist()}))
+    out = FE.decode("logistic", df, df, ["subject"], "x", "label", 2)
+    assert out.where(F.array_position("posterior", F.array_max("posterior")) - 1 == F.col("label")).count() == 80
+
+
 def test_registered_decoders_read_all_entries(spark, monkeypatch):
     from kymora.plans import queries_features as Q
 

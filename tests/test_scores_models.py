@@ -181,3 +181,12 @@ def test_conditions_equal(spark):
     ask = lambda d: SC.conditions_equal(d, ["k"], F.col("c") == "a", F.col("c") == "b", ["v"]).first()
     assert ask(df)["passed"] and ask(df)["n_keys"] == 2
     assert not ask(df.withColumn("v", F.when((F.col("k") == 2) & (F.col("c") == "b"), 0.3).otherwise(F.col("v"))))["passed"]
+
+
+def test_model_report_has_every_part(spark):
+    from kymora.plans import queries_scores as Q
+
+    got = Q.model_report(spark, "/root/testdata/sf0.001").collect()
+    assert {r["block"] for r in got} >= {"interaction", "trade ratio", "slope by autonomy", "alpha star", "guard", "gate", "dropped rows", "response"}
+    assert [r["estimate"] for r in got if r["block"] == "dropped rows"] == [0.0]
+    assert "alpha" in {r["name"] for r in got if r["block"] == "guard"}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymora.llm import ann_forest, bm25_wand, dart_minhash, packing, piece_sampling, secret_links, string_kernel, substring_dedup, token_counts, url_graph
+from kymora.llm import ann_forest, bm25_wand, dart_minhash, filter_audit, hybrid_search, license_scan, packing, piece_sampling, secret_links, string_kernel, substring_dedup, token_counts, url_graph
 from kymora.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-def sql_url_graph(steps: int = 24) -> str:
+def sql_url_graph(steps: int = 140) -> str:
     """Rules and both spreads, step by step; masses are whole units, so that both sides are equal."""
     u = url_graph
     fits = " UNION ALL ".join(
@@ -139,3 +139,64 @@ SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10"""
 @query(sql_bm25())
 def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_wand.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+def sql_filter_audit() -> str:
+    """Masks per document, then every order as a string of letters against the mask cells."""
+    bit = " ".join(f"WHEN '{x}' THEN {1 << i}" for i, x in enumerate(filter_audit.LETTERS))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(words) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * capitals > 5 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE instr(filter_order, x) = 0),
+s AS (SELECT filter_order, step::INTEGER AS step, letter, CASE letter {bit} END AS bit,
+    coalesce((SELECT sum(CASE y {bit} END) FROM (SELECT unnest(string_split(left(filter_order, step - 1), '')) AS y)), 0)::BIGINT AS applied
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step, unnest(string_split(filter_order, '')) AS letter FROM o WHERE length(filter_order) = 5)),
+r AS (SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (mask & (applied | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & applied = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & applied <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & applied = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & applied = 0), 0)::BIGINT AS toxic_lost
+  FROM s CROSS JOIN c GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
+
+
+@query(sql_filter_audit())
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    places = F.col("places")
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        license_scan.joined(F.col("place_labels")).alias("base_labels"), license_scan.joined(F.col("labels")).alias("labels"), "score",
+    )
+
+
+def sql_hybrid_search() -> str:
+    def terms(column: str) -> str:
+        return f"regexp_extract_all(translate({column}, '{url_graph.UPPER}', '{url_graph.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    return f"""
+WITH w AS (SELECT row, doc_id, unnest({terms("text")}) AS term FROM (SELECT row_number() OVER () AS row, * FROM documents)),
+n AS (SELECT row, count(*) AS n FROM w GROUP BY 1),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+q AS (SELECT DISTINCT item_id, unnest({terms("text")}) AS term FROM benchmark),
+p AS (SELECT row, doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, g GROUP BY term, docs),
+s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN n USING (row), g GROUP BY 1, 2, 3),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@query(sql_hybrid_search())
+def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

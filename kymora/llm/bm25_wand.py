@@ -169,14 +169,15 @@ def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard = Shard(row, wanted, idf, mean)
-                q, ids, scores = [], [], []
-                for number, query_id, t in queries:
+                n, ids, scores = [], [], []
+                for query_id, _, t in queries:
                     doc, score = shard.top(t, k, query_id)
-                    q.append(np.full(len(doc), number))
+                    n.append(len(doc))
                     ids.append(shard.ids[doc])
                     scores.append(score)
-                cols = [np.concatenate(x) if x else np.zeros(0) for x in (q, ids, scores)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["query_id", "doc_id", "score"])
+                names = [np.repeat(np.array([q[c] for q in queries], np.int64), n) for c in (0, 1)]
+                cols = [*names, np.concatenate(ids).astype(np.int64), np.concatenate(scores).astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "key", "doc_id", "score"])
 
     return run
 
@@ -212,10 +213,8 @@ def search(docs: DataFrame, asked: Column, k: int = 10) -> DataFrame:
         for r in index.select("terms", "offsets").mapInArrow(frequencies(wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
             n[r["term"]] = r["n"]
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
-        numbered = [(i, r["query_id"], np.searchsorted(wanted, t)) for i, (r, t) in enumerate(zip(block, each, strict=True))]
-        names = spark.createDataFrame([(i, r["query_id"], r["key"]) for i, r in enumerate(block)], "q int, query_id bigint, key bigint")
-        found = index.mapInArrow(searcher(numbered, wanted, idf, stats[1] / stats[0], k), "query_id bigint, doc_id bigint, score double")
-        found = found.withColumnRenamed("query_id", "q").join(names, "q").select("query_id", "key", "doc_id", "score")
+        named = [(r["query_id"], r["key"], np.searchsorted(wanted, t)) for r, t in zip(block, each, strict=True)]
+        found = index.mapInArrow(searcher(named, wanted, idf, stats[1] / stats[0], k), "query_id bigint, key bigint, doc_id bigint, score double")
         out = out.union(found if parts == 1 else stored(best(found, k).drop("rank"), "found"))
     ranked = best(out, k)
     return ranked.select("query_id", "rank", "doc_id", "score")

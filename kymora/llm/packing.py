@@ -27,6 +27,7 @@ from kymora.llm.common import U64, documents, slices, splitmix, tasks
 CAPACITY, GROUP, LEAST_CUT = 1024, 4096, 16
 MASK = (1 << 64) - 1
 SPAN = 64  # full sequences moved in one row
+SEEN = 1 << 20  # documents of a task that are remembered to tell copies apart
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -114,6 +115,8 @@ def id_rows(path: str, end_id: int, capacity: int):
                 full = len(x) // capacity * capacity
                 cuts = [*range(0, full, SPAN * capacity), *([full] if full < len(x) else [])]
                 key = (zlib.crc32(x.tobytes()) << 32) ^ (d or 0)
+                if len(seen) == SEEN and key not in seen:
+                    seen.clear()
                 copy = seen[key] = seen.get(key, -1) + 1  # equal rows spread over groups
                 for c in cuts:
                     doc.append(d)
@@ -191,5 +194,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     """
     docs = documents(docs)
     rows = docs.mapInArrow(id_rows(path, end_id, capacity), "doc_id bigint, start bigint, doc_tokens bigint, group bigint, ids binary")
-    dealt = rows.repartition(tasks(docs.sparkSession), "group")
+    # A task that runs again must pack alike, whatever order its rows arrive in.
+    dealt = rows.repartition(tasks(docs.sparkSession), "group").sortWithinPartitions("group", "doc_id", "start")
     return dealt.mapInArrow(packer(capacity, group, least_cut), "doc_id bigint, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

@@ -5,7 +5,9 @@ with the share of its pages.  Trust flows along links (personalised PageRank), d
 against them: who links to a bad host is bad.  A host is blocked where its distrust
 reaches ``least`` and exceeds its trust.
 
-Mass is counted in whole units and pushed: a step moves the mass that arrived in the
+Mass is counted in whole units, UNIT for a host all of whose pages are seeds; divided by
+the units of all seeds it is the personalised distribution.  64 bits hold the seeds of
+nine billion hosts.  Mass is pushed: a step moves the mass that arrived in the
 step before, cut by the damping factor and divided by the links of the host, rounded
 down.  So every step shrinks it, the spread ends by itself when no unit moves, and the
 result does not depend on the order of additions.
@@ -60,7 +62,7 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: int = DAMPING) -> DataFr
     also has a row to itself among the links, which keeps its sum, so a step is one join
     and one sum; STEPS of them make a job.
     """
-    state = seeds.select("host", F.expr(f"(mass * {100 - damping}) div 100").alias("mass")).withColumn("fresh", F.col("mass"))
+    state = seeds.select("host", F.expr(f"mass div 100 * {100 - damping} + mass % 100 * {100 - damping} div 100").alias("mass")).withColumn("fresh", F.col("mass"))
     hosts = state.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     to = edges.join(out, "src").select("src", "dst", "n", "all")
@@ -69,7 +71,8 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: int = DAMPING) -> DataFr
     while moving:
         for _ in range(STEPS):
             kept = F.col("all") == 0
-            moved = F.when(kept, 0).otherwise(F.expr(f"(fresh * {damping} div 100) * n div all"))
+            damped = f"(fresh div 100 * {damping} + fresh % 100 * {damping} div 100)"  # no product of masses: units and links multiply to more than 64 bits
+            moved = F.when(kept, 0).otherwise(F.expr(f"{damped} div all * n + {damped} % all * n div all"))
             each = state.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), F.when(kept, F.col("mass")).otherwise(moved).alias("mass"), moved.alias("fresh"))
             state = each.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("fresh").alias("fresh"))
         state = stored(state, "mass")

@@ -85,3 +85,12 @@ def test_equal_rows_are_spread(documents, prose):
     rows = [(7, prose(1, 100))] * 400
     groups = pack(documents(rows), PATH, group=32).selectExpr("sequence_id >> 40 AS g").distinct().count()
     assert groups > 2
+
+
+def test_arrival_order_does_not_matter(documents, prose):
+    rows = [(i, prose(i, 5 + 11 * i % 300)) for i in range(200)] + [(500, "q w " * 5000)]
+    packings = [
+        sorted((r["doc_id"], r["start"], r["sequence_id"], r["offset"], bytes(r["ids"])) for r in pack(docs, PATH, capacity=128, group=16).collect())
+        for docs in (documents(rows).coalesce(1), documents(rows[::-1]).repartition(7), documents(rows).repartition(3, "text"))
+    ]
+    assert packings[0] == packings[1] == packings[2]

@@ -41,7 +41,7 @@ def test_weak_parts_need_a_complement(documents):
     assert spans(documents, f"{ACCESS} {'word ' * 100}{KEY40}") == [("access", ACCESS)]
     got = spans(documents, f"{ACCESS} {KEY40} at s3.eu-west-1.amazonaws.com")
     assert got == [("access", ACCESS), ("secret", KEY40), ("endpoint", "s3.eu-west-1.amazonaws.com")]
-    assert [k for k, _ in spans(documents, f"{KEY40} at https://api.example.com")] == ["endpoint"]
+    assert [k for k, _ in spans(documents, f"{KEY40} at https://api.example.com")] == ["secret", "endpoint"]
     assert [k for k, _ in spans(documents, f"token = {KEY40}")] == ["assign"]  # a weak part inside a strong one is not told twice
 
 

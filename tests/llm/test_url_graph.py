@@ -113,3 +113,10 @@ def test_odd_rows(spark, pages):
     assert u.judge(df).count() == 5
     assert u.judge(pages(rows).limit(0)).count() == 0
     assert u.judge(pages(rows).drop("html")).count() == 5
+
+
+def test_a_hub_with_more_mass_than_products_hold(spark):
+    edges = [("hub", f"t{i}", 100_000 + i) for i in range(5)] + [("fan", "hub", 3_000_000_000)]
+    seeds = {"hub": 10**15, "fan": 8 * 10**18}
+    got = u.spread(spark.createDataFrame(list(seeds.items()), "host string, mass bigint"), spark.createDataFrame(edges, "src string, dst string, n bigint"))
+    assert {r["host"]: r["mass"] for r in got.collect()} == push(seeds, edges)

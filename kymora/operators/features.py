@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -10,9 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kymora.functions import vectors as V
+from kymora.operators import series
 from kymora.operators import windows as W
+from kymora.operators.keyed import KEY, key_column, with_model
 from kymora.session import spread, stored
 
 # --- filtering ---
@@ -157,6 +159,9 @@ def _log_at(p: int):
     def run(cov: pd.Series, ref: pd.Series) -> pd.Series:
         out = []
         for c, r in zip(cov, ref, strict=True):
+            if c is None or r is None:
+                out.append(None)
+                continue
             root = _matrix_function(_square(r, p), lambda w: w**-0.5)
             m = _matrix_function(root @ _square(c, p) @ root, np.log)
             out.append([float(m[i, j]) for i, j in pairs(p)])
@@ -187,49 +192,72 @@ def _matrix_function_signed(m: np.ndarray) -> np.ndarray:
 def geometric_mean(covs: DataFrame, keys: Sequence[str], p: int, tol: float = 1e-6) -> DataFrame:
     """Mean of positive-definite matrices per key under the affine-invariant metric.
 
-    Each iteration is one aggregate of tangent vectors; only one small matrix
-    per key is stored between iterations.  It ends when every step is below ``tol``.
-    Steps of a spread that is too wide need not shrink; where the largest step has not
-    become smaller ten times running, this is an error and not an answer.
+    A pass sums, per key, the tangent vectors at a trial mean and their squared lengths.
+    The trial becomes the mean where the sum of squares has not grown, else the step to
+    it is halved, so any spread of matrices settles.  Keys leave as their mean tangent
+    is shorter than ``tol``, or as rounding hides any gain; only one small matrix per key is stored between passes.
     """
     keys, m = list(keys), len(pairs(p))
-    covs = stored(covs)  # read once per iteration
+    kinds = T.StructType([covs.schema[k] for k in keys])
+    covs = stored(covs.withColumn(KEY, key_column(keys)).select(KEY, "cov"))  # read once per pass
     mean_of = lambda c: F.array(*[F.avg(F.col(c)[i]) for i in range(m)])
-    ref = stored(covs.groupBy(*keys).agg(mean_of("cov").alias("ref")))
+    weights = F.array(*[F.lit(1.0 if i == j else 2.0) for i, j in pairs(p)])
+    squared = lambda c: F.aggregate(F.zip_with(c, weights, lambda v, w: v * v * w), F.lit(0.0), lambda a, v: a + v)
+    start = covs.groupBy(KEY).agg(mean_of("cov").alias("trial"))
+    none = F.lit(None)
+    state = stored(start.select(KEY, none.cast("array<double>").alias("ref"), none.cast("array<double>").alias("direction"), none.cast("double").alias("spread"), F.lit(1.0).alias("size"), "trial", F.lit(True).alias("moving")))
     log_at, step = _log_at(p), _step_along(p)
-    least, worse = float("inf"), 0
-    while True:
-        tangent = covs.join(ref, keys).select(*keys, "ref", log_at("cov", "ref").alias("_t"))
-        moved = tangent.groupBy(*keys).agg(F.first("ref").alias("ref"), mean_of("_t").alias("_d"))
-        size = F.sqrt(F.aggregate("_d", F.lit(0.0), lambda a, v: a + v * v))
-        new = stored(moved.select(*keys, step("ref", "_d").alias("ref"), size.alias("_size")))
-        ref = new.select(*keys, "ref")
-        largest = new.agg(F.max("_size")).first()[0]
-        if largest is None or largest < tol:
-            return ref
-        least, worse = (largest, 0) if largest < least else (least, worse + 1)
-        if worse == 10:
-            raise ArithmeticError(f"the mean does not settle: the largest step stays at {least:.3g}")
-
-
-def tangent_features(covs: DataFrame, reference: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
-    """Tangent vectors at a reference fitted on train windows; off-diagonal entries weigh sqrt 2."""
+    while not (moving := state.where("moving")).isEmpty():
+        tangent = covs.join(moving.select(KEY, "trial"), KEY).select(KEY, log_at("cov", "trial").alias("_t"))
+        at_trial = tangent.groupBy(KEY).agg(mean_of("_t").alias("_d"), F.avg(squared(F.col("_t"))).alias("_s"))
+        better = F.col("spread").isNull() | (F.col("_s") <= F.col("spread") * (1 + 1e-12))
+        pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
+        size = F.when(better, F.least(F.col("size") * 2, F.lit(1.0))).otherwise(F.col("size") / 2)
+        gained = F.col("spread") - F.col("_s") > F.col("spread") * 1e-13  # below that only rounding moves the sum
+        settled = better & ((squared(F.col("_d")) < tol * tol) | (F.col("spread").isNotNull() & ~gained))
+        moved = moving.join(at_trial, KEY).select(
+            KEY, pick("trial", "ref").alias("ref"), pick("_d", "direction").alias("direction"), pick("_s", "spread").alias("spread"), size.alias("size"),
+            ~settled & (size > 1e-6) & ~F.isnan("_s") & F.col("_s").isNotNull(),
+        ).toDF(KEY, "ref", "direction", "spread", "size", "moving")
+        trial = step("ref", F.transform("direction", lambda v: v * F.col("size")))
+        stepped = moved.select(KEY, "ref", "direction", "spread", "size", trial.alias("trial"), "moving")
+        state = stored(state.where("NOT moving").unionByName(stepped))
+    return state.select(KEY, "ref").withColumns({k: F.from_json(KEY, kinds).getField(k) for k in keys}).select(*keys, "ref")
+
+
+def tangent_features(covs: DataFrame, reference: DataFrame, keys: Sequence[str], p: int, cov: str = "cov", out: str = "features") -> DataFrame:
+    """Tangent vectors at a reference (keys, ref) fitted on train windows; off-diagonal entries weigh sqrt 2.
+
+    Windows of keys without a reference keep their row with null features.
+    """
     weights = F.array(*[F.lit(1.0 if i == j else math.sqrt(2.0)) for i, j in pairs(p)])
     log_at = _log_at(p)
-    t = covs.join(reference, list(keys)).withColumn("_t", log_at("cov", "ref"))
-    return t.withColumn("features", F.zip_with("_t", weights, lambda a, b: a * b)).drop("_t", "ref")
+    t = with_model(covs, reference.withColumnRenamed("ref", "_ref"), keys).withColumn("_t", log_at(cov, "_ref"))
+    return t.withColumn(out, F.zip_with("_t", weights, lambda a, b: a * b)).drop("_t", "_ref")
 
 
 # --- feature relevance ---
 
 
-def mutual_information(rows: DataFrame, features: str, label: str, bins: int = 8) -> DataFrame:
-    """Mutual information of every feature with the label, from equal-width bins, in nats."""
-    long = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("feature", "v")).withColumn("v", F.col("v").cast("double"))
-    ends = long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    binned = long.join(ends, "feature").withColumn("bin", F.least(F.floor(width * bins), F.lit(bins - 1)))
-    joint = binned.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+def mutual_information(rows: DataFrame, features: str, label: str, bins: int = 8, slots: int = 256) -> DataFrame:
+    """Mutual information of every feature with the label, from quantile bins, in nats.
+
+    Of ``n`` values of a feature, one with ``r`` smaller values is in bin ``r * bins div
+    n``: bins of equal size in order of value, and equal values always share one.  The
+    ranks are exact and come from counts of equal values, added up along ``slots``
+    ranges of the feature's values, so a feature is as many tasks as it has slots.  Null
+    entries take no part, NaN is larger than any number.
+    """
+    long = rows.select(F.col(label).alias("label"), F.posexplode(features).alias("feature", "v")).where("v IS NOT NULL")
+    counts = stored(long.groupBy("feature", F.col("v").cast("double").alias("v"), "label").agg(F.count(F.lit(1)).alias("n")))
+    finite = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+    ends = counts.groupBy("feature").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.sum("n").alias("nt"))
+    values = counts.groupBy("feature", "v").agg(F.sum("n").alias("n")).join(ends, "feature")
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    place = F.when(F.isnan("v") | (F.col("v") > F.col("hi")), slots).when(F.col("v") < F.col("lo"), -1).when(F.col("hi") > F.col("lo"), F.floor(share * slots)).otherwise(0)
+    ranked = series.scan(values, ["feature"], ["v"], place, {"below": ("sum", F.col("n"))})
+    binned = counts.join(ranked.select("feature", "v", F.expr(f"below * {bins} div nt").alias("bin")), ["feature", "v"])
+    joint = binned.groupBy("feature", "bin", "label").agg(F.sum("n").alias("n"))
     # The joint table is features x bins x labels: small, so its margins are windows over it.
     over = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
     margins = joint.select("feature", "n", over("bin").alias("nb"), over("label").alias("nl"), over().alias("nt"))
@@ -275,7 +303,8 @@ def fit_discriminant(train: DataFrame, keys: Sequence[str], features: str, label
     """Weights of a linear discriminant per key.
 
     Counts, sums and cross products per (key, class) are made per partition and
-    added up entry by entry; the solve sees one number per class and entry.
+    added up entry by entry; the solve sees one number per class and entry.  Where the
+    classes of a key do not spread, the model has no weights but a ``reason``.
     """
     keys = list(keys)
     zeros = F.array_repeat(F.lit(0.0), p)  # a null adds nothing to a sum
@@ -294,82 +323,60 @@ def fit_discriminant(train: DataFrame, keys: Sequence[str], features: str, label
         within = sum(_square(q, p) for q in m[:, p + 1 :]) - (n[:, None, None] * means[:, :, None] * means[:, None, :]).sum(0)
         cov = within / n.sum()
         cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / p * np.eye(p)
-        weights = np.linalg.solve(cov, means.T).T
-        bias = -0.5 * (weights * means).sum(1) + np.log(n / n.sum())
+        try:
+            weights = np.linalg.solve(cov, means.T).T
+            bias = -0.5 * (weights * means).sum(1) + np.log(n / n.sum())
+            fitted = [weights.tolist(), bias.tolist(), None]
+        except np.linalg.LinAlgError:
+            fitted = [None, None, "no spread within classes"]
         return pd.DataFrame(
-            [[*[pdf[k].iloc[0] for k in keys], pdf["class"].to_numpy()[::width].tolist(), weights.tolist(), bias.tolist()]],
-            columns=[*keys, "classes", "weights", "bias"],
+            [[*[pdf[k].iloc[0] for k in keys], pdf["class"].to_numpy()[::width].tolist(), *fitted]],
+            columns=[*keys, "classes", "weights", "bias", "reason"],
         )
 
     return spread(stats, *[F.col(k) for k in keys]).groupBy(*keys).applyInPandas(
-        solve, ddl + "classes array<int>, weights array<array<double>>, bias array<double>"
+        solve, ddl + "classes array<int>, weights array<array<double>>, bias array<double>, reason string"
     )
 
 
-def score_discriminant(rows: DataFrame, model: DataFrame, keys: Sequence[str], features: str, p: int) -> DataFrame:
-    """Posterior of every row under its key's model."""
+def score_linear(rows: DataFrame, model: DataFrame, keys: Sequence[str], features: str, p: int, n_classes: int | None = None) -> DataFrame:
+    """Posterior of every row under its key's model (classes, weights, bias, reason), and ``model_status``.
+
+    Scores are linear in the first ``p`` features.  With ``n_classes`` the posterior has
+    an entry for each class from 0, 0 for a class that the key has not seen; else one
+    for each class of the key.  The status is ``ok``, the model's reason, ``no model``
+    or ``no features``; only a row with weights and features has a posterior.
+    """
     x = F.transform(F.slice(F.col(features), 1, p), lambda v: v.cast("double"))
     dots = F.transform("weights", lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    scored = rows.join(model, list(keys)).withColumn("_scores", F.zip_with(dots, F.col("bias"), lambda a, b: a + b))
-    return scored.withColumn("posterior", V.as_float(V.softmax(F.col("_scores")))).drop("_scores", "weights", "bias", "classes")
-
-
-# --- logistic regression ---
-
-
-def fit_logistic(train: DataFrame, features: str, label: str, c: float = 1.0, max_iter: int = 100):
-    """Multinomial logistic model with the penalty ``1 / (C n)`` on unscaled features."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    data = train.select(
-        array_to_vector(F.transform(F.col(features), lambda v: v.cast("double"))).alias("features"), F.col(label).cast("double").alias("label")
-    ).cache()
-    try:
-        n = data.count()
-        return LogisticRegression(family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter).fit(data)
-    finally:
-        data.unpersist()
-
-
-def score_logistic(rows: DataFrame, model, features: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    # the model reads and adds columns of its own, so the rows travel in one struct
-    data = rows.select(F.struct("*").alias("row"), array_to_vector(F.transform(F.col(features), lambda v: v.cast("double"))).alias("features"))
-    out = model.transform(data)
-    kept = [F.col("row")[c].alias(c) for c in rows.columns if c != "posterior"]
-    return out.select(*kept, V.as_float(vector_to_array("probability")).alias("posterior"))
+    scored = with_model(rows, model.select(*keys, "classes", "weights", "bias", "reason"), keys)
+    scored = scored.withColumn("_scores", F.zip_with(dots, F.col("bias"), lambda a, b: a + b))
+    own = V.softmax(F.col("_scores"))
+    if n_classes is not None:
+        scored = scored.withColumn("_own", own)
+        own = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.coalesce(F.get("_own", F.array_position("classes", k).cast("int") - 1), F.lit(0.0)))
+        own = F.when(F.col("_own").isNotNull(), own)
+    whole = F.col(features).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v)) & (F.size(x) == p)
+    status = F.when(F.col("classes").isNull(), "no model").when(~whole | F.col(features).isNull(), "no features").otherwise(F.coalesce("reason", F.lit("ok")))
+    posterior = F.when(whole, V.as_float(own))
+    return scored.withColumns({"posterior": posterior, "model_status": status}).drop("_scores", "_own", "weights", "bias", "classes", "reason")
 
 
 # --- decoders by name ---
 
 
-def _discriminant(train: DataFrame, rows: DataFrame, keys: Sequence[str], features: str, label: str, p: int) -> DataFrame:
-    return score_discriminant(rows, fit_discriminant(train, keys, features, label, p), keys, features, p)
-
-
-def _logistic(train: DataFrame, rows: DataFrame, keys: Sequence[str], features: str, label: str, p: int) -> DataFrame:
-    first = lambda df: df.withColumn("_x", F.slice(F.col(features), 1, p))
-    if keys:  # one model per key of the train rows, fitted one after the other
-        out = []
-        for at in train.select(*keys).distinct().orderBy(*keys).collect():
-            here = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(at[k])) for k in keys])
-            out.append(_logistic(train.where(here), rows.where(here), [], features, label, p))
-        if not out:
-            raise ValueError("no train rows to fit a model on")
-        return functools.reduce(DataFrame.unionByName, out)
-    return score_logistic(first(rows), fit_logistic(first(train), "_x", label), "_x").drop("_x")
-
-
-DECODERS: dict[str, Callable[..., DataFrame]] = {"discriminant": _discriminant, "logistic": _logistic}
+def decode(name: str, train: DataFrame, rows: DataFrame, keys: Sequence[str], features: str, label: str, p: int) -> DataFrame:
+    """Fit the named decoder on train rows and score ``rows``; adds ``posterior`` and ``model_status``.
 
+    Every row stays: one whose key has no train rows, or whose model or features do not
+    give a posterior, has a null one and a status that says so.  To keep a fitted
+    decoder, use its estimator in ``learners``.
+    """
+    from kymora.operators.learners import DECODERS  # these estimators are built from the functions of this module
 
-def decode(name: str, train: DataFrame, rows: DataFrame, keys: Sequence[str], features: str, label: str, p: int) -> DataFrame:
-    """Fit the named decoder on train rows and score ``rows``; adds ``posterior``."""
     if name not in DECODERS:
         raise KeyError(f"unknown decoder {name!r}, available: {sorted(DECODERS)}")
-    return DECODERS[name](train, rows, keys, features, label, p)
+    return DECODERS[name](keys=list(keys), featuresCol=features, labelCol=label, size=p).fit(train).transform(rows)
 
 
 def decode_with_udf(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], features: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kymora.functions import naming as N
+from kymora.operators.keyed import with_model
 from kymora.sources.synthetic import shuffled_index
 
 
@@ -63,14 +64,25 @@ def holdout(rows: DataFrame, fraction: float, seed: int, keys: Sequence[str], la
     return dealt.join(sizes, [*keys, label]).withColumn("validation", F.col("_i") < F.bround(F.col("_n") * fraction)).drop("_i", "_n")
 
 
-def standardise_on_train(rows: DataFrame, features: Sequence[str], is_train: Column, keys: Sequence[str]) -> DataFrame:
-    """Scale features with the mean and spread of the train rows only."""
+def fit_scaling(train: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, m_<feature>, s_<feature>): mean and spread of each feature per key."""
     stats = []
     for f in features:
-        stats += [F.avg(F.when(is_train, F.col(f))).alias(f"_m_{f}"), F.stddev_pop(F.when(is_train, F.col(f))).alias(f"_s_{f}")]
-    fitted = rows.groupBy(*keys).agg(*stats)
-    out = rows.join(fitted, list(keys))
+        stats += [F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}")]
+    return train.groupBy(*keys).agg(*stats)
+
+
+def apply_scaling(rows: DataFrame, fitted: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Features scaled by their key's fit, and ``scaling_status``: ``ok``, or ``no train rows`` with null features."""
+    model = fitted.select(*keys, F.struct(*[c for c in fitted.columns if c not in keys]).alias("_fit"))
+    out = with_model(rows, model, keys)
+    scaled = {}
     for f in features:
-        sd = F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0)
-        out = out.withColumn(f, (F.col(f) - F.col(f"_m_{f}")) / sd)
-    return out.drop(*[f"_{p}_{f}" for p in "ms" for f in features])
+        sd = F.when(F.col(f"_fit.s_{f}") > 0, F.col(f"_fit.s_{f}")).otherwise(1.0)
+        scaled[f] = (F.col(f) - F.col(f"_fit.m_{f}")) / sd
+    return out.withColumns(scaled).withColumn("scaling_status", F.when(F.col("_fit").isNull(), "no train rows").otherwise("ok")).drop("_fit")
+
+
+def standardise_on_train(rows: DataFrame, features: Sequence[str], is_train: Column, keys: Sequence[str]) -> DataFrame:
+    """Scale features with the mean and spread of the train rows only; every row stays, a null key is a key."""
+    return apply_scaling(rows, fit_scaling(rows.where(is_train), features, keys), features, keys)

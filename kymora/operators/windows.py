@@ -140,18 +140,26 @@ def cut(
     samples: DataFrame, ranges: DataFrame, on: Sequence[str], series_keys: Sequence[str], range_id: str, start: str, length: int,
     idx: str = "sample_idx", value: str = "value",
 ) -> DataFrame:
-    """Signal of every range ``[start, start + length)``, one row per range and series.
+    """Signal of every range ``[start, start + length)``, one row per range and series, with its ``status``.
 
     ``on`` are the keys that ranges and samples share (a subset of
     ``series_keys``).  Blocks overlap by one range, so every range lies inside
     one block: the range join is an equi-join on keys and block number, and a
     long series is spread over its blocks.
+
+    No range is lost: ``ok`` is a whole signal, ``short`` ends with its series, ``outside``
+    (null signal) starts before or behind it, ``no recording`` (null signal and series)
+    meets no series at all.
     """
     rows = block_rows(length)
     packed = blocks(samples, series_keys, idx, value, rows, length - 1)
     wanted = ranges.select(*on, range_id, F.col(start).alias("_start")).withColumn("block", F.floor(F.col("_start") / rows))
+    every = wanted.join(samples.select(*series_keys).distinct().withColumn("_there", F.lit(True)), list(on), "left")
     inside = F.slice("signal", (F.col("_start") - F.col("block") * rows + 1).cast("int"), length)
-    return wanted.join(packed, [*on, "block"]).select(*series_keys, range_id, F.col("_start").alias(start), inside.alias("signal"))
+    signal = F.when((F.col("_start") >= 0) & (F.size(inside) > 0), inside)
+    status = F.when(F.col("_there").isNull(), "no recording").when(signal.isNull(), "outside").when(F.size(signal) < length, "short").otherwise("ok")
+    found = every.join(packed, [*series_keys, "block"], "left")
+    return found.select(*series_keys, range_id, F.col("_start").alias(start), signal.alias("signal"), status.alias("status"))
 
 
 def slice_window(signal: Column, start: Column, window: int) -> Column:
@@ -166,18 +174,19 @@ def plan_epochs(
     """Sample range per trial and its status.
 
     ``error``: starts before the recording or misses more than ``max_short``
-    samples; ``truncated``: misses a few; ``ok`` otherwise.
+    samples; ``truncated``: misses a few; ``no recording``: there is no length
+    for its keys; ``ok`` otherwise.  Every trial keeps its row.
     """
     cue = F.col(onset) + event_offset_s
     start = F.bround(cue * sfreq).cast("bigint") + F.bround(F.lit(tmin * sfreq)).cast("bigint")
     short = F.col("start_sample") + n - F.col("n_samples")
     return (
         trials.withColumn("start_sample", start)
-        .join(lengths, list(on))
-        .withColumn("shortfall", F.greatest(short, F.lit(0)))
+        .join(lengths, list(on), "left")
+        .withColumn("shortfall", F.when(F.col("n_samples").isNotNull(), F.greatest(short, F.lit(0))))
         .withColumn(
             "status",
-            F.when((F.col("start_sample") < 0) | (short > max_short), "error").when(short > 0, "truncated").otherwise("ok"),
+            F.when(F.col("n_samples").isNull(), "no recording").when((F.col("start_sample") < 0) | (short > max_short), "error").when(short > 0, "truncated").otherwise("ok"),
         )
     )
 

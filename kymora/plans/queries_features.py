@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from kymora.functions import vectors as V
 from kymora.functions.vectors import rounded
 from kymora.operators import features as FE
+from kymora.operators import learners as LE
 from kymora.operators import posterior as P
 from kymora.plans.registry import query
-from kymora.session import stored
+from kymora.session import shared_dir, stored
 from kymora.sources import tables
 
 CHANNELS = ("click", "error", "purchase", "signup", "view")
@@ -105,34 +108,24 @@ def tangent_features(spark, d):
     return FE.tangent_features(covs, ref, ["subject"], 5).select("subject", "window", "features")
 
 
-@query(
-    "feature_information",
-    """WITH u AS (SELECT label, unnest(embedding[1:8])::DOUBLE AS v, CAST(unnest(range(0,8)) AS INT) AS feature FROM embeddings),
-e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM u GROUP BY feature),
-b AS (SELECT u.feature, label, least(floor((v-lo)/(hi-lo)*8),7) AS bin FROM u JOIN e USING (feature)),
+INFORMATION_CTE = """WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS v, CAST(unnest(range(0,64)) AS INT) AS feature FROM embeddings),
+b AS (SELECT feature, label, (rank() OVER (PARTITION BY feature ORDER BY v)-1)*8//count(*) OVER (PARTITION BY feature) AS bin FROM u),
 j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),
-a AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, label) AS nl, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
-SELECT feature, round(sum(n/nt*ln(n*nt/(nb*nl))),6) AS information FROM a GROUP BY feature""",
-)
+a AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, label) AS nl, sum(n) OVER (PARTITION BY feature) AS nt FROM j)"""
+
+
+@query("feature_information", INFORMATION_CTE + " SELECT feature, round(sum(n/nt*ln(n*nt/(nb*nl))),6) AS information FROM a GROUP BY feature")
 def feature_information(spark, d):
-    """Binned mutual information of eight features with the label."""
-    e = tables.read(spark, d, "embeddings").withColumn("x", F.slice("embedding", 1, 8))
-    return FE.mutual_information(e, "x", "label").select("feature", rounded(F.col("information")).alias("information"))
+    """Mutual information of every feature with the label, from quantile bins."""
+    e = tables.read(spark, d, "embeddings")
+    return FE.mutual_information(e, "embedding", "label").select("feature", rounded(F.col("information")).alias("information"))
 
 
-@query(
-    "informative_features",
-    """WITH u AS (SELECT label, unnest(embedding[1:8])::DOUBLE AS v, CAST(unnest(range(0,8)) AS INT) AS feature FROM embeddings),
-e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM u GROUP BY feature),
-b AS (SELECT u.feature, label, least(floor((v-lo)/(hi-lo)*8),7) AS bin FROM u JOIN e USING (feature)),
-j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),
-a AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, label) AS nl, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
-SELECT feature FROM (SELECT feature, round(sum(n/nt*ln(n*nt/(nb*nl))),9) AS s FROM a GROUP BY feature) ORDER BY s DESC, feature LIMIT 4""",
-)
+@query("informative_features", INFORMATION_CTE + " SELECT feature FROM (SELECT feature, round(sum(n/nt*ln(n*nt/(nb*nl))),9) AS s FROM a GROUP BY feature) ORDER BY s DESC, feature LIMIT 16")
 def informative_features(spark, d):
-    e = tables.read(spark, d, "embeddings").withColumn("x", F.slice("embedding", 1, 8))
-    mi = FE.mutual_information(e, "x", "label").withColumn("s", F.round("information", 9))
-    return FE.select_top(mi, "s", "feature", 4).select("feature")
+    """The sixteen most informative of all features, equal ones by index."""
+    mi = FE.mutual_information(tables.read(spark, d, "embeddings"), "embedding", "label").withColumn("s", F.round("information", 9))
+    return FE.select_top(mi, "s", "feature", 16).select("feature")
 
 
 def _windows(spark, d):
@@ -164,3 +157,36 @@ def logistic_posteriors(spark, d):
     w = _windows(spark, d)
     out = FE.decode("logistic", w.where("session = 'T'"), w.where("session = 'E'"), [], "embedding", "label", 64)
     return out.select("window_id", "subject", "label", "posterior")
+
+
+@query("logistic_by_subject")
+def logistic_by_subject(spark, d):
+    """One logistic model per subject, all fitted together; every row of the other session with its status."""
+    w = _windows(spark, d)
+    out = FE.decode("logistic", w.where("session = 'T'"), w.where("session = 'E'"), ["subject"], "embedding", "label", 64)
+    return out.select("window_id", "subject", "label", "posterior", "model_status")
+
+
+WINDOW_CTE = """WITH w AS (SELECT vec_id AS window_id, CAST(floor(vec_id/7)%9+1 AS INT) AS subject, CASE WHEN floor(vec_id/7)%2=0 THEN 'T' ELSE 'E' END AS session FROM embeddings)"""
+
+
+@query(
+    "decoders_saved_and_loaded",
+    WINDOW_CTE + """, k AS (SELECT DISTINCT subject FROM w WHERE session='T' AND subject<>4)
+SELECT decoder, subject, count(*) AS n, CASE WHEN subject IN (SELECT subject FROM k) THEN 0.0::DOUBLE END AS worst, CASE WHEN subject IN (SELECT subject FROM k) THEN 'ok' ELSE 'no model' END AS model_status
+FROM w, (SELECT unnest(['discriminant','logistic']) AS decoder) WHERE session='E' GROUP BY ALL""",
+)
+def decoders_saved_and_loaded(spark, d):
+    """Posteriors of decoders that were saved and loaded against those of the fitted ones; subject 4 was not fitted."""
+    w = _windows(spark, d)
+    train, rows = w.where("session = 'T' AND subject <> 4"), w.where("session = 'E'")
+    out = []
+    for name, kind in LE.DECODERS.items():
+        fitted = kind(keys=["subject"], featuresCol="embedding", labelCol="label", size=64).fit(train)
+        path = f"{shared_dir(spark)}/decoder-{uuid.uuid4().hex}"
+        fitted.write().save(path)
+        fresh = fitted.transform(rows).select("window_id", F.col("posterior").alias("fresh"))
+        both = LE.LinearDecoderModel.load(path).transform(rows).join(fresh, "window_id")
+        gap = F.array_max(F.zip_with("posterior", "fresh", lambda a, b: F.abs(a - b))).cast("double")
+        out.append(both.groupBy("subject", "model_status").agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("worst")).select(F.lit(name).alias("decoder"), "subject", "n", "worst", "model_status"))
+    return out[0].unionByName(out[1])

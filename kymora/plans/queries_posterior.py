@@ -265,11 +265,11 @@ def argmax_onehot_rowsum(spark, d):
 @query(
     "softmax_scores",
     """
-WITH e AS (SELECT vec_id, embedding[1]*3.0::DOUBLE AS a, embedding[2]*3.0::DOUBLE AS b, embedding[3]*3.0::DOUBLE AS c, embedding[4]*3.0::DOUBLE AS d FROM embeddings),
-z AS (SELECT vec_id, exp(a) AS a, exp(b) AS b, exp(c) AS c, exp(d) AS d FROM e)
-SELECT vec_id, round(a/(a+b+c+d),6) AS p0, round(b/(a+b+c+d),6) AS p1, round(c/(a+b+c+d),6) AS p2, round(d/(a+b+c+d),6) AS p3 FROM z""",
+WITH e AS (SELECT vec_id, CAST(unnest(range(0,64)) AS INT) AS entry, exp(unnest(embedding)*3.0::DOUBLE) AS x FROM embeddings)
+SELECT vec_id, entry, round(x/sum(x) OVER (PARTITION BY vec_id),6) AS p FROM e""",
 )
 def softmax_scores(spark, d):
-    e = tables.read(spark, d, "embeddings")
-    s = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 3.0)
-    return spread(e.select("vec_id", V.softmax(s).alias("posterior")))
+    """Softmax over all entries of every vector."""
+    s = F.transform("embedding", lambda v: v.cast("double") * 3.0)
+    e = tables.read(spark, d, "embeddings").select("vec_id", F.posexplode(V.softmax(s)).alias("entry", "p"))
+    return e.select("vec_id", "entry", rounded(F.col("p")).alias("p"))

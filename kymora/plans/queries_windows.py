@@ -118,7 +118,7 @@ def extract_windows(spark, d):
     w = W.window_starts(_lengths(spark, d), ["subject", "channel"], "n", 32, 12.5)
     w = w.withColumn("window_id", F.col("start_sample"))
     out = W.cut(s, w, ["subject", "channel"], ["subject", "channel"], "window_id", "start_sample", 32)
-    return _summary(out.drop("window_id"))
+    return _summary(out.drop("window_id", "status"))
 
 
 EPOCH_CTE = """
@@ -152,7 +152,36 @@ WHERE status='ok' GROUP BY ALL""",
 def epoch_cut(spark, d):
     """Eight samples after every cue, for every channel."""
     ok = _plan(spark, d).where(F.col("status") == "ok")
-    return _summary(W.cut(tables.samples(spark, d), ok, ["subject"], ["subject", "channel"], "trial_id", "start_sample", 8))
+    return _summary(W.cut(tables.samples(spark, d), ok, ["subject"], ["subject", "channel"], "trial_id", "start_sample", 8).drop("status"))
+
+
+KEPT_CTE = """WITH l AS (SELECT subject, channel, count(*) AS n FROM d_sample GROUP BY ALL),
+t AS (SELECT trial_id, subject+trial_id%2 AS subject, CAST(round_even(onset_s*0.0015::DOUBLE,0) AS BIGINT)-3 AS start_sample FROM d_trial),
+j AS (SELECT t.subject, l.channel, trial_id, start_sample, CASE WHEN n IS NULL THEN 'no recording' WHEN start_sample<0 OR start_sample>=n THEN 'outside' WHEN start_sample+8>n THEN 'short' ELSE 'ok' END AS status,
+ CAST(CASE WHEN start_sample>=0 AND start_sample<n THEN least(8,n-start_sample) END AS INT) AS n FROM t LEFT JOIN l ON l.subject=t.subject)"""
+
+
+@query("every_range_with_status", KEPT_CTE + " SELECT subject, channel, trial_id, start_sample, status, n FROM j")
+def every_range_with_status(spark, d):
+    """Cuts around every cue: whole, short, outside their series, or of a subject without recording; none is lost."""
+    t = tables.trials(spark, d)
+    start = F.bround(F.col("onset_s") * 0.0015).cast("bigint") - 3
+    t = t.select("trial_id", (F.col("subject") + F.col("trial_id") % 2).alias("subject"), start.alias("start_sample"))
+    out = W.cut(tables.samples(spark, d), t, ["subject"], ["subject", "channel"], "trial_id", "start_sample", 8)
+    return out.select("subject", "channel", "trial_id", "start_sample", "status", F.size("signal").alias("n"))
+
+
+@query(
+    "trials_without_recording",
+    """WITH l AS (SELECT subject, min(n) AS n_samples FROM (SELECT subject, channel, count(*) AS n FROM d_sample GROUP BY ALL) WHERE subject<>3 GROUP BY subject),
+p AS (SELECT d_trial.subject, n_samples, CAST(round_even(onset_s*0.0015::DOUBLE,0) AS BIGINT)+2 AS start_sample FROM d_trial LEFT JOIN l USING (subject))
+SELECT subject, CASE WHEN n_samples IS NULL THEN 'no recording' WHEN start_sample<0 OR start_sample+8-n_samples>4 THEN 'error' WHEN start_sample+8-n_samples>0 THEN 'truncated' ELSE 'ok' END AS status, count(*) AS n FROM p GROUP BY ALL""",
+)
+def trials_without_recording(spark, d):
+    """Statuses of all trials where one subject has no length row."""
+    per = _lengths(spark, d).where("subject <> 3").groupBy("subject").agg(F.min("n").alias("n_samples"))
+    plan = W.plan_epochs(tables.trials(spark, d), per, ["subject"], onset="onset_s", sfreq=0.0015, tmin=1333.0, n=8, max_short=4)
+    return plan.groupBy("subject", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _clock(spark, d):

@@ -20,6 +20,7 @@ import functools
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 
 from kymora.llm.common import U64, Rolling, documents, ragged, row_key, slices, splitmix, unit
 
+PIECE_BITS = 24  # of an edge's number for its piece
 MARK, LITERAL = "▁", 0x110000
 BLOCK, CACHE = 1 << 18, 120_000
 POWER, SEED = 1.0, 1
@@ -66,12 +68,12 @@ class Lattices:
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         self.joined[self.code[pairs[:, 0]], self.code[pairs[:, 1]]] = True
         lead = min(i for _, i in pieces)
-        self.trie: dict = {}
+        self.pieces = ahocorasick.Automaton()
         for p, i in pieces:
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (i, 10.0 ** len(p) * (2 + i - lead) ** -power)  # a factor for each character keeps products near 1
+            self.pieces.add_word(p, (i + 1, len(p), 10.0 ** len(p) * (2 + i - lead) ** -power))  # a factor for each character keeps products near 1
+        self.pieces.make_automaton()
+        self.chars = np.ones(n + 1, np.int64)  # of piece i at i + 1; a byte spelling is one character
+        self.chars[[i + 1 for _, i in pieces]] = [len(p) for p, _ in pieces]
         self.longest = max(len(p) for p, _ in pieces)
         self.byte_weight = (2.0 + n) ** -power
         self.known: dict[str, tuple] = {}
@@ -80,49 +82,53 @@ class Lattices:
     def spell(self, c: str) -> list[int]:
         return [self.bytes[b] for b in (MARK if c == chr(0x10FFFF) else c).encode("utf-8", "surrogatepass")]
 
-    def lattice(self, text: str) -> tuple[int, bytes, bytes, bytes, bytes]:
-        """Places, and of each edge: end, length, piece, weight of all ways through it; byte spellings have piece -1."""
+    def lattice(self, text: str) -> tuple[int, bytes, bytes]:
+        """Places, and of each edge: its end and piece in one number, and the weight of all ways through it; byte spellings have piece -1.
+
+        An automaton tells the pieces that end at each place, the longest first, so the
+        sums at all their starts are complete.
+        """
         n = len(text)
         total = [1.0] + [0.0] * n
-        ends, lengths, ids, weights = [], [], [], []
-        add_end, add_length, add_id, add_weight = ends.append, lengths.append, ids.append, weights.append
-        trie = self.trie
-        for start in range(n):
-            here = total[start]
-            if not 1e-200 < here < 1e200:  # bring all that is still open back to a middling size
-                lift = 1.0 / here
-                for e in range(start, min(n, start + self.longest) + 1):
-                    total[e] *= lift
-                for i in range(len(ends) - 1, -1, -1):
-                    if ends[i] - lengths[i] < start - self.longest:
-                        break
-                    weights[i] *= lift if ends[i] > start else 1.0
-                here = 1.0
-            node, e, single = trie, start, False
-            while e < n:
-                node = node.get(text[e])
-                if node is None:
-                    break
-                e += 1
-                piece = node.get("")
-                if piece:
-                    w = here * piece[1]
-                    total[e] += w
-                    add_end(e)
-                    add_length(e - start)
-                    add_id(piece[0])
-                    add_weight(w)
-                    if e - start == 1:
-                        single = True
+        edges, weights = [], []
+        add_edge, add_weight = edges.append, weights.append
+
+        def spelled(e: int) -> None:
+            w = total[e - 1] * 10.0 * self.byte_weight ** len(text[e - 1].encode("utf-8", "surrogatepass"))
+            total[e] += w
+            add_edge(e << PIECE_BITS)
+            add_weight(w)
+
+        def level(e: int) -> None:
+            """Bring all sums that a piece can still start from back to a middling size."""
+            lift = 1.0 / total[e]
+            for s in range(max(0, e - self.longest), e + 1):
+                total[s] *= lift
+
+        done, single = 0, True  # places that are complete
+        for last, (piece, length, weight) in self.pieces.iter(text):
+            e = last + 1
+            while done < e:  # close the place before, and those where no piece ends
+                if not single:
+                    spelled(done)
+                if not 1e-200 < total[done] < 1e200:
+                    level(done)
+                done += 1
+                single = False
+            w = total[e - length] * weight
+            total[e] += w
+            add_edge((e << PIECE_BITS) + piece)
+            add_weight(w)
+            if length == 1:
+                single = True
+        while done <= n:
             if not single:
-                width = len(text[start].encode("utf-8", "surrogatepass"))
-                w = here * 10.0 * self.byte_weight**width
-                total[start + 1] += w
-                add_end(start + 1)
-                add_length(1)
-                add_id(-1)
-                add_weight(w)
-        return n, *(array("i", x).tobytes() for x in (ends, lengths, ids)), array("d", weights).tobytes()
+                spelled(done)
+            if not 1e-200 < total[done] < 1e200:
+                level(done)
+            done += 1
+            single = False
+        return n, array("q", edges).tobytes(), array("d", weights).tobytes()
 
     def filtered(self, units: list[str]) -> list[tuple]:
         """Lattices of units; the cache holds two generations, and what is used moves to the younger one."""
@@ -210,9 +216,11 @@ def _sample(group: list[tuple[int, int, str]], keys: np.ndarray, model: Lattices
     parts = model.filtered(units)
     places = np.array([p[0] for p in parts])
     base = np.cumsum(places) - places  # place 1 of unit u is base[u]
-    edges = np.array([len(p[1]) // 4 for p in parts])
-    end, length, piece = (np.frombuffer(b"".join([p[k] for p in parts]), np.int32).astype(np.int64) for k in (1, 2, 3))
-    weight = np.frombuffer(b"".join([p[4] for p in parts]), np.float64)
+    edges = np.array([len(p[1]) // 8 for p in parts])
+    packed = np.frombuffer(b"".join([p[1] for p in parts]), np.int64)
+    end, piece = packed >> PIECE_BITS, packed & ((1 << PIECE_BITS) - 1)
+    length, piece = model.chars[piece], piece - 1
+    weight = np.frombuffer(b"".join([p[2] for p in parts]), np.float64)
     state = np.repeat(base, edges) + end - 1
     order = np.argsort(state, kind="stable")
     state, weight, length, piece = state[order], weight[order], length[order], piece[order]

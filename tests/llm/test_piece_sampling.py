@@ -39,12 +39,10 @@ def ways(model, text):
     if not text:
         yield (), 1.0
     for k in range(1, len(text) + 1):
-        node = model.trie
-        for c in text[:k]:
-            node = node.get(c) or {}
-        if "" in node:
+        if model.pieces.exists(text[:k]):
+            piece, _, weight = model.pieces.get(text[:k])
             for rest, w in ways(model, text[k:]):
-                yield (node[""][0], *rest), node[""][1] * w
+                yield (piece - 1, *rest), weight * w
 
 
 @pytest.mark.parametrize("word", ["the", "hello"])

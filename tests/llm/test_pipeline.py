@@ -79,3 +79,23 @@ def test_odd_rows_pass_every_stage(spark, odd, documents):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted({(str(i), str(t)) for i, t in rows})
     short = docs.select("text", F.col("doc_id").cast("int").alias("doc_id"))
     assert cp.secret_scan(spark, short, "").columns == list(cp.COLUMNS)
+
+
+def test_texts_of_no_learned_language_go_and_clean_ones_stay(spark, documents):
+    """Languages are learned from the documents of the smallest test tables; the texts asked for carry no language."""
+
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+    asked = {
+        10**9 + 1: "qzx vjk wpq",
+        10**9 + 2: "xkcd qqq zzzz wwww jjjj vvvv kkkk",
+        10**9 + 3: "1234 a",
+        10**9 + 4: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        10**9 + 5: "0101 x 77 %%% q",
+    }
+    foreign = spark.createDataFrame([(i, t, None, "x", len(t)) for i, t in asked.items()], known.schema)
+    kept = cp.language_id(spark, known.unionByName(foreign), "")
+    ids = {r[0] for r in kept.select("doc_id").collect()}
+    assert not ids & set(asked)
+    words = F.size(F.split("text", " ")) >= 3
+    clean = {r[0] for r in known.where(words & F.col("lang").isNotNull()).select("doc_id").collect()}
+    assert len(clean - ids) <= 0.002 * len(clean)

@@ -12,7 +12,8 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -280,6 +281,40 @@ def run_append(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+def run_aside(df: DataFrame, flag: str, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Process what is available and return (rows, rows set aside by ``flag``, counts per batch).
+
+    Each batch writes both kinds in one pass, under its number: a batch that is tried
+    again, or that runs again after a restart, replaces itself.  Counts are observed in
+    that same pass; ``dropped`` is what the engine left out behind the watermark, so
+    rows in = rows + aside + dropped.
+    """
+    spark = df.sparkSession
+
+    def save(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(flag)).alias("n_aside"))
+        counted.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        got = seen.get
+        spark.createDataFrame([(got["n_rows"] - got["n_aside"], got["n_aside"])], "n_kept bigint, n_aside bigint").write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    q = df.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    lost = [(p["batchId"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])) for p in q.recentProgress]
+    for number, n in dict(sorted(lost)).items():
+        spark.createDataFrame([(n,)], "n_dropped bigint").write.mode("overwrite").parquet(f"{folder}/dropped/batch={number}")
+
+    def table(name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/{name}")
+        except AnalysisException:  # no batch yet
+            return spark.createDataFrame([], f"{schema}, batch bigint")
+
+    rows = table("rows", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)).drop("batch")
+    counts = table("counts", "n_kept bigint, n_aside bigint").join(table("dropped", "n_dropped bigint"), "batch", "full").na.fill(0)
+    return rows.where(~F.col(flag)).drop(flag), rows.where(F.col(flag)).drop(flag), counts
+
+
 def run_update(df: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame:
     """Process what is available in update mode and return the last version of every key."""
 

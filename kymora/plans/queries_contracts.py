@@ -20,6 +20,7 @@ from kymora.plans.sql_views import u01
 from kymora.session import shared_dir
 from kymora.sources import posterior_store as PS
 from kymora.sources import runs as RN
+from kymora.sources import snapshots
 from kymora.sources import synthetic as SY
 from kymora.sources import tables
 
@@ -737,3 +738,18 @@ def top_features(spark, d):
     u = tables.read(spark, d, "embeddings").select(F.posexplode("embedding").alias("feature", "v"))
     s = u.groupBy("feature").agg(F.round(F.var_pop(F.col("v").cast("double")), 9).alias("s"))
     return s.orderBy(F.desc("s"), "feature").limit(10).select("feature", rounded(F.col("s")).alias("score"))
+
+
+@query(
+    "versioned_store",
+    """SELECT version, subject, count(*) AS n, CAST(sum(label + CASE WHEN version=2 AND subject=3 THEN 10 ELSE 0 END) AS BIGINT) AS total
+FROM d_posterior, (SELECT CAST(unnest([1,2]) AS INT) AS version) GROUP BY ALL""",
+)
+def versioned_store(spark, d):
+    """All subjects committed at once, then one replaced: both versions of the store, read back."""
+    p = tables.posteriors(spark, d).select("window_id", "subject", F.col("label").cast("int").alias("label"))
+    root = scratch(spark, "store")
+    first = snapshots.commit(p, root, ["subject"])
+    second = snapshots.commit(p.where("subject = 3").withColumn("label", F.col("label") + 10), root, ["subject"], replace=True)
+    read = [snapshots.read(spark, root, v).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("total")).select(F.lit(v).alias("version"), "subject", "n", "total") for v in (first, second)]
+    return read[0].unionByName(read[1])

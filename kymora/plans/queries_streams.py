@@ -127,6 +127,26 @@ def stream_late_rows(spark, d):
     return done.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_late"), 1)).alias("n_late"))
 
 
+@query(
+    "stream_late_aside",
+    """WITH a AS (SELECT event_id, CAST(user_id%9+1 AS INT) AS subject, epoch_us(ts) AS us, event_id+(event_id*7919)%97 AS k FROM events),
+o AS (SELECT *, max(us) OVER (PARTITION BY subject ORDER BY k*1000000+event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a),
+f AS (SELECT subject, coalesce(us < newest-7200000000, false) AS late FROM o)
+SELECT 'kept' AS place, subject, count(*) AS n FROM f WHERE NOT late GROUP BY ALL UNION ALL SELECT 'aside', subject, count(*) FROM f WHERE late GROUP BY ALL
+UNION ALL SELECT 'counted kept', 0, count(*) FROM f WHERE NOT late UNION ALL SELECT 'counted aside', 0, count(*) FROM f WHERE late UNION ALL SELECT 'dropped', 0, 0""",
+)
+def stream_late_aside(spark, d):
+    """Rows more than two hours behind go to a table of their own; counts of rows kept, set aside and dropped by the engine."""
+    e = _events(spark, d).withColumn("arrival", (F.col("event_id") + (F.col("event_id") * 7919) % 97) * 1000000 + F.col("event_id"))
+    kept, aside, counts = O.run_aside(O.late_policy(e, ["subject"], "arrival", "ts", 7200.0), "is_late", scratch(spark, "stream"))
+    tables = [t.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("place"), "subject", "n") for name, t in (("kept", kept), ("aside", aside))]
+    sums = [counts.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n")).select(F.lit(name).alias("place"), F.lit(0).alias("subject"), "n") for name, c in (("counted kept", "n_kept"), ("counted aside", "n_aside"), ("dropped", "n_dropped"))]
+    out = tables[0]
+    for t in (tables[1], *sums):
+        out = out.unionByName(t)
+    return out
+
+
 @query(
     "stream_tumbling_metrics",
     f"""WITH c AS (SELECT event_id, ts, event_type, cos(radians((event_id*37)%360)) AS ix, sin(radians((event_id*37)%360)) AS iy FROM events),

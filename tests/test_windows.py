@@ -85,3 +85,18 @@ def test_session_keys(spark):
     t = spark.createDataFrame([(1, "0train"), (1, "1test"), (2, "0train"), (3, "0train"), (3, "1test"), (3, "x")], "subject int, key string")
     bad = {r["subject"]: (r["missing"], r["n_unknown"]) for r in R.session_key_problems(t, "key", {"0train": "T", "1test": "E"}).collect()}
     assert bad == {2: ("1test", 0), 3: ("", 1)}
+
+
+def test_no_range_and_no_trial_is_lost(spark):
+    s = spark.createDataFrame([(1, c, i, float(i)) for c, n in (("a", 100), ("b", 20)) for i in range(n)], "subject int, channel string, sample_idx bigint, value double")
+    r = spark.createDataFrame([(0, 1, 0), (1, 1, 15), (2, 1, 95), (3, 1, 5000), (4, 1, -3), (5, 2, 0), (6, None, 0), (7, 1, None)], "window_id int, subject int, start bigint")
+    got = {(x["window_id"], x["channel"]): (x["status"], x["signal"] and len(x["signal"])) for x in W.cut(s, r, ["subject"], ["subject", "channel"], "window_id", "start", 10).collect()}
+    assert got == {
+        (0, "a"): ("ok", 10), (0, "b"): ("ok", 10), (1, "a"): ("ok", 10), (1, "b"): ("short", 5), (2, "a"): ("short", 5), (2, "b"): ("outside", None), (3, "a"): ("outside", None),
+        (3, "b"): ("outside", None), (4, "a"): ("outside", None), (4, "b"): ("outside", None), (5, None): ("no recording", None), (6, None): ("no recording", None),
+        (7, "a"): ("outside", None), (7, "b"): ("outside", None),
+    }
+    t = spark.createDataFrame([(1, 1, 0.0), (2, 2, 0.0), (3, None, 0.0)], "trial_id int, subject int, onset double")
+    n = spark.createDataFrame([(1, 100)], "subject int, n_samples bigint")
+    plan = W.plan_epochs(t, n, ["subject"], onset="onset", sfreq=10.0, tmin=0.5, n=6, max_short=3)
+    assert {x["trial_id"]: (x["status"], x["shortfall"]) for x in plan.collect()} == {1: ("ok", 0), 2: ("no recording", None), 3: ("no recording", None)}

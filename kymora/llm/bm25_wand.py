@@ -9,11 +9,19 @@ blocks; for each term the largest impact in each block bounds what the term can
 there.  A query first scores the blocks with the largest bounds, which gives a
 threshold, then only the blocks whose bound reaches it.  Skipped blocks cannot hold a
 result, so the merged lists are exact.
+
+Thresholds are shared between shards.  A hash of its content gives each shard a level;
+three quarters of all shards have level 0, a quarter of the rest has each next one.
+The highest level is searched first and each further one starts from the k-th best
+result of those before, below which nothing is scored or returned.  So a query gets
+about 3 k rows from a level, and levels grow with the logarithm of the shards.  A task
+also carries the best of a query from shard to shard.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kymora.llm.common import U64, Words, documents, ragged, row_key, slices, splitmix, stored
+from kymora.llm.common import U64, Words, documents, ragged, row_key, shared_path, slices, splitmix, stored
 
 K1, B = 1.2, 0.75
 SHARD_BYTES, BLOCK = 1 << 24, 32
 QUERY_BYTES = 1 << 24  # of term hashes in a block of queries
 DIGITS = 6
+SLACK = 2 * 10.0**-DIGITS  # rounding moves a score by less
 #: Bytes that separate terms (all ASCII but letters and digits).
 GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -46,36 +55,48 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at][order], h[at][order], count[order]
 
 
-def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def level(data: list[bytes]) -> int:
+    """Pairs of binary zeros at the end of a hash: 0 for three shards in four, 1 for three in sixteen, and so on."""
+    h = functools.reduce(lambda h, d: zlib.crc32(d, h), data, 0)
+    h = int(splitmix(np.array([h], U64))[0]) | 1 << 60
+    return ((h & -h).bit_length() - 1) // 2
+
+
+def build(shard_bytes: int):
     """Arrow map: rows as shards; only the postings of a shard are held, never its text."""
-    ids: list[np.ndarray] = []
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows = size = 0
-
-    def shard() -> pa.RecordBatch:
-        doc, term, count = (np.concatenate(x) for x in zip(*postings, strict=True))
-        order = np.lexsort((doc, term))
-        doc, term, count = doc[order], term[order], count[order]
-        length = np.bincount(doc, weights=count, minlength=rows).astype(np.int64)
-        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        cols = [np.concatenate(ids).astype("<i8"), length.astype("<i4"), term[first].astype("<u8"), np.append(first, len(term)).astype("<i8"), doc.astype("<i4"), count.astype("<i4")]
-        row = [pa.array([rows], pa.int64()), pa.array([int(length.sum())], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)]
-        return pa.RecordBatch.from_arrays(row, ["docs", "words", "ids", "lengths", "terms", "offsets", "doc", "count"])
-
-    for b in slices(batches, "text", min(SHARD_BYTES, 1 << 20)):
-        doc, term, count = terms(b.column("text"))
-        ids.append(b.column("doc_id").to_numpy(zero_copy_only=False))
-        postings.append((doc.astype(np.int64) + rows, term, count))
-        rows += b.num_rows
-        size += b.nbytes
-        if size >= SHARD_BYTES:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = size = 0
+
+        def shard() -> pa.RecordBatch:
+            doc, term, count = (np.concatenate(x) for x in zip(*postings, strict=True))
+            order = np.lexsort((doc, term))
+            doc, term, count = doc[order], term[order], count[order]
+            length = np.bincount(doc, weights=count, minlength=rows).astype(np.int64)
+            first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+            cols = [np.concatenate(ids).astype("<i8"), length.astype("<i4"), term[first].astype("<u8"), np.append(first, len(term)).astype("<i8"), doc.astype("<i4"), count.astype("<i4")]
+            data = [c.tobytes() for c in cols]
+            row = [pa.array([level(data)], pa.int32()), pa.array([rows], pa.int64()), pa.array([int(length.sum())], pa.int64()), *(pa.array([d], pa.binary()) for d in data)]
+            return pa.RecordBatch.from_arrays(row, [c.split()[0] for c in SHARD.split(", ")])
+
+        for b in slices(batches, "text", min(shard_bytes, 1 << 20)):
+            doc, term, count = terms(b.column("text"))
+            ids.append(b.column("doc_id").to_numpy(zero_copy_only=False))
+            postings.append((doc.astype(np.int64) + rows, term, count))
+            rows += b.num_rows
+            size += b.nbytes
+            if size >= shard_bytes:
+                yield shard()
+                ids, postings, rows, size = [], [], 0, 0
+        if rows:
             yield shard()
-            ids, postings, rows, size = [], [], 0, 0
-    if rows:
-        yield shard()
+
+    return run
 
 
-SHARD = "docs bigint, words bigint, ids binary, lengths binary, terms binary, offsets binary, doc binary, count binary"
+SHARD = "level int, docs bigint, words bigint, ids binary, lengths binary, terms binary, offsets binary, doc binary, count binary"
 
 
 def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,52 +158,79 @@ class Shard:
         keep = self.ids[doc] != own
         return doc[keep], score[keep]
 
-    def top(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and rounded scores that can be among the ``k`` best here; rows with the id ``own`` take no place."""
+    def top(self, query: np.ndarray, k: int, own: int | None = None, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and rounded scores that can be among the ``k`` best here, none below ``floor``; rows with the id ``own`` take no place."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         entries = ragged(self.first[query], self.first[query + 1] - self.first[query])
         if not len(entries):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return none
         block = self.block[entries]
         bound = np.bincount(block, weights=self.bound[entries], minlength=self.blocks)
-        start = min(self.blocks, max(4, 2 * k // BLOCK + 1))
-        lead = np.argpartition(-bound, start - 1)[:start]
+        live = np.flatnonzero((bound >= floor - SLACK) & (bound > 0))
+        start = min(len(live), max(4, 2 * k // BLOCK + 1))
+        if not start:
+            return none
         chosen = np.zeros(self.blocks, bool)
-        chosen[lead] = True
+        chosen[live[np.argpartition(-bound[live], start - 1)[:start]]] = True
         doc, score = self.others(entries[chosen[block]], own)
-        floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
-        rest = ~chosen & (bound >= floor - 2 * 10.0**-DIGITS) & (bound > 0)
+        if len(score) >= k:
+            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k])
+        rest = ~chosen & (bound >= floor - SLACK) & (bound > 0)
         if rest.any():
             d, s = self.others(entries[rest[block]], own)
             doc, score = np.concatenate([doc, d]), np.concatenate([score, s])
-        score = np.round(score, DIGITS)
-        if len(score) > k:
-            floor = np.partition(score, len(score) - k)[len(score) - k]
-            doc, score = doc[score >= floor], score[score >= floor]
-        order = np.lexsort((self.ids[doc], -score))[:k]
-        return doc[order], score[order]
+        near = score >= floor - SLACK
+        return leading(self.ids[doc[near]], np.round(score[near], DIGITS), k)
 
 
-def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int):
-    """Arrow map: the best of each shard for each query."""
+def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of them, highest scores first, ties to smaller ids."""
+    if len(scores) > k:
+        may = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[may], scores[may]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+Floors = tuple[np.ndarray, np.ndarray]
+
+
+def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int, floors: Floors):
+    """Arrow map: the best of all shards of a task for each query, as far as they come before the query's floor (score, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_least, before = floors[0].copy(), floors[1].copy()
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard = Shard(row, wanted, idf, mean)
-                n, ids, scores = [], [], []
-                for query_id, _, t in queries:
-                    doc, score = shard.top(t, k, query_id)
-                    n.append(len(doc))
-                    ids.append(shard.ids[doc])
-                    scores.append(score)
-                names = [np.repeat(np.array([q[c] for q in queries], np.int64), n) for c in (0, 1)]
-                cols = [*names, np.concatenate(ids).astype(np.int64), np.concatenate(scores).astype(np.float64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "key", "doc_id", "score"])
+                for i, (query_id, _, t) in enumerate(queries):
+                    ids, scores = shard.top(t, k, query_id, at_least[i])
+                    better = (scores > at_least[i]) | (scores == at_least[i]) & (ids < before[i])
+                    if not better.any():
+                        continue
+                    ids, scores = leading(np.concatenate([best[i][0], ids[better]]), np.concatenate([best[i][1], scores[better]]), k)
+                    best[i] = ids, scores
+                    if len(ids) == k:
+                        at_least[i], before[i] = scores[-1], ids[-1]
+        n = [len(ids) for ids, _ in best]
+        names = [np.repeat(np.array([q[c] for q in queries], np.int64), n) for c in (0, 1)]
+        cols = [*names, np.concatenate([ids for ids, _ in best]), np.concatenate([scores for _, scores in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "key", "doc_id", "score"])
 
     return run
 
 
-def search(docs: DataFrame, asked: Column, k: int = 10) -> DataFrame:
+def indexed(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The shards in the shared folder, each in a row group of its own, so that a level is read without the others."""
+    shards = docs.mapInArrow(build(shard_bytes), SHARD)
+    path = shared_path(docs.sparkSession, "shards")
+    each = {"parquet.block.row.count.limit": 1, "parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1}
+    shards.write.options(**each).parquet(path)
+    return docs.sparkSession.read.schema(shards.schema).parquet(path)
+
+
+def search(docs: DataFrame, asked: Column, k: int = 10, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of ``docs`` (doc_id, text) where ``asked`` holds, its ``k`` best other documents.
 
     A query is the set of terms of its whole text; terms are stretches of ASCII letters
@@ -196,12 +244,13 @@ def search(docs: DataFrame, asked: Column, k: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = documents(docs).filter(F.col("doc_id").isNotNull())
-    index = stored(docs.mapInArrow(build, SHARD), "shards")
+    index = indexed(docs, shard_bytes)
     queries = docs.filter(asked).withColumn("key", row_key("doc_id", "text")).dropDuplicates(["key"])
     queries = stored(queries.mapInArrow(query_rows, "query_id bigint, terms binary, key bigint").filter(F.octet_length("terms") > 0), "queries")
     stats = index.agg(F.sum("docs"), F.sum("words")).first()
+    levels = sorted((r["level"] for r in index.select("level").distinct().collect()), reverse=True)
     volume = queries.agg(F.sum(F.octet_length("terms"))).first()[0]
-    out = spark.createDataFrame([], "query_id bigint, key bigint, doc_id bigint, score double")
+    out = spark.createDataFrame([], FOUND)
     parts = -(-volume // QUERY_BYTES) if volume else 0
     for part in range(parts):
         block = queries.filter(F.pmod("key", F.lit(parts)) == part).orderBy("query_id", "key").collect()
@@ -214,10 +263,27 @@ def search(docs: DataFrame, asked: Column, k: int = 10) -> DataFrame:
             n[r["term"]] = r["n"]
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
         named = [(r["query_id"], r["key"], np.searchsorted(wanted, t)) for r, t in zip(block, each, strict=True)]
-        found = index.mapInArrow(searcher(named, wanted, idf, stats[1] / stats[0], k), "query_id bigint, key bigint, doc_id bigint, score double")
-        out = out.union(found if parts == 1 else stored(best(found, k).drop("rank"), "found"))
-    ranked = best(out, k)
-    return ranked.select("query_id", "rank", "doc_id", "score")
+        out = out.union(through_levels(index, levels, named, wanted, idf, stats[1] / stats[0], k))
+    return best(out, k).select("query_id", "rank", "doc_id", "score")
+
+
+FOUND = "query_id bigint, key bigint, doc_id bigint, score double"
+
+
+def through_levels(index: DataFrame, levels: list[int], queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int) -> DataFrame:
+    """The best of all shards, level after level; what a level has to beat goes to it as one floor for each query."""
+    place = {q[:2]: i for i, q in enumerate(queries)}
+    floors = np.zeros(len(queries)), np.full(len(queries), np.iinfo(np.int64).max)
+    tops = index.sparkSession.createDataFrame([], FOUND)
+    for one in levels:
+        found = index.filter(F.col("level") == one).mapInArrow(searcher(queries, wanted, idf, mean, k, floors), FOUND)
+        tops = stored(best(tops.union(found), k), "tops")
+        if one != levels[-1]:
+            last = tops.filter(F.col("rank") == k).toArrow()
+            at = [place[q] for q in zip(last.column("query_id").to_pylist(), last.column("key").to_pylist(), strict=True)]
+            floors[0][at], floors[1][at] = last.column("score").to_numpy(), last.column("doc_id").to_numpy()
+        tops = tops.drop("rank")
+    return tops
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -38,8 +38,7 @@ def brute(rows, queries, k):
 
 
 @pytest.mark.parametrize("shard", [1 << 24, 3000])
-def test_same_as_brute_force_in_any_shards(documents, monkeypatch, shard):
-    monkeypatch.setattr(bm25_wand, "SHARD_BYTES", shard)
+def test_same_as_brute_force_in_any_shards(documents, shard):
     rng = random.Random(shard)
     vocabulary = [f"w{i}" for i in range(300)]
     weights = [1 / (i + 1) for i in range(300)]
@@ -47,7 +46,7 @@ def test_same_as_brute_force_in_any_shards(documents, monkeypatch, shard):
     rows += [(600 + i, rows[5][1]) for i in range(40)] + [(700, "É é unique W1"), (720, ""), (740, "nothing else")]
     docs = documents(rows).repartition(3)
     got = {}
-    for r in search(docs, F.col("doc_id") % 20 == 0, 10).collect():
+    for r in search(docs, F.col("doc_id") % 20 == 0, 10, shard).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
     want = brute(rows, {i for i, _ in rows if i % 20 == 0}, 10)
     assert {q: [got[q][r] for r in sorted(got[q])] for q in got} == want
@@ -79,6 +78,32 @@ def test_blocks_are_pruned_and_nothing_is_lost():
     got, _ = shard.top(np.arange(20), 10)
     assert got.tolist() == want.tolist()
     assert sum(scored) < len(shard.bound) / 2
+    scored.clear()
+    got, _ = shard.top(np.arange(20), 10, floor=full[want[4]])
+    assert got.tolist() == want[:5].tolist()
+    assert shard.top(np.arange(20), 10, floor=2 * full[want[0]])[0].tolist() == []
+
+
+def test_levels_share_floors(documents, monkeypatch):
+    """Shards of few documents: several levels, one row group a shard, and far fewer rows than shards times k."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 40)))) for i in range(1200)]
+    rows += [(2000 + i, rows[7][1]) for i in range(300)]
+    docs = documents(rows).repartition(4)
+    index = bm25_wand.indexed(docs, 3000)
+    levels = index.groupBy("level").count().collect()
+    shards = sum(r["count"] for r in levels)
+    assert len(levels) > 2 and shards > 30
+    returned = []
+    plain = bm25_wand.best
+    monkeypatch.setattr(bm25_wand, "best", lambda found, k: returned.append(found.count()) or plain(found, k))
+    got = {}
+    for r in search(docs, F.col("doc_id") % 100 == 0, 10, 3000).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["doc_id"]
+    asked = {i for i, _ in rows if i % 100 == 0}
+    assert {q: [got[q][r] for r in sorted(got[q])] for q in got} == brute(rows, asked, 10)
+    assert sum(returned) < len(asked) * 10 * shards / 2
 
 
 def test_many_blocks_of_queries(documents, monkeypatch):

@@ -118,8 +118,8 @@ def wide_channels(samples: DataFrame, keys: Sequence[str], channels: Sequence[st
     return samples.groupBy(*keys, idx).agg(*cols).dropna(subset=[f"c{i}" for i in range(len(channels))])
 
 
-def covariances(wide: DataFrame, keys: Sequence[str], p: int, window: int, stride: int, idx: str = "sample_idx") -> DataFrame:
-    """Shrunk spatial covariance per sliding window, upper triangle as an array.
+def covariances(wide: DataFrame, keys: Sequence[str], p: int, window: int, stride: int, idx: str = "sample_idx", shrink: bool = True) -> DataFrame:
+    """Spatial covariance per sliding window, shrunk by default, upper triangle as an array.
 
     Moments are plain aggregates with map-side combine; the shrinkage weight is
     the oracle-approximating closed form.
@@ -134,7 +134,7 @@ def covariances(wide: DataFrame, keys: Sequence[str], p: int, window: int, strid
     mu = sum((F.col(f"v{i}_{i}") for i in range(p)), F.lit(0.0)) / float(p)
     den = (F.col("n") + 1) * (alpha - mu * mu / float(p))
     ready = raw.withColumn("_mu", mu).withColumn(
-        "shrinkage", F.when(den == 0, 1.0).otherwise(F.least((alpha + mu * mu) / F.when(den != 0, den), F.lit(1.0)))
+        "shrinkage", F.when(den == 0, 1.0).otherwise(F.least((alpha + mu * mu) / F.when(den != 0, den), F.lit(1.0))) if shrink else F.lit(0.0)
     )
     entries = [
         (1.0 - F.col("shrinkage")) * F.col(f"v{i}_{j}") + (F.col("shrinkage") * F.col("_mu") if i == j else F.lit(0.0)) for i, j in pairs(p)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymora.operators import features as FE
-from kymora.operators import logistic, splits
+from kymora.operators import logistic, spatial, splits
 from kymora.session import stored
 
 
@@ -185,3 +185,25 @@ class TangentSpace(_Fit, _TangentParams):
 
     def fitted(self, rows: DataFrame) -> DataFrame:
         return FE.geometric_mean(rows.withColumn("cov", F.col(self.getInputCol())), self.getKeys(), self.getSize())
+
+
+# --- spatial filters ---
+
+
+class _SpatialParams(HasKeys, HasInputCol, HasOutputCol, HasLabelCol, HasSize):
+    components: Param = Param(Params._dummy(), "components", "filters of each class at most", TypeConverters.toInt)
+
+
+class SpatialFiltersModel(_Table, _SpatialParams):
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return spatial.spatial_log_power(dataset, self.table, self.getKeys(), self.getLabelCol(), self.getSize(), self.getInputCol(), self.getOutputCol())
+
+
+class SpatialFilters(_Fit, _SpatialParams):
+    """Log variance of windows behind filters of each class against the rest, from covariances (upper triangles)."""
+
+    model = SpatialFiltersModel
+    defaults = {"keys": [], "inputCol": "cov", "outputCol": "features", "components": 4}
+
+    def fitted(self, rows: DataFrame) -> DataFrame:
+        return spatial.fit_spatial(rows, self.getKeys(), self.getLabelCol(), self.getSize(), self.getOrDefault(self.components), self.getInputCol())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kymora.functions import vectors as V
 from kymora.functions.vectors import rounded
 from kymora.operators import features as FE
+from kymora.operators import spatial as SP
 from kymora.operators import learners as LE
 from kymora.operators import posterior as P
 from kymora.plans.registry import query
@@ -108,6 +109,45 @@ def tangent_features(spark, d):
     return FE.tangent_features(covs, ref, ["subject"], 5).select("subject", "window", "features")
 
 
+def _band_covs(spark, d):
+    """Covariances of the channels in windows of 16 samples, band by band; classes are cued in turn."""
+    filtered = _filtered(spark, d, 2, BANDS).withColumnRenamed("filtered", "value")
+    wide = FE.wide_channels(filtered, ["subject", "band"], CHANNELS)
+    covs = FE.covariances(wide, ["subject", "band"], 5, CUE, CUE, shrink=False)
+    return covs.withColumn("label", (F.col("window") % CUED).cast("int"))
+
+
+CUED, CUE = 4, 16  # classes, samples of a cue
+
+
+def _class_cov_sql():
+    cols = ", ".join(f"max(CASE WHEN channel='{c}' THEN y END) AS c{i}" for i, c in enumerate(CHANNELS))
+    full = " AND ".join(f"c{i} IS NOT NULL" for i in range(5))
+    cov = ", ".join(f"covar_pop(c{i},c{j}) AS v{i}_{j}" for i, j in FE.pairs(5))
+    rows = " UNION ALL ".join(f"SELECT subject, band, label, {i} AS ci, {j} AS cj, count(*) AS n, round(avg(v{i}_{j}),4)+0.0 AS cov FROM g GROUP BY subject, band, label" for i, j in FE.pairs(5))
+    return f"""{filtered_sql(2, BANDS)}, w AS (SELECT subject, band, sample_idx, {cols} FROM y GROUP BY ALL),
+g AS (SELECT subject, band, CAST(sample_idx//{CUE}%{CUED} AS INT) AS label, sample_idx//{CUE} AS win, {cov} FROM w WHERE {full} GROUP BY ALL HAVING count(*)={CUE}) {rows}"""
+
+
+@query("class_covariances", _class_cov_sql())
+def class_covariances(spark, d):
+    """Mean covariance of each class per subject and band."""
+    at = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(j).alias("cj")) for i, j in FE.pairs(5)])
+    means = SP.class_covariances(_band_covs(spark, d), ["subject", "band"], "label", 5)
+    out = means.select("subject", "band", "label", "n", F.explode(F.arrays_zip(at.alias("at"), F.col("cov").alias("cov"))).alias("x"))
+    return out.select("subject", "band", "label", F.col("x.at.ci").alias("ci"), F.col("x.at.cj").alias("cj"), "n", rounded(F.col("x.cov"), 4).alias("cov"))
+
+
+@query("spatial_log_power")
+def spatial_log_power(spark, d):
+    """Log variance behind four filters of each class, per subject and band; filters from the first half of the windows."""
+    keys = ["subject", "band"]
+    covs = stored(_band_covs(spark, d))
+    train = covs.join(covs.groupBy(*keys).agg((F.max("window") / 2).alias("_half")), keys).where(F.col("window") <= F.col("_half"))
+    filters = SP.fit_spatial(train, keys, "label", 5)
+    return SP.spatial_log_power(covs, filters, keys, "label", 5).select(*keys, "window", "label", "spatial_status", "features")
+
+
 INFORMATION_CTE = """WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS v, CAST(unnest(range(0,64)) AS INT) AS feature FROM embeddings),
 b AS (SELECT feature, label, (rank() OVER (PARTITION BY feature ORDER BY v)-1)*8//count(*) OVER (PARTITION BY feature) AS bin FROM u),
 j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),

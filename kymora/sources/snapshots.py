@@ -13,10 +13,10 @@ Addresses and rows stay in tables; only the name of a manifest passes the driver
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors.exceptions.base import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 COMMIT = "commit"
@@ -26,6 +26,14 @@ class ConcurrentCommit(RuntimeError):
     """Another writer has made the version that this one was about to make."""
 
 
+class RefusedRows(ValueError):
+    """Rows break a contract; ``counts`` says how many have which value, and no version was made."""
+
+    def __init__(self, root: str, counts: dict[tuple[str, str], int]) -> None:
+        super().__init__(f"{root} takes no rows with " + ", ".join(f"{c} {v!r} ({n} rows)" for (c, v), n in counts.items()))
+        self.counts = counts
+
+
 def _files(spark: SparkSession, root: str):
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(root)
@@ -71,13 +79,20 @@ def _publish(spark: SparkSession, root: str, version: int, name: str) -> None:
         raise
 
 
-def commit(rows: DataFrame, root: str, address: Sequence[str], replace: bool = False, base: int | None = None) -> int:
+def commit(
+    rows: DataFrame, root: str, address: Sequence[str], replace: bool = False, base: int | None = None, refuse: Mapping[str, Sequence[str]] | None = None
+) -> int:
     """Add the addresses of ``rows`` in one step and return the number of the new version.
 
     Addresses that the store holds are refused, or replaced with ``replace``; all others
     stay.  ``base`` is the version that the rows were made from, the newest unless given:
     if it is not the newest any more, the commit fails.  An address must not be null in
     any part, for a folder is named by it.
+
+    ``refuse`` names values of columns that no row may have, such as
+    ``{"status": ["error", "no recording"]}``.  They are counted in the very pass that
+    writes the rows; where there are any, ``RefusedRows`` is raised before a version is
+    made.
     """
     spark, address = rows.sparkSession, list(address)
     known = versions(spark, root)
@@ -86,7 +101,14 @@ def commit(rows: DataFrame, root: str, address: Sequence[str], replace: bool = F
         raise ConcurrentCommit(f"{root} is at version {known[-1]}, the rows were made from {base}")
     name = uuid.uuid4().hex
     folder = f"{root}/data/{COMMIT}={name}"
-    rows.write.partitionBy(*address).parquet(folder)
+    broken = [(c, v) for c, values in (refuse or {}).items() for v in values]
+    seen = Observation()
+    counted = rows.observe(seen, *[F.count_if(F.col(c) == v).alias(f"n{i}") for i, (c, v) in enumerate(broken)]) if broken else rows
+    counted.write.partitionBy(*address).parquet(folder)
+    if broken:
+        counts = {b: seen.get.get(f"n{i}", 0) for i, b in enumerate(broken)}
+        if any(counts.values()):
+            raise RefusedRows(root, {b: n for b, n in counts.items() if n})
     kinds = {a: rows.schema[a].dataType for a in address}
     written = spark.read.schema(rows.schema).parquet(folder).select(*[F.col(a).cast(kinds[a]) for a in address]).distinct()
     if not written.where(" OR ".join(f"`{a}` IS NULL" for a in address)).isEmpty():

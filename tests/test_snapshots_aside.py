@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kymora.operators import windows as W
 from kymora.sources import snapshots as S
 from kymora.streaming import online as O
 
@@ -54,6 +55,34 @@ def test_a_writer_that_breaks_off_leaves_the_old_version(spark, tmp_path, monkey
     assert content(spark, root) == [("a", 1, 2.0), ("b", 2, 2.0)]
 
 
+def test_trials_that_break_the_contract_make_no_version(spark, tmp_path):
+    """Plans of trials, with an error row or one without recording, are refused; truncated ones are not."""
+    root = f"{tmp_path}/plans"
+    lengths = spark.createDataFrame([(1, 100), (2, 100)], "subject int, n_samples bigint")
+    trials = [(1, 0, 1.0), (1, 1, 9.5), (2, 0, 2.0), (2, 1, 5.0)]
+
+    def plan(*more):
+        rows = spark.createDataFrame([*trials, *more], "subject int, trial int, onset double").repartition(3)
+        return W.plan_epochs(rows, lengths, ["subject"], onset="onset", sfreq=10.0, tmin=0.0, n=8, max_short=4).drop("n_samples")
+
+    refuse = {"status": ["error", "no recording"]}
+    assert S.commit(plan(), root, ["subject"], refuse=refuse) == 1
+    for more, counts in (
+        ([(1, 2, 9.9), (1, 3, -1.0)], {("status", "error"): 2}),
+        ([(7, 0, 1.0)], {("status", "no recording"): 1}),
+        ([(1, 2, 50.0), (7, 0, 1.0), (8, 0, 1.0)], {("status", "error"): 1, ("status", "no recording"): 2}),
+    ):
+        with pytest.raises(S.RefusedRows) as error:
+            S.commit(plan(*more), root, ["subject"], replace=True, refuse=refuse)
+        assert error.value.counts == counts
+    assert S.versions(spark, root) == [1]
+    held = {(r["subject"], r["trial"]): r["status"] for r in S.read(spark, root).collect()}
+    assert held == {(1, 0): "ok", (1, 1): "truncated", (2, 0): "ok", (2, 1): "ok"}
+    assert S.commit(plan((7, 0, 1.0)), root, ["subject"], replace=True) == 2  # kept with its status where not refused
+    assert S.commit(plan().limit(0), f"{root}-empty", ["subject"], refuse=refuse) == 1
+    assert S.commit(plan().where("false"), f"{root}-none", ["subject"], refuse=refuse) == 1
+
+
 def test_the_second_of_two_writers_fails(spark, tmp_path, monkeypatch):
     root = f"{tmp_path}/store"
     S.commit(rows_of(spark, ("a", 1, 1.0)), root, ["decoder", "subject"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kymora.functions import naming as N
@@ -9,8 +11,9 @@ from kymora.functions.vectors import rounded
 from kymora.operators import series
 from kymora.operators import windows as W
 from kymora.plans.registry import query
+from kymora.session import shared_dir
 from kymora.sources import recordings as R
-from kymora.sources import tables
+from kymora.sources import snapshots, tables
 
 
 def _lengths(spark, d):
@@ -141,6 +144,21 @@ def trial_truncation(spark, d):
     return _plan(spark, d).groupBy("subject", "status").agg(F.count(F.lit(1)).alias("n"), F.max("shortfall").alias("worst"))
 
 
+@query(
+    "published_trial_plans",
+    EPOCH_CTE + " SELECT CAST(subject AS INT) AS subject, trial_id, start_sample, shortfall, status FROM p WHERE status<>'error'",
+)
+def published_trial_plans(spark, d):
+    """Plans of trials as the store took them: one that holds errors is refused, then only the rest is committed and read back."""
+    root, plan, refuse = f"{shared_dir(spark)}/plans-{uuid.uuid4().hex}", _plan(spark, d), {"status": ["error", "no recording"]}
+    rows = plan.select(F.col("subject").cast("int").alias("subject"), "trial_id", "start_sample", "shortfall", "status")
+    try:
+        snapshots.commit(rows, root, ["subject"], refuse=refuse)
+    except snapshots.RefusedRows:
+        snapshots.commit(rows.where(~F.col("status").isin(refuse["status"])), root, ["subject"], refuse=refuse)
+    return snapshots.read(spark, root).select(*rows.columns)
+
+
 @query(
     "epoch_cut",
     EPOCH_CTE + """

@@ -241,7 +241,7 @@ def trade_ratios(fitted: DataFrame, predictor: str, strategy: str, min_slope: fl
         F.max(F.when(F.col("term") == predictor, F.col("estimate"))).alias("slope"),
         F.collect_list(F.when(F.col("term").startswith(prefix) & ~F.col("term").contains(":"), F.struct("term", "estimate"))).alias("_o"),
     )
-    name = F.regexp_replace(F.substring(F.col("o.term"), len(prefix) + 1, 1000), r"\]$", "")
+    name = F.regexp_replace(F.expr(f"substr(o.term, {len(prefix) + 1})"), r"\]$", "")
     flat = F.abs(F.col("slope")) < min_slope
     return items.select(*keys, "slope", F.explode("_o").alias("o")).select(
         *keys, name.alias(strategy), F.col("o.estimate").alias("offset"), "slope",

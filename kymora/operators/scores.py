@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kymora.functions import hashing as H
-from kymora.session import stored, spread
+from kymora.operators import series
+from kymora.operators.keyed import key_column
+from kymora.session import spread, stored
 
 # Summarised metrics and candidate axes, in report order.
 METRICS = (
@@ -18,7 +25,7 @@ METRICS = (
 CELL_AXES = (
     "mapping", "decoder", "quality_level", "alpha", "intent_mode", "protocol", "window_s", "latency_ms", "error_struct",
 )
-ROW_DRAWS = 8192  # draws in one row
+VALUES, ROW_DRAWS, CHUNK_DRAWS = 4096, 1 << 16, 1 << 20  # means in a block; draws in a row; draws that meet a block together
 
 
 def _clean(df: DataFrame, name: str) -> Column:
@@ -85,44 +92,103 @@ def subject_means(sums: DataFrame, cell: Sequence[str], metrics: Sequence[str],
     return long.select(*keys, F.col("x.metric").alias("metric"), (F.col("x.s") / F.col("x.n")).alias("mean"), F.col("x.n").alias("n"))
 
 
-def _placed(means: DataFrame, keys: Sequence[str], draw_key: Sequence) -> DataFrame:
-    """Per group, its subject means in the order of the subjects, and the text its draws are keyed by."""
-    return means.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_subject", "mean"))), lambda s: s["mean"]).alias("_v"),
-        F.first(H.key_text(*draw_key)).alias("_draw"),
+def _indexed(means: DataFrame, keys: Sequence[str], draw_key: Sequence, subject: str, block: int) -> DataFrame:
+    """Subject means numbered from 0 in the order of the subjects, and the text that the draws of their group are keyed by."""
+    rows = means.select(
+        *keys, key_column(keys).alias("_g"), F.col(subject).alias("_subject"), F.col("mean").cast("double").alias("mean"),
+        H.key_text(*draw_key).alias("_draw"),
     )
+    if isinstance(means.schema[subject].dataType, T.NumericType):
+        bucket = F.floor(F.col("_subject") / block)
+    else:  # text has no steps of equal width: ranges of the sorted rows, kept in the table
+        rows = stored(rows.repartitionByRange("_subject").withColumn("_range", F.spark_partition_id()))
+        bucket = F.col("_range")
+    return stored(series.dense_index(rows, ["_g"], ["_subject"], bucket, "_at").select(*keys, "_g", "_draw", "_at", "mean"))
+
+
+def _chunk(n: int, block: int) -> int:
+    """Replicates of a group of ``n`` subjects whose draws meet a block of values together."""
+    return CHUNK_DRAWS // min(n, block)
+
+
+def _draw(block: int, row_draws: int):
+    """Arrow map: the draws of a run of slots in some replicates, put together by the block of values that they pick from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            n, slot = r["_n"], r["_slot"]
+            width, replicates = min(n - slot, row_draws), range(r["_rep"], r["_to"] + 1)
+            digests = range(slot // 4, (slot + width + 3) // 4)
+            raw = b"".join(hashlib.md5(f"{r['_draw']}|{i}|{d}".encode()).digest() for i in replicates for d in digests)
+            u = np.frombuffer(raw, ">u4").reshape(len(replicates), -1)[:, :width]
+            pick = np.floor(u / H.SCALE * n).astype(np.int64).ravel()
+            rep = np.repeat(np.arange(r["_rep"], r["_to"] + 1, dtype=np.int32), width)
+            blocks = (n - 1) // block + 1
+            code = (rep - 1) // _chunk(n, block) * blocks + pick // block
+            order = np.argsort(code, kind="stable")
+            found, start = np.unique(code[order], return_index=True)
+            reps, offsets = np.split(rep[order], start[1:]), np.split((pick % block).astype(np.uint16)[order], start[1:])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r["_g"]] * len(found), pa.string()), pa.array(found % blocks, pa.int64()), pa.array(found // blocks, pa.int64()),
+                    pa.array([x.tobytes() for x in reps], pa.binary()), pa.array([x.tobytes() for x in offsets], pa.binary()),
+                ],
+                ["_g", "_block", "_chunk", "_reps", "_offsets"],
+            )
+
+    return run
 
 
-def _replicate_mean(rep: Column, draw: Column, values: Column) -> Column:
-    """Mean of one replicate; a digest names the draws of four slots."""
-    n = F.size(values)
+def _picked(block: int):
+    """What one block of values adds to the means of the replicates of a chunk."""
 
-    def picked(slot: Column) -> Column:
-        digest = F.md5(F.concat_ws("|", draw, rep.cast("string"), F.floor(slot / 4).cast("string")))
-        u = F.conv(F.substring(digest, slot % 4 * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(H.SCALE)
-        return F.get(values, F.floor(u * n).cast("int"))
+    def run(key: tuple, values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        if values.empty or draws.empty:
+            return pd.DataFrame({"_g": [], "_rep": [], "_part": []})
+        n = int(values["_n"].iloc[0])
+        first = key[2] * _chunk(n, block) + 1
+        reps = np.frombuffer(b"".join(draws["_reps"]), np.int32) - first
+        offsets = np.frombuffer(b"".join(draws["_offsets"]), np.uint16)
+        sums = np.bincount(reps, weights=np.asarray(values["_v"].iloc[0], float)[offsets])
+        at = np.flatnonzero(np.bincount(reps))
+        return pd.DataFrame({"_g": key[0], "_rep": at + first, "_part": sums[at] / n})
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, slot: a + picked(slot)) / n
+    return run
 
 
-def bootstrap(means: DataFrame, keys: Sequence[str], n_boot: int, ci: float, draw_key: Sequence, subject: str = "subject") -> DataFrame:
+def bootstrap(
+    means: DataFrame, keys: Sequence[str], n_boot: int, ci: float, draw_key: Sequence, subject: str = "subject",
+    block: int = VALUES, row_draws: int = ROW_DRAWS,
+) -> DataFrame:
     """Percentile interval of the mean over resampled subjects, per group.
 
-    Draws are hashed from the group, the replicate and the slot.  A group is the array
-    of its subject means, one number per subject; its replicates are dealt to rows of
-    ROW_DRAWS draws, so a group of many subjects is more rows and not a longer one.
+    Draws are hashed from the group, the replicate and the slot.  Subjects are numbered
+    and lie in blocks of ``block`` means (65536 at most); slots and replicates are dealt to
+    rows of ``row_draws`` draws (a multiple of 4).  Draws meet the block that they pick from, CHUNK_DRAWS or so at a time, and
+    are summed there by replicate.  So no row and no task holds a group, whatever its
+    size.  Groups of one subject have no interval.
     """
     keys = list(keys)
-    groups = _placed(means.withColumn("_subject", F.col(subject)), keys, draw_key).where(F.size("_v") > 1)
-    per_row = F.greatest(F.lit(1), F.floor(F.lit(ROW_DRAWS) / F.size("_v"))).cast("int")
-    dealt = groups.withColumn("_from", F.explode(F.sequence(F.lit(1), F.lit(n_boot), per_row)))
-    to = F.least(F.col("_from") + per_row - 1, F.lit(n_boot))
-    rows = spread(dealt, *[F.col(k) for k in keys], F.col("_from"))
-    means_of = F.transform(F.sequence(F.col("_from"), to), lambda r: _replicate_mean(r, F.col("_draw"), F.col("_v")))
-    drawn = rows.select(*keys, F.explode(means_of).alias("_m"))
+    at = _indexed(means, keys, draw_key, subject, block)
+    named = [F.first("_draw").alias("_draw"), *[F.first(k).alias(k) for k in keys]]
+    groups = at.groupBy("_g").agg((F.max("_at") + 1).alias("_n"), *named).where("_n > 1")
+    last = F.floor(F.lit(n_boot - 1) / F.floor(F.lit(CHUNK_DRAWS) / F.least("_n", F.lit(block))))
+    blocks = at.groupBy("_g", F.floor(F.col("_at") / block).alias("_block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "mean"))), lambda x: x["mean"]).alias("_v")  # ``block`` numbers at most
+    )
+    values = blocks.join(groups.select("_g", "_n"), "_g").withColumn("_chunk", F.explode(F.sequence(F.lit(0), last)))
+    per_row = F.greatest(F.lit(1), F.floor(F.lit(row_draws) / F.col("_n"))).cast("int")
+    dealt = groups.select("_g", "_draw", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(row_draws))).alias("_slot"))
+    dealt = dealt.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot), per_row)))
+    dealt = spread(dealt.withColumn("_to", F.least(F.col("_rep") + per_row - 1, F.lit(n_boot))), "_g", "_slot", "_rep")
+    draws = dealt.mapInArrow(_draw(block, row_draws), "_g string, _block bigint, _chunk bigint, _reps binary, _offsets binary")
+    met = ["_g", "_block", "_chunk"]
+    parts = values.groupBy(*met).cogroup(draws.groupBy(*met)).applyInPandas(_picked(block), "_g string, _rep bigint, _part double")
     low = (1.0 - ci) / 2.0
-    ends = drawn.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit(low), F.lit(1.0 - low))).alias("_q"))
-    return ends.select(*keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
+    ends = parts.groupBy("_g", "_rep").agg(F.sum("_part").alias("_m")).groupBy("_g").agg(
+        F.percentile("_m", F.array(F.lit(low), F.lit(1.0 - low))).alias("_q")
+    )
+    return groups.join(ends, "_g").select(*keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
 def estimates(

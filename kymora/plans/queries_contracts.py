@@ -329,6 +329,29 @@ def run_metadata(spark, d):
     return RN.meta_block(_episode_rows(spark, d), 1337, False).drop("run_id").withColumn("wall_time_s", rounded(F.col("wall_time_s"), 3))
 
 
+@query(
+    "schema_contract",
+    EP_SQL + """, size AS (SELECT count(*) AS n FROM ep)
+SELECT k AS table_is, n AS n_rows, missing, extra, reordered FROM size, (VALUES
+ ('as published', '', '', ''), ('without a column', 'wall_time_s', '', ''), ('with one more', '', 'note', ''), ('in another order', '', '', 'experiment,run_id')) t(k, missing, extra, reordered)""",
+)
+def schema_contract(spark, d):
+    """The episode table as it is, short of a column, with one more, and in another order: what the contract says of each."""
+    e = _episode_rows(spark, d)
+    first, second, *rest = e.columns
+    cases = {
+        "as published": e, "without a column": e.drop("wall_time_s"), "with one more": e.withColumn("note", F.lit("x")),
+        "in another order": e.select(second, first, *rest),
+    }
+    out = None
+    for name, table in cases.items():
+        found = RN.schema_problems(table.columns)
+        said = [F.lit(",".join(sorted(found.get(k, [])))).alias(k) for k in ("missing", "extra", "reordered")]
+        row = table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_is"), "n_rows", *said)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 PRED = f"CASE WHEN {u01('5', chr(39) + 'hit' + chr(39), 'trial_id')}<0.6 THEN class ELSE (class+1)%5 END"
 FIT_CTE = f"""
 WITH p AS (SELECT subject, session, class, {PRED} AS pred FROM d_trial),

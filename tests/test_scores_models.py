@@ -55,9 +55,22 @@ def test_bootstrap_same_as_plain_draws_for_any_size(spark):
     rows = [(k, s, float(v)) for k, vs in groups.items() for s, v in enumerate(vs)] + [("e", 1, 2.0)]
     means = spark.createDataFrame(rows, "k string, subject int, mean double")
     got = SC.bootstrap(means, ["k"], 60, 0.9, [7, F.col("k")]).toPandas().set_index("k")
-    assert sorted(got.index) == sorted(groups)
+    texts = means.withColumn("subject", F.format_string("s%05d", "subject"))  # no numbers: same order, same draws
+    same = SC.bootstrap(texts, ["k"], 60, 0.9, [7, F.col("k")]).toPandas().set_index("k")
+    assert sorted(got.index) == sorted(same.index) == sorted(groups)
     for k, values in groups.items():
-        np.testing.assert_allclose(got.loc[k, ["ci_lo", "ci_hi"]].to_numpy(float), plain_interval(f"7|{k}", values, 60, 0.9), rtol=1e-9)
+        for one in (got, same):
+            np.testing.assert_allclose(one.loc[k, ["ci_lo", "ci_hi"]].to_numpy(float), plain_interval(f"7|{k}", values, 60, 0.9), rtol=1e-9)
+
+
+def test_bootstrap_rows_stay_small_and_a_null_is_a_group(spark):
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=500)
+    means = spark.createDataFrame([(None, s, float(v)) for s, v in enumerate(values)], "k string, subject int, mean double")
+    got = SC.bootstrap(means, ["k"], 40, 0.95, [7, F.col("k")], block=64, row_draws=128).collect()  # a replicate in several rows
+    assert len(got) == 1 and got[0]["k"] is None
+    np.testing.assert_allclose([got[0]["ci_lo"], got[0]["ci_hi"]], plain_interval("7|~", values, 40, 0.95), rtol=1e-9)
+    assert SC.bootstrap(means.limit(0), ["k"], 40, 0.95, [7, F.col("k")]).count() == 0
 
 
 def test_axes_count_a_missing_value(spark):

@@ -68,3 +68,30 @@ def test_odd_rows(odd, documents, labelled):
     empty = sk.fit(labelled.limit(0))
     assert {(r["lang_pred"], r["score"]) for r in sk.predict(docs, empty).collect()} == {("und", 0.0)}
     assert sk.predict(labelled.limit(0), model).count() == 0
+
+
+def exact_ridge(train, labels, asked, ridge):
+    """Kernel ridge regression on sets of n-grams, without hash cells and landmarks; every language weighs the same."""
+    names = sorted(set(labels))
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) for y in b] for x in a])
+    sets, held = [grams(t) for t in train], [grams(t) for t in asked]
+    target = np.array([[float(c == n) for n in names] for c in labels])
+    weight = (target / target.sum(axis=0)).sum(axis=1) * len(train) / len(names)
+    gram = kernel(sets, sets)
+    alpha = np.linalg.solve(gram + ridge * len(train) * np.diag(1 / weight), target)
+    return names, kernel(held, sets) @ alpha
+
+
+def test_scores_are_those_of_exact_kernel_ridge_regression(labelled):
+    rows = labelled.select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    train, asked = [r for r in rows if r["doc_id"] % 4], [r for r in rows if r["doc_id"] % 4 == 0]
+    model = sk.fit(labelled.filter("doc_id % 4 != 0"), per_language=1000, landmarks=3000, ridge=1e-3)  # all of them are landmarks
+    assert len(model.bits) == len(train)
+    got = {r["doc_id"]: r for r in sk.predict(labelled.filter("doc_id % 4 = 0"), model).collect()}
+    names, scores = exact_ridge([r["text"] for r in train], [r["lang"] for r in train], [r["text"] for r in asked], 1e-3)
+    for r, s in zip(asked, scores, strict=True):
+        assert got[r["doc_id"]]["lang_pred"] == names[int(s.argmax())]
+        assert abs(got[r["doc_id"]]["score"] - min(max(s.max(), 0), 1)) < 0.02  # cells may collide
+    few = sk.predict(labelled.filter("doc_id % 4 = 0"), sk.fit(labelled.filter("doc_id % 4 != 0"), 1000, 60)).collect()
+    near = [abs(r["score"] - got[r["doc_id"]]["score"]) for r in few]
+    assert np.mean(near) < 0.1  # landmarks span most of the kernel

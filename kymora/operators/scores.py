@@ -99,7 +99,7 @@ def _indexed(means: DataFrame, keys: Sequence[str], draw_key: Sequence, subject:
         H.key_text(*draw_key).alias("_draw"),
     )
     if isinstance(means.schema[subject].dataType, T.NumericType):
-        bucket = F.floor(F.col("_subject") / block)
+        bucket = F.coalesce(F.floor(F.col("_subject") / block), F.lit(-(1 << 62)))  # no subject sorts first
     else:  # text has no steps of equal width: ranges of the sorted rows, kept in the table
         rows = stored(rows.repartitionByRange("_subject").withColumn("_range", F.spark_partition_id()))
         bucket = F.col("_range")

@@ -66,7 +66,7 @@ def test_bootstrap_same_as_plain_draws_for_any_size(spark):
 def test_bootstrap_rows_stay_small_and_a_null_is_a_group(spark):
     rng = np.random.default_rng(1)
     values = rng.normal(size=500)
-    means = spark.createDataFrame([(None, s, float(v)) for s, v in enumerate(values)], "k string, subject int, mean double")
+    means = spark.createDataFrame([(None, s or None, float(v)) for s, v in enumerate(values)], "k string, subject int, mean double")
     got = SC.bootstrap(means, ["k"], 40, 0.95, [7, F.col("k")], block=64, row_draws=128).collect()  # a replicate in several rows
     assert len(got) == 1 and got[0]["k"] is None
     np.testing.assert_allclose([got[0]["ci_lo"], got[0]["ci_hi"]], plain_interval("7|~", values, 40, 0.95), rtol=1e-9)

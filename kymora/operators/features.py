@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,25 +79,53 @@ def band_filter(
     # At most two rows meet per (series, block).
     met = sent.groupBy(*keys, "block").agg(F.max("own").alias("own"), F.max("before").alias("before")).where(F.col("own").isNotNull())
 
-    @F.pandas_udf("array<array<double>>")
-    def run(own: pd.Series, before: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(own, before, strict=True):
-            head = np.zeros(0) if b is None else np.asarray(b, dtype=float)
-            x = np.concatenate([head, np.asarray(a, dtype=float)])
-            n = len(x) + max(len(h) for h in responses)
-            size = 1 << (n - 1).bit_length()
-            spectrum = np.fft.rfft(x, size)
-            out.append([np.fft.irfft(spectrum * np.fft.rfft(h, size), size)[len(head) : len(x)].tolist() for h in responses])
-        return pd.Series(out)
-
-    filtered = met.select(*keys, "block", run("own", "before").alias("_y"))
-    per_band = filtered.select(*keys, "block", F.posexplode("_y").alias("band", "_s"))
+    schema = T.StructType([*(met.schema[c] for c in [*keys, "block"]), T.StructField("band", T.IntegerType(), False), T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    per_band = met.select(*keys, "block", "own", "before").mapInArrow(_filter_blocks(responses, [*keys, "block"]), schema)
     return per_band.select(*keys, "band", "block", F.posexplode("_s").alias("_i", name)).select(
         *keys, "band", (F.col("block") * rows + F.col("_i")).alias(idx), name
     )
 
 
+def _filter_blocks(responses: Sequence[np.ndarray], keep: Sequence[str], held: int = 1 << 18):
+    """One row per block and band; a task holds its Arrow batch of blocks and the results of about ``held`` numbers."""
+    longest = max(len(h) for h in responses)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectra: dict[int, list[np.ndarray]] = {}
+
+        def filtered(head: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+            x = np.concatenate([head, own])
+            size = 1 << (len(x) + longest - 1).bit_length()
+            if size not in spectra:
+                spectra[size] = [np.fft.rfft(h, size) for h in responses]
+            spectrum = np.fft.rfft(x, size)
+            return [np.fft.irfft(spectrum * h, size)[len(head) : len(x)] for h in spectra[size]]
+
+        def packed(b: pa.RecordBatch, rows: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
+            flat = np.concatenate(out)
+            offsets = np.append(0, np.cumsum([len(y) for y in out])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=np.isnan(flat)))  # what a missing sample touches is null
+            bands = pa.array(np.tile(np.arange(len(responses), dtype=np.int32), len(rows)))
+            at = pa.array(np.repeat(rows, len(responses)))
+            return pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), bands, lists], [*keep, "band", "_s"])
+
+        for b in batches:
+            own, before = b.column("own"), b.column("before")
+            rows, out, size = [], [], 0
+            for i in range(b.num_rows):
+                numbers = lambda c: c[i].values.to_numpy(zero_copy_only=False) if c[i].is_valid else np.zeros(0)
+                out += filtered(numbers(before), numbers(own))
+                rows.append(i)
+                size += len(out[-1]) * len(responses)
+                if size >= held:
+                    yield packed(b, rows, out)
+                    rows, out, size = [], [], 0
+            if rows:
+                yield packed(b, rows, out)
+
+    return run
+
+
 def band_log_power(filtered: DataFrame, keys: Sequence[str], idx: str, window: int, name: str = "filtered") -> DataFrame:
     """Log variance per window, band and series."""
     var = F.var_pop(name)

@@ -1,7 +1,9 @@
 import datetime as dt
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,33 @@ def test_filter_equals_the_recursion(spark):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+
+def test_filtered_blocks_leave_in_bounded_pieces():
+    n, rows = 1500, 1024
+    x = np.random.default_rng(3).normal(size=(n + 1, rows))
+    lists = lambda y: pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * rows), pa.array(y.ravel()))
+    before = pa.concat_arrays([pa.nulls(1, pa.list_(pa.float64())), lists(x[1:n])])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists(x[1:]), before], ["block", "own", "before"])
+    responses = [FE.impulse_response(2, lo, hi, 250.0) for lo, hi in ((20.0, 40.0), (40.0, 70.0), (70.0, 100.0))]
+    seen = []
+    base = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for b in FE._filter_blocks(responses, ["block"])([batch]):
+        assert b.nbytes < 4 << 20 and pa.total_allocated_bytes() - base < 16 << 20
+        seen += zip(b.column("block").to_pylist(), b.column("band").to_pylist(), strict=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all results are 37 MB, as Python numbers 147
+    assert seen == [(i, k) for i in range(n) for k in range(3)]
+
+
+def test_a_missing_sample_takes_its_block_and_the_next(spark):
+    df = spark.createDataFrame([(1, i, None if i == 600 else float("nan") if i == 2600 else float(i % 7)) for i in range(5000)], "k int, i long, v double")
+    got = FE.band_filter(df, ["k"], "i", "v", sfreq=250.0, bands=[(20.0, 60.0)], order=2, rows=512).orderBy("i").toPandas()
+    assert got["filtered"].isna().tolist() == [i // 512 in (1, 2, 5, 6) for i in range(5000)]
+    assert (got["i"] == np.arange(5000)).all() and got["band"].eq(0).all()
+
+
 def test_band_gain():
     h = FE.impulse_response(4, 4.0, 38.0, 250.0)
     gain = lambda f: abs((h * np.exp(-2j * np.pi * f / 250 * np.arange(len(h)))).sum())

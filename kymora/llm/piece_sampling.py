@@ -5,8 +5,8 @@ pieces.  A segmentation is drawn with a probability proportional to the product
 piece weights, by filtering forward (the weight of all ways to reach a place) and
 sampling backward (a last piece, then the one before it).  Where two neighbouring
 characters stand together in no piece, every segmentation breaks there: the lattice
-falls apart into units, each distinct unit is filtered once, and all its occurrences
-are sampled together.
+falls apart into units.  All new units of a block are filtered together, place by place;
+a table keeps short ones for later blocks, and all their occurrences are sampled together.
 
 Weights follow the order of the vocabulary, 1 / (2 + rank) ** power, as merge scores are
 ranks and not probabilities.  A character that is no piece, and a mark that stands in
@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,8 @@ from kymora.llm.common import U64, Rolling, documents, ragged, row_key, slices,
 
 PIECE_BITS = 24  # of an edge's number for its piece
 MARK, LITERAL = "▁", 0x110000
-BLOCK, CACHE = 1 << 18, 120_000
+BLOCK, CACHE, SHORT = 1 << 18, 6_000_000, 64  # characters of a block; edges, and characters of a unit, that the table keeps
+LOW, HIGH = 1e-200, 1e200
 POWER, SEED = 1.0, 1
 
 
@@ -69,18 +71,22 @@ class Lattices:
         self.joined[self.code[pairs[:, 0]], self.code[pairs[:, 1]]] = True
         lead = min(i for _, i in pieces)
         self.pieces = ahocorasick.Automaton()
+        self.numbers = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.weights = np.zeros(n + 1)
         for p, i in pieces:
             self.pieces.add_word(p, (i + 1, len(p), 10.0 ** len(p) * (2 + i - lead) ** -power))  # a factor for each character keeps products near 1
+            self.numbers.add_word(p, i + 1)
+            self.weights[i + 1] = self.pieces.get(p)[2]
         self.pieces.make_automaton()
+        self.numbers.make_automaton()
         self.chars = np.ones(n + 1, np.int64)  # of piece i at i + 1; a byte spelling is one character
         self.chars[[i + 1 for _, i in pieces]] = [len(p) for p, _ in pieces]
         self.longest = max(len(p) for p, _ in pieces)
         self.byte_weight = (2.0 + n) ** -power
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.table = Table()
 
     def spell(self, c: str) -> list[int]:
-        return [self.bytes[b] for b in (MARK if c == chr(0x10FFFF) else c).encode("utf-8", "surrogatepass")]
+        return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
 
     def lattice(self, text: str) -> tuple[int, bytes, bytes]:
         """Places, and of each edge: its end and piece in one number, and the weight of all ways through it; byte spellings have piece -1.
@@ -111,7 +117,7 @@ class Lattices:
             while done < e:  # close the place before, and those where no piece ends
                 if not single:
                     spelled(done)
-                if not 1e-200 < total[done] < 1e200:
+                if not LOW < total[done] < HIGH:
                     level(done)
                 done += 1
                 single = False
@@ -124,25 +130,91 @@ class Lattices:
         while done <= n:
             if not single:
                 spelled(done)
-            if not 1e-200 < total[done] < 1e200:
+            if not LOW < total[done] < HIGH:
                 level(done)
             done += 1
             single = False
         return n, array("q", edges).tobytes(), array("d", weights).tobytes()
 
-    def filtered(self, units: list[str]) -> list[tuple]:
-        """Lattices of units; the cache holds two generations, and what is used moves to the younger one."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        out = []
-        for text in units:
-            got = self.known.get(text)
-            if got is None:
-                got = self.older.get(text) or self.lattice(text)
-                if len(text) <= 64:
-                    self.known[text] = got
-            out.append(got)
-        return out
+    def together(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lattices of short units that follow each other in ``points``: place (0 on), piece and weight of each edge, and the units whose sums left the middling sizes.
+
+        All units take the same step at once: sums at the places that are ``p`` characters in.
+        """
+        starts = np.cumsum(lengths) - lengths
+        unit_of = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.arange(len(points)) - starts[unit_of] + 1
+        found = np.fromiter(chain.from_iterable(self.numbers.iter(text_of(points))), np.int64).reshape(-1, 2)
+        end, piece = found[:, 0], found[:, 1]
+        own = self.chars[piece] <= inside[end]  # else a piece that begins in the unit before
+        end, piece = end[own], piece[own]
+        weight = self.weights[piece]
+        spelled = np.ones(len(points), bool)
+        spelled[end[self.chars[piece] == 1]] = False
+        if spelled.any():
+            at = np.flatnonzero(spelled)
+            size = 1 + (points[at] >= 0x80) + (points[at] >= 0x800) + (points[at] >= 0x10000)
+            end, piece = np.append(end, at), np.append(piece, np.zeros(len(at), np.int64))
+            weight = np.append(weight, 10.0 * self.byte_weight ** np.arange(5.0)[size])
+            order = np.argsort(end, kind="stable")
+            end, piece, weight = end[order], piece[order], weight[order]
+        longest = int(lengths.max(initial=0))
+        total = np.zeros((longest + 1, len(lengths)))
+        total[0] = 1.0
+        step = inside[end]
+        order = np.argsort(step.astype(np.uint8), kind="stable")
+        cuts = np.cumsum(np.bincount(step, minlength=longest + 1))
+        unit, back = unit_of[end[order]], (step - self.chars[piece])[order]
+        through = weight[order]
+        for p in range(1, longest + 1):
+            now = slice(cuts[p - 1], cuts[p])
+            through[now] *= total[back[now], unit[now]]
+            total[p] = np.bincount(unit[now], weights=through[now], minlength=len(lengths))
+        weight[order] = through
+        sums = total[inside, unit_of]
+        return end, piece, weight, np.unique(unit_of[~((sums > LOW) & (sums < HIGH))])
+
+    def edges(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units that follow each other in ``points``: the first edge of each place, and for each edge its piece and the chance that it or one before it is drawn there."""
+        starts = np.cumsum(lengths) - lengths
+        few = np.flatnonzero(lengths <= SHORT)
+        at = ragged(starts[few], lengths[few])
+        end, piece, weight, odd = self.together(points[at], lengths[few])
+        parts = [(at[end], piece, weight)]
+        if len(odd):
+            keep = ~np.isin(np.repeat(np.arange(len(few)), lengths[few])[end], odd)
+            parts = [(at[end[keep]], piece[keep], weight[keep])]
+        for u in np.concatenate([few[odd], np.flatnonzero(lengths > SHORT)]).tolist():
+            _, packed, weights = self.lattice(text_of(points[starts[u] : starts[u] + lengths[u]]))
+            packed = np.frombuffer(packed, np.int64)
+            parts.append((starts[u] + (packed >> PIECE_BITS) - 1, packed & ((1 << PIECE_BITS) - 1), np.frombuffer(weights, np.float64)))
+        end, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(parts) > 1:
+            order = np.argsort(end, kind="stable")
+            end, piece, weight = end[order], piece[order], weight[order]
+        count = np.bincount(end, minlength=len(points))
+        first = np.cumsum(count) - count
+        chance = weight / np.bincount(end, weights=weight, minlength=len(points))[end]
+        nth = np.arange(len(end)) - first[end]
+        by_nth = np.argsort(nth, kind="stable")
+        cuts = np.cumsum(np.bincount(nth))
+        for a, b in zip(cuts, cuts[1:], strict=False):  # added up place by place, so that a unit has the same chances in every block
+            e = by_nth[a:b]
+            chance[e] += chance[e - 1]
+        chance[first + count - 1] = 2.0
+        return first, piece - 1, chance
+
+    def filtered(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where the places of distinct units begin in the table; ``hashes`` ascend.  What is not kept stays until the next call."""
+        table = self.table
+        table.trim()
+        base = table.find(hashes, points, starts, lengths)
+        new = np.flatnonzero(base < 0)
+        if len(new):
+            new = new[np.argsort(lengths[new] > SHORT, kind="stable")]  # what stays comes first
+            own = points[ragged(starts[new], lengths[new])]
+            base[new] = table.add(hashes[new], own, lengths[new], *self.edges(own, lengths[new]))
+        return base
 
     def decode(self, ids) -> str:
         ids = np.asarray(ids, np.int64)
@@ -150,6 +222,91 @@ class Lattices:
         return text[1:] if text.startswith(" ") else text
 
 
+class Table:
+    """Lattices of units: short ones by hash for later blocks, others until the next block.
+
+    As the edges become too many, units stay that came in two blocks at least, or none.
+    """
+
+    def __init__(self) -> None:
+        self.hashes, self.unit = np.zeros(0, U64), np.zeros(0, np.int64)  # ascending
+        self.base, self.length, self.blocks = (np.zeros(0, np.int64) for _ in range(3))  # by unit
+        self.places = self.edges = 0  # of the units that are kept
+        self.first, self.points = np.zeros(0, np.int64), np.zeros(0, np.uint32)  # by place
+        self.piece, self.chance = np.zeros(0, np.int32), np.zeros(0)  # by edge
+
+    def find(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Begin of each unit, -1 if it is not here: same hash and same characters."""
+        out = np.full(len(hashes), -1)
+        spot = np.searchsorted(self.hashes, hashes)
+        here = np.flatnonzero(spot < len(self.hashes))
+        here = here[self.hashes[spot[here]] == hashes[here]]
+        u = self.unit[spot[here]]
+        same = self.length[u] == lengths[here]
+        here, u = here[same], u[same]
+        if len(here):
+            equal = self.points[ragged(self.base[u], lengths[here])] == points[ragged(starts[here], lengths[here])]
+            same = np.logical_and.reduceat(equal, np.cumsum(lengths[here]) - lengths[here])
+            here, u = here[same], u[same]
+        out[here] = self.base[u]
+        self.blocks[u] += 1
+        return out
+
+    def add(self, hashes: np.ndarray, points: np.ndarray, lengths: np.ndarray, first: np.ndarray, piece: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """Begin of each of the new units, short ones first."""
+        base = self.places + np.cumsum(lengths) - lengths
+        self.first = put(self.first, self.places, self.edges + first)
+        self.points = put(self.points, self.places, points)
+        self.piece = put(self.piece, self.edges, piece)
+        self.chance = put(self.chance, self.edges, chance)
+        spot = np.searchsorted(self.hashes, hashes)
+        taken = np.append(self.hashes, U64(0))[spot] == hashes  # by a unit of other characters
+        taken &= spot < len(self.hashes)
+        short = np.flatnonzero(lengths <= SHORT)
+        if len(short):
+            n = int(lengths[short].sum())
+            enter = short[~taken[short]]
+            enter = enter[np.argsort(hashes[enter], kind="stable")]
+            spot = spot[enter]
+            self.hashes, self.unit = np.insert(self.hashes, spot, hashes[enter]), np.insert(self.unit, spot, len(self.base) + enter)
+            self.base, self.length = np.append(self.base, base[short]), np.append(self.length, lengths[short])
+            self.blocks = np.append(self.blocks, np.ones(len(short), np.int64))
+            self.edges += int(first[n]) if n < len(first) else len(piece)
+            self.places += n
+        return base
+
+    def trim(self) -> None:
+        if self.edges <= CACHE and len(self.piece) <= 4 * CACHE:
+            return
+        keep = np.flatnonzero(self.blocks[self.unit] > 1)
+        u = self.unit[keep]
+        at = ragged(self.base[u], self.length[u])
+        ends = np.append(self.first[1 : self.places], self.edges)
+        count = ends[at] - self.first[at]
+        if int(count.sum()) > CACHE // 2:
+            self.__init__()
+            return
+        edges = ragged(self.first[at], count)
+        self.first, self.points = np.cumsum(count) - count, self.points[at]
+        self.piece, self.chance = self.piece[edges], self.chance[edges]
+        self.hashes, self.unit, self.length = self.hashes[keep], np.arange(len(keep)), self.length[u]
+        self.base, self.blocks = np.cumsum(self.length) - self.length, np.ones(len(keep), np.int64)
+        self.places, self.edges = len(at), len(edges)
+
+
+def put(old: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """``old`` with ``new`` from ``at`` on; grows with room to spare."""
+    if len(old) < at + len(new):
+        old = np.concatenate([old[:at], np.empty(max(at // 2, len(new)), old.dtype)])
+    old[at : at + len(new)] = new
+    return old
+
+
+def text_of(points: np.ndarray) -> str:
+    """Characters, with U+10FFFF for a mark that stands in the text itself."""
+    return np.minimum(points, 0x10FFFF).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 @functools.lru_cache(2)
 def lattices(path: str, power: float) -> Lattices:
     return Lattices(path, power)
@@ -210,41 +367,30 @@ def _sample(group: list[tuple[int, int, str]], keys: np.ndarray, model: Lattices
     ends = np.append(starts[1:], len(points))
     roll = Rolling(31)
     h = splitmix(roll.of(roll.prefix(splitmix(points.astype(U64))), starts, ends) ^ (ends - starts).astype(U64))
-    _, sample, unit_of = np.unique(h, return_index=True, return_inverse=True)
-    marked = flat.replace(MARK, chr(0x10FFFF)).replace(" ", MARK) if MARK in flat else flat.replace(" ", MARK)
-    units = [marked[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
-    parts = model.filtered(units)
-    places = np.array([p[0] for p in parts])
-    base = np.cumsum(places) - places  # place 1 of unit u is base[u]
-    edges = np.array([len(p[1]) // 8 for p in parts])
-    packed = np.frombuffer(b"".join([p[1] for p in parts]), np.int64)
-    end, piece = packed >> PIECE_BITS, packed & ((1 << PIECE_BITS) - 1)
-    length, piece = model.chars[piece], piece - 1
-    weight = np.frombuffer(b"".join([p[2] for p in parts]), np.float64)
-    state = np.repeat(base, edges) + end - 1
-    order = np.argsort(state, kind="stable")
-    state, weight, length, piece = state[order], weight[order], length[order], piece[order]
-    climb = np.cumsum(weight / np.bincount(state, weights=weight)[state])  # grows by one in each place
-    last = np.searchsorted(state, np.arange(int(places.sum())), side="right") - 1
-    climb = state + np.minimum(climb - np.append(0.0, climb[last[:-1]])[state], 1.0)
-    climb[last] = np.arange(len(last)) + 1.0
+    distinct, sample, unit_of = np.unique(h, return_index=True, return_inverse=True)
+    base = model.filtered(distinct, points, starts[sample], (ends - starts)[sample])[unit_of]
+    first, piece, chance = model.table.first, model.table.piece, model.table.chance
     part_of = np.searchsorted(cuts, starts, side="right") - 1
     row = np.array([i for i, _, _ in group])[part_of]
     number = np.array([n for _, n, _ in group])[part_of]
     nth = np.arange(len(starts)) - np.searchsorted(part_of, part_of)
     key = splitmix(keys[row] ^ splitmix((number.astype(U64) << U64(32)) + nth.astype(U64) + U64(seed << 56)))
     active = np.arange(len(starts))
-    place = places[unit_of].copy()
+    place = ends - starts
     tokens = np.zeros(len(starts), np.int64)
     drawn: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     step = 0
     while len(active):
-        state = base[unit_of[active]] + place[active] - 1
+        e = first[base[active] + place[active] - 1]
         u = unit(splitmix(key[active] + U64(step * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)))
-        e = np.minimum(np.searchsorted(climb, state + u, side="right"), last[state])
-        drawn.append((active, np.full(len(active), step), piece[e], starts[active] + place[active] - 1))
+        later = np.flatnonzero(u >= chance[e])
+        while len(later):
+            e[later] += 1
+            later = later[u[later] >= chance[e[later]]]
+        ids = piece[e]
+        drawn.append((active, np.full(len(active), step), ids, starts[active] + place[active] - 1))
         tokens[active] += 1
-        place[active] -= length[e]
+        place[active] -= model.chars[ids + 1]
         active = active[place[active] > 0]
         step += 1
     occ, steps, ids, where = (np.concatenate(x) for x in zip(*drawn, strict=True))
@@ -254,7 +400,7 @@ def _sample(group: list[tuple[int, int, str]], keys: np.ndarray, model: Lattices
     ordered[spot], end_at[spot] = ids, where
     spelled = np.flatnonzero(ordered < 0)
     width = np.ones(len(ordered), np.int64)
-    bytes_ = [model.spell(chr(0x10FFFF) if points[w] == LITERAL else chr(points[w])) for w in end_at[spelled].tolist()]
+    bytes_ = [model.spell(MARK if points[w] == LITERAL else chr(points[w])) for w in end_at[spelled].tolist()]
     width[spelled] = [len(b) for b in bytes_]
     stream = np.repeat(ordered, width)
     if len(spelled):

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from kymora.llm import piece_sampling
 from kymora.llm.common import splitmix
 from kymora.llm.piece_sampling import decode, encode, lattices, sample_batch
 
@@ -74,3 +75,55 @@ def test_odd_rows(odd, documents):
     got = decode(encode(docs, PATH, keep=("text", "source")), PATH).collect()
     assert len(got) == len(rows) and all(r["decoded"] == (r["text"] or "") and r["source"] == "src0" for r in got)
     assert encode(documents([(1, "x")]).limit(0), PATH).count() == 0
+
+
+def odd_texts(prose):
+    draw = np.random.default_rng(4)
+    mixed = ["".join(draw.choice(list("abcdefgh -_.Eéñ漢\n"), 120)) for _ in range(40)]
+    return [*TEXTS, *mixed, "z" * 64, "z" * 65, "=" * 400, prose(2, 400)]
+
+
+def test_prose_is_filtered_without_the_loop_over_characters(model, prose, monkeypatch):
+    monkeypatch.setattr(model, "table", piece_sampling.Table())
+    monkeypatch.setattr(model, "lattice", None)
+    texts = [prose(7, 2000), "two words"]
+    assert [model.decode(x) for x in sample_batch(texts, np.arange(2, dtype=np.uint64), model, 1)] == texts
+
+
+@pytest.mark.parametrize("power", [0.0, 1.0, 4.0])
+def test_units_together_have_the_chances_that_the_loop_gives(prose, power, monkeypatch):
+    model = piece_sampling.Lattices(PATH, power)
+    units = list({w for t in odd_texts(prose) for w in t.replace("▁", "").replace(" ", " ▁").split(" ") if w})
+    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(u) for u in units])
+    many = model.edges(points, lengths)
+    monkeypatch.setattr(piece_sampling, "SHORT", 0)
+    for a, b in zip(many, model.edges(points, lengths), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-12, atol=1e-300)
+
+
+def test_ids_depend_neither_on_what_the_table_keeps_nor_on_equal_hashes(prose, monkeypatch):
+    model = piece_sampling.Lattices(PATH, 1.0)
+    texts = [t for k in range(3) for t in (*odd_texts(prose), prose(k, 500))]
+    keys = splitmix(np.arange(len(texts), dtype=np.uint64))
+    run = lambda: [x.tolist() for x in sample_batch(texts, keys, model, 1)]
+    want = run()
+    assert want == run()
+    short = np.array([len(t) < 700 for t in texts])
+    monkeypatch.setattr(piece_sampling, "BLOCK", 700)
+    trims = []
+    monkeypatch.setattr(piece_sampling.Table, "trim", lambda t, f=piece_sampling.Table.trim: (trims.append(t.edges), f(t), trims.append(t.edges)))
+    for cache, some in ((2000, True), (60, False)):
+        monkeypatch.setattr(piece_sampling, "CACHE", cache)
+        trims.clear()
+        kept = sample_batch([t for t, s in zip(texts, short, strict=True) if s], keys[short], piece_sampling.Lattices(PATH, 1.0), 1)
+        assert [x.tolist() for x in kept] == [x for x, s in zip(want, short, strict=True) if s]
+        assert any((b > 0) == some for a, b in zip(trims[::2], trims[1::2], strict=True) if b < a)
+    monkeypatch.undo()
+    model.table.points[:] = 1  # whatever a hash finds is now of other characters
+    assert run() == want
+
+
+def test_the_last_code_point_is_kept(model):
+    text = f"a{chr(0x10FFFF)}▁b"
+    assert [model.decode(x) for x in sample_batch([text], np.zeros(1, np.uint64), model, 1)] == [text]

@@ -4,11 +4,17 @@ Index: documents are taken in shards as they stand; a shard is one row that hold
 postings sorted by term and document.  Global statistics (number and mean length of
 documents, and the document frequencies of the terms asked for) come from all shards.
 
-Search: queries go out in blocks of bounded size.  In a shard the documents stand in
-blocks; for each term the largest impact in each block bounds what the term can add
-there.  A query first scores the blocks with the largest bounds, which gives a
-threshold, then only the blocks whose bound reaches it.  Skipped blocks cannot hold a
-result, so the merged lists are exact.
+Search: queries go out in blocks of bounded size.  Where a block has few queries, the
+documents of a shard stand in blocks; for each term the largest impact in each block
+bounds what the term can add there.  A query first scores the blocks with the largest
+bounds, which gives a threshold, then only the blocks whose bound reaches it.  Skipped
+blocks cannot hold a result, so the merged lists are exact.
+
+Where a block has many queries, a shard sums them together in single precision: the
+impacts of its frequent terms are a matrix, which meets a matrix of queries in one
+product, and the lists of its other terms are added to that.  Every document whose sum,
+with the most that rounding can take off, reaches the threshold is scored again in
+double precision.  So all documents are looked at, and the results are the same.
 
 Thresholds are shared between shards.  A hash of its content gives each shard a level;
 three quarters of all shards have level 0, a quarter of the rest has each next one.
@@ -30,13 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kymora.llm.common import U64, Words, documents, ragged, row_key, shared_path, slices, splitmix, stored
+from kymora.llm.common import U64, Words, documents, give_back, ragged, row_key, shared_path, slices, splitmix, stored
 
 K1, B = 1.2, 0.75
 SHARD_BYTES, BLOCK = 1 << 24, 32
 QUERY_BYTES = 1 << 24  # of term hashes in a block of queries
 DIGITS = 6
 SLACK = 2 * 10.0**-DIGITS  # rounding moves a score by less
+MANY = 64  # queries that a shard sums together, not one by one
+STRIPE, SUMS = 1 << 13, 1 << 20  # documents summed at once; sums held at once
+SHARE, MATRIX_BYTES, KINDS = 0.05, 1 << 25, 32
+PIECE = 1 << 18  # postings added at once
 #: Bytes that separate terms (all ASCII but letters and digits).
 GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -109,34 +119,55 @@ def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(data, pa.binary()), b.column("key")], ["query_id", "terms", "key"])
 
 
+def known(wanted: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the common terms in both; each is sorted and has a term once."""
+    if not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(wanted, term)
+    there = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == term)
+    return at[there], there
+
+
 def frequencies(wanted: np.ndarray):
-    """Arrow map: documents of each wanted term in each shard."""
+    """Arrow map: documents of each wanted term in the shards of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(wanted), np.int64)
         for b in batches:
             for t, o in zip(b.column("terms"), b.column("offsets"), strict=True):
                 term, offset = np.frombuffer(t.as_py(), "<u8"), np.frombuffer(o.as_py(), "<i8")
-                _, here, there = np.intersect1d(wanted, term, assume_unique=True, return_indices=True)
-                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(np.diff(offset)[there], pa.int64())], ["term", "n"])
+                here, there = known(wanted, term)
+                n[here] += np.diff(offset)[there]
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
     return run
 
 
-class Shard:
-    """Postings of the wanted terms of one shard, with the largest impact of each term in each block."""
+class Postings:
+    """Postings of the wanted terms of one shard, sorted by term, then document."""
 
     def __init__(self, row: dict, wanted: np.ndarray, idf: np.ndarray, mean: float) -> None:
         self.ids = np.frombuffer(row["ids"], "<i8")
+        self.wanted = len(wanted)
         length = np.frombuffer(row["lengths"], "<i4")
         term, offset = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["offsets"], "<i8")
-        _, here, there = np.intersect1d(wanted, term, assume_unique=True, return_indices=True)
+        here, there = known(wanted, term)
         n = np.diff(offset)[there]
         take = ragged(offset[there], n)
         self.doc = np.frombuffer(row["doc"], "<i4")[take].astype(np.int64)
         tf = np.frombuffer(row["count"], "<i4")[take].astype(np.float64)
-        self.impact = np.repeat(idf[here], n) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean)))
-        slot = np.repeat(here, n)
-        block = self.doc // BLOCK
+        norm = K1 * (1 - B + B * length / mean)
+        self.impact = np.repeat(idf[here], n) * (tf * (K1 + 1) / (tf + norm[self.doc]))
+        self.slot = np.repeat(here, n)
+
+
+class Shard(Postings):
+    """For one query at a time: the largest impact of each term in each block."""
+
+    def __init__(self, row: dict, wanted: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        super().__init__(row, wanted, idf, mean)
+        slot, block = self.slot, self.doc // BLOCK
         new = np.append(True, (slot[1:] != slot[:-1]) | (block[1:] != block[:-1])) if len(slot) else np.zeros(0, bool)
         self.entry = np.append(np.flatnonzero(new), len(slot))  # postings of one term in one block
         self.block = block[new]
@@ -183,6 +214,123 @@ class Shard:
         return leading(self.ids[doc[near]], np.round(score[near], DIGITS), k)
 
 
+class Stripe:
+    """For many queries at once: sums over a stretch of the documents of a shard, in single precision.
+
+    Terms in a share of SHARE of the documents are rows of a matrix, as far as it has
+    room.  The lists of the other terms stand in tables by length, filled up to a power
+    of two with impacts of zero.
+    """
+
+    def __init__(self, postings: Postings, low: int, high: int) -> None:
+        self.low, self.docs = low, high - low
+        slot, doc, impact = postings.slot, postings.doc, postings.impact
+        if self.docs < len(postings.ids):
+            inside = np.flatnonzero((doc >= low) & (doc < high))
+            slot, doc, impact = slot[inside], doc[inside], impact[inside]
+        doc, impact = doc - low, impact.astype(np.float32)
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(slot)))
+        order = np.argsort(-count, kind="stable")
+        rows = order[: MATRIX_BYTES // (4 * self.docs)]
+        rows = rows[count[rows] >= SHARE * self.docs]
+        place = np.zeros(len(first), np.int32)
+        kind = np.frexp(count - 1)[1] + 1  # 0 is the matrix, above it a list of at most 2 ** (kind - 1) postings
+        place[rows], kind[rows] = np.arange(len(rows)), 0
+        self.matrix = np.zeros((len(rows), self.docs), np.float32)
+        at = ragged(first[rows], count[rows])
+        self.matrix[np.repeat(np.arange(len(rows)), count[rows]), doc[at]] = impact[at]
+        self.lists = []
+        for one in np.unique(kind[kind > 0]).tolist():
+            mine = np.flatnonzero(kind == one)
+            place[mine] = np.arange(len(mine))
+            to = ragged(np.arange(len(mine)) << (one - 1), count[mine])
+            at = ragged(first[mine], count[mine])
+            docs, impacts = np.zeros(len(mine) << (one - 1), np.int64), np.zeros(len(mine) << (one - 1), np.float32)
+            docs[to], impacts[to] = doc[at], impact[at]
+            self.lists.append((one, docs.reshape(len(mine), -1), impacts.reshape(len(mine), -1)))
+        self.code = np.full(postings.wanted, -1, np.int32)
+        self.code[slot[first]] = place * KINDS + kind
+
+    def sums(self, query: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        """Of ``n`` queries (rows) and all documents (columns), from the pairs of query and term."""
+        code = self.code[slot]
+        here = np.flatnonzero(code >= 0)
+        code, query = code[here], query[here]
+        place, kind = np.divmod(code, KINDS)
+        asked = np.zeros((n, len(self.matrix)), np.float32)
+        row = np.flatnonzero(kind == 0)
+        asked[query[row], place[row]] = 1
+        out = asked @ self.matrix
+        flat = out.reshape(-1)
+        for one, docs, impacts in self.lists:
+            pairs = np.flatnonzero(kind == one)
+            step = max(1, PIECE >> (one - 1))
+            for s in range(0, len(pairs), step):
+                p = pairs[s : s + step]
+                to = docs[place[p]]
+                to += (query[p] * self.docs)[:, None]
+                np.add.at(flat, to.reshape(-1), impacts[place[p]].reshape(-1))
+        return out
+
+
+class Batch(Postings):
+    """For many queries at once: the documents of a shard that can be among the best of each."""
+
+    def __init__(self, row: dict, wanted: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        super().__init__(row, wanted, idf, mean)
+        n = len(self.ids)
+        order = np.argsort(self.doc.astype(np.uint16) if n <= 1 << 16 else self.doc, kind="stable")
+        self.terms, self.parts = self.slot[order], self.impact[order]  # by document, then term
+        self.size = np.bincount(self.doc, minlength=n)
+        self.start = np.cumsum(self.size) - self.size
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.asked = np.zeros(len(wanted), bool)
+
+    def score(self, query: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        n = self.size[doc]
+        at = ragged(self.start[doc], n)
+        self.asked[query] = True
+        weights = self.parts[at] * self.asked[self.terms[at]]
+        self.asked[query] = False
+        return np.bincount(np.repeat(np.arange(len(doc)), n), weights=weights, minlength=len(doc))
+
+    def near(self, asked: Asked, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, rounded scores), as ``Shard.top``; ``floors`` may rise while this runs."""
+        ids = self.ids[self.by_id]
+        for low in range(0, len(self.ids), STRIPE):
+            stripe = Stripe(self, low, min(low + STRIPE, len(self.ids)))
+            step = max(1, SUMS // stripe.docs)
+            for s in range(0, len(asked), step):
+                some = np.arange(s, min(s + step, len(asked)))
+                n = np.diff(asked.cuts[s : s + len(some) + 1])
+                sums = stripe.sums(np.repeat(np.arange(len(some)), n), asked.slots[asked.cuts[s] : asked.cuts[s + len(some)]], len(some))
+                left, right = np.searchsorted(ids, asked.ids[some], "left"), np.searchsorted(ids, asked.ids[some], "right")
+                own, copies = np.repeat(np.arange(len(some)), right - left), self.by_id[ragged(left, right - left)] - low
+                inside = (copies >= 0) & (copies < stripe.docs)
+                sums[own[inside], copies[inside]] = 0
+                keep = 1 - (n + 16) * 2.0**-23  # a sum of n positive terms is less by no larger share
+                query, doc = candidates(sums, floors[some], keep, k)
+                cuts = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1])), len(query)) if len(query) else np.zeros(1, np.int64)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    q = s + int(query[a])
+                    score = self.score(asked.slots[asked.cuts[q] : asked.cuts[q + 1]], doc[a:b] + low)
+                    yield q, *leading(self.ids[doc[a:b] + low], np.round(score, DIGITS), k)
+
+
+def candidates(sums: np.ndarray, floors: np.ndarray, keep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) whose true sum can reach the floor of its row and the ``k`` largest of it; a sum is off by a share of 1 - ``keep`` at most."""
+    least = np.maximum((floors - SLACK) * keep, np.finfo(np.float32).tiny)
+    row, col = np.divmod(np.flatnonzero(sums >= np.nextafter(least.astype(np.float32), np.float32(0))[:, None]), sums.shape[1])
+    many = np.flatnonzero(np.bincount(row, minlength=len(sums)) > 4 * k)
+    if len(many):
+        kth = np.partition(sums[many], sums.shape[1] - k, axis=1)[:, sums.shape[1] - k]
+        least[many] = np.maximum(least[many], (kth * keep[many] - SLACK) * keep[many])
+        may = sums[row, col] >= least[row]
+        row, col = row[may], col[may]
+    return row, col
+
+
 def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` best of them, highest scores first, ties to smaller ids."""
     if len(scores) > k:
@@ -195,17 +343,36 @@ def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 Floors = tuple[np.ndarray, np.ndarray]
 
 
-def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int, floors: Floors):
+class Asked:
+    """Queries of a block: ids, keys and the places of their terms among the wanted ones, one query after the other."""
+
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, terms: list[np.ndarray]) -> None:
+        self.ids, self.keys = ids, keys
+        self.cuts = np.append(0, np.cumsum([len(t) for t in terms]))
+        self.wanted, slots = np.unique(np.concatenate(terms), return_inverse=True)
+        self.slots = slots.astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def searcher(asked: Asked, idf: np.ndarray, mean: float, k: int, floors: Floors):
     """Arrow map: the best of all shards of a task for each query, as far as they come before the query's floor (score, doc_id)."""
 
+    def each(row: dict, at_least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if len(asked) >= MANY:
+            yield from Batch(row, asked.wanted, idf, mean).near(asked, at_least, k)
+            return
+        shard = Shard(row, asked.wanted, idf, mean)
+        for i in range(len(asked)):
+            yield i, *shard.top(asked.slots[asked.cuts[i] : asked.cuts[i + 1]], k, asked.ids[i], at_least[i])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_least, before = floors[0].copy(), floors[1].copy()
-        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in queries]
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                shard = Shard(row, wanted, idf, mean)
-                for i, (query_id, _, t) in enumerate(queries):
-                    ids, scores = shard.top(t, k, query_id, at_least[i])
+                for i, ids, scores in each(row, at_least):
                     better = (scores > at_least[i]) | (scores == at_least[i]) & (ids < before[i])
                     if not better.any():
                         continue
@@ -214,9 +381,9 @@ def searcher(queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf
                     if len(ids) == k:
                         at_least[i], before[i] = scores[-1], ids[-1]
         n = [len(ids) for ids, _ in best]
-        names = [np.repeat(np.array([q[c] for q in queries], np.int64), n) for c in (0, 1)]
-        cols = [*names, np.concatenate([ids for ids, _ in best]), np.concatenate([scores for _, scores in best])]
+        cols = [np.repeat(asked.ids, n), np.repeat(asked.keys, n), np.concatenate([ids for ids, _ in best]), np.concatenate([scores for _, scores in best])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "key", "doc_id", "score"])
+        give_back()
 
     return run
 
@@ -256,27 +423,26 @@ def search(docs: DataFrame, asked: Column, k: int = 10, shard_bytes: int = SHARD
         block = queries.filter(F.pmod("key", F.lit(parts)) == part).orderBy("query_id", "key").collect()
         if not block:
             continue
-        each = [np.frombuffer(r["terms"], "<u8") for r in block]
-        wanted = np.unique(np.concatenate(each))
-        n = np.zeros(len(wanted))
-        for r in index.select("terms", "offsets").mapInArrow(frequencies(wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-            n[r["term"]] = r["n"]
+        ids, keys = (np.array([r[c] for r in block], np.int64) for c in ("query_id", "key"))
+        asked = Asked(ids, keys, [np.frombuffer(r["terms"], "<u8") for r in block])
+        n = np.zeros(len(asked.wanted))
+        counted = index.select("terms", "offsets").mapInArrow(frequencies(asked.wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        n[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
-        named = [(r["query_id"], r["key"], np.searchsorted(wanted, t)) for r, t in zip(block, each, strict=True)]
-        out = out.union(through_levels(index, levels, named, wanted, idf, stats[1] / stats[0], k))
+        out = out.union(through_levels(index, levels, asked, idf, stats[1] / stats[0], k))
     return best(out, k).select("query_id", "rank", "doc_id", "score")
 
 
 FOUND = "query_id bigint, key bigint, doc_id bigint, score double"
 
 
-def through_levels(index: DataFrame, levels: list[int], queries: list[tuple[int, int, np.ndarray]], wanted: np.ndarray, idf: np.ndarray, mean: float, k: int) -> DataFrame:
+def through_levels(index: DataFrame, levels: list[int], asked: Asked, idf: np.ndarray, mean: float, k: int) -> DataFrame:
     """The best of all shards, level after level; what a level has to beat goes to it as one floor for each query."""
-    place = {q[:2]: i for i, q in enumerate(queries)}
-    floors = np.zeros(len(queries)), np.full(len(queries), np.iinfo(np.int64).max)
+    place = {q: i for i, q in enumerate(zip(asked.ids.tolist(), asked.keys.tolist(), strict=True))}
+    floors = np.zeros(len(asked)), np.full(len(asked), np.iinfo(np.int64).max)
     tops = index.sparkSession.createDataFrame([], FOUND)
     for one in levels:
-        found = index.filter(F.col("level") == one).mapInArrow(searcher(queries, wanted, idf, mean, k, floors), FOUND)
+        found = index.filter(F.col("level") == one).mapInArrow(searcher(asked, idf, mean, k, floors), FOUND)
         tops = stored(best(tops.union(found), k), "tops")
         if one != levels[-1]:
             last = tops.filter(F.col("rank") == k).toArrow()

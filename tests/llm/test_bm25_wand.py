@@ -106,6 +106,103 @@ def test_levels_share_floors(documents, monkeypatch):
     assert sum(returned) < len(asked) * 10 * shards / 2
 
 
+def scores(rows, queries):
+    """Rounded scores of all pairs with a common term, without the query's own id."""
+    bags = [(i, Counter(TERM.findall(fold(t)))) for i, t in rows]
+    n = len(bags)
+    mean = sum(sum(b.values()) for _, b in bags) / n
+    df = Counter(t for _, b in bags for t in b)
+    out = {}
+    for q in queries:
+        wanted = set(TERM.findall(fold(dict(rows)[q])))
+        for i, b in bags:
+            if i != q and (hit := wanted & b.keys()):
+                s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in hit)
+                out.setdefault(q, []).append((-round(s, 6), i))
+    return {q: sorted(x) for q, x in out.items()}
+
+
+@pytest.mark.parametrize("shard", [1 << 24, 20000, 1500])
+def test_many_queries_are_summed_together(documents, shard):
+    """More queries than a shard takes one by one: ties, copies, equal ids, no common term, empty and null texts, one long text."""
+    rng = random.Random(shard)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    weights = [1 / (i + 1) for i in range(2000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60)))) for i in range(700)]
+    rows += [(800 + i, rows[9][1]) for i in range(60)] + [(900, "É é alone W1"), (903, ""), (906, None), (909, "nothing else")]
+    rows += [(912, " ".join(vocabulary)), (915, rows[3][1]), (918, "w1 w2 w3 " * 400)]
+    docs = documents(rows).repartition(3)
+    queries = [i for i, _ in rows if i % 3 == 0]
+    assert len(queries) > 2 * bm25_wand.MANY
+    got = {}
+    for r in search(docs, F.col("doc_id") % 3 == 0, 10, shard).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    want = scores(rows, queries)
+    assert {q: [(d, -s) for s, d in x[:10]] for q, x in want.items()} == {q: [(d, s) for _, d, s in sorted(x)] for q, x in got.items()}
+    repeated = [(5, "alpha beta"), (5, "alpha gamma"), (6, "alpha")] + [(1000 + i, f"alpha other{i}") for i in range(80)]
+    found = {}
+    for r in search(documents(repeated).coalesce(1), F.lit(True), 90).collect():
+        found.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert sorted(found[5]) == sorted(2 * [i for i, _ in repeated if i != 5])
+    assert sorted(found[6]) == sorted(i for i, _ in repeated if i != 6)
+
+
+def shard_and_queries(n, queries, seed=7):
+    """A shard of random texts as ``build`` gives it, and some of its documents as queries."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, weights, k=rng.randint(5, 80))) for _ in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(range(n), pa.int64())], ["doc_id", "text", "key"])
+    row = next(bm25_wand.build(1 << 30)([batch])).to_pylist()[0]
+    some = next(bm25_wand.query_rows([batch.slice(0, queries)])).to_pylist()
+    asked = bm25_wand.Asked(np.arange(queries), np.arange(queries), [np.frombuffer(r["terms"], "<u8") for r in some])
+    return row, asked, np.linspace(0.1, 9, len(asked.wanted))
+
+
+@pytest.mark.parametrize("small", [{}, {"STRIPE": 37, "SUMS": 500}, {"MATRIX_BYTES": 0, "PIECE": 1}, {"MATRIX_BYTES": 5000, "STRIPE": 301}, {"SHARE": 0.0}])
+def test_sums_and_single_queries_agree(monkeypatch, small):
+    import numpy as np
+
+    row, asked, idf = shard_and_queries(400, 120)
+    plain, batch = bm25_wand.Shard(row, asked.wanted, idf, 40.0), bm25_wand.Batch(row, asked.wanted, idf, 40.0)
+    for name, value in small.items():
+        monkeypatch.setattr(bm25_wand, name, value)
+    for share in (0.0, 0.9, 1.0, 1.1):
+        want = {i: plain.top(asked.slots[asked.cuts[i] : asked.cuts[i + 1]], 10, i) for i in range(120)}
+        floors = np.array([share * want[i][1][-1] for i in range(120)])
+        got = {}
+        for i, ids, s in batch.near(asked, floors, 10):
+            got.setdefault(i, []).extend(zip(-s, ids, strict=True))
+        for i in range(120):
+            best = sorted(got.get(i, []))[:10]
+            assert [x for x in best if -x[0] >= floors[i]] == [(-s, d) for d, s in zip(*want[i], strict=True) if s >= floors[i]]
+
+
+def test_a_shard_without_results_takes_few_steps():
+    """Queries whose floor nothing here reaches: no calls for each of them, or time grows as queries times shards."""
+    import sys
+
+    import numpy as np
+    import pyarrow as pa
+
+    row, asked, idf = shard_and_queries(300, 300)
+    floors = np.full(len(asked), 1e6), np.zeros(len(asked), np.int64)
+    batch = pa.RecordBatch.from_pylist([row])
+    run = bm25_wand.searcher(asked, idf, 40.0, 10, floors)
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        found = list(run([batch]))
+    finally:
+        sys.setprofile(None)
+    assert sum(b.num_rows for b in found) == 0
+    assert len(calls) < 5 * len(asked)
+
+
 def test_many_blocks_of_queries(documents, monkeypatch):
     monkeypatch.setattr(bm25_wand, "QUERY_BYTES", 64)
     rows = [(i, f"common term{i % 7} other{i % 11}") for i in range(60)]

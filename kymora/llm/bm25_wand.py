@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,7 +45,10 @@ DIGITS = 6
 SLACK = 2 * 10.0**-DIGITS  # rounding moves a score by less
 MANY = 64  # queries that a shard sums together, not one by one
 STRIPE, SUMS = 1 << 13, 1 << 20  # documents summed at once; sums held at once
-SHARE, MATRIX_BYTES, KINDS = 0.05, 1 << 25, 32
+SHARE, MATRIX_BYTES, KINDS = 0.03, 1 << 25, 64
+PRODUCT = 0.004  # time of an element of a product, with the addition of a posting as one
+#: Lengths up to which lists share a table: 0, then 1, 2, 3, 4, 6, 8, 12 and so on.
+WIDTHS = np.array([0, 1, 2, *(x << i for i in range(30) for x in (3, 4))], np.int64)
 PIECE = 1 << 18  # postings added at once
 #: Bytes that separate terms (all ASCII but letters and digits).
 GAPS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -59,10 +62,10 @@ def words() -> Words:
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count), sorted by term, then document."""
     _, doc, _, _, (h,) = words()(column)
-    mixed = splitmix(h ^ splitmix(doc.astype(U64)))
-    _, at, count = np.unique(mixed, return_index=True, return_counts=True)
-    order = np.lexsort((doc[at], h[at]))
-    return doc[at][order], h[at][order], count[order]
+    order = np.argsort(h, kind="stable")  # words come by document
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
 
 
 def level(data: list[bytes]) -> int:
@@ -82,7 +85,7 @@ def build(shard_bytes: int):
 
         def shard() -> pa.RecordBatch:
             doc, term, count = (np.concatenate(x) for x in zip(*postings, strict=True))
-            order = np.lexsort((doc, term))
+            order = np.argsort(term, kind="stable")  # each slice is sorted, and later slices have later documents
             doc, term, count = doc[order], term[order], count[order]
             length = np.bincount(doc, weights=count, minlength=rows).astype(np.int64)
             first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
@@ -217,9 +220,10 @@ class Shard(Postings):
 class Stripe:
     """For many queries at once: sums over a stretch of the documents of a shard, in single precision.
 
-    Terms in a share of SHARE of the documents are rows of a matrix, as far as it has
-    room.  The lists of the other terms stand in tables by length, filled up to a power
-    of two with impacts of zero.
+    The lists of the terms stand in tables by length, filled up to the width of the
+    table with impacts of zero.  Terms in a share of SHARE of the documents are rows of a
+    matrix too, as far as it has room; of these the product takes the ones that so many
+    of the queries ask for that their lists would cost more.
     """
 
     def __init__(self, postings: Postings, low: int, high: int) -> None:
@@ -234,42 +238,49 @@ class Stripe:
         order = np.argsort(-count, kind="stable")
         rows = order[: MATRIX_BYTES // (4 * self.docs)]
         rows = rows[count[rows] >= SHARE * self.docs]
-        place = np.zeros(len(first), np.int32)
-        kind = np.frexp(count - 1)[1] + 1  # 0 is the matrix, above it a list of at most 2 ** (kind - 1) postings
-        place[rows], kind[rows] = np.arange(len(rows)), 0
         self.matrix = np.zeros((len(rows), self.docs), np.float32)
         at = ragged(first[rows], count[rows])
         self.matrix[np.repeat(np.arange(len(rows)), count[rows]), doc[at]] = impact[at]
-        self.lists = []
-        for one in np.unique(kind[kind > 0]).tolist():
-            mine = np.flatnonzero(kind == one)
-            place[mine] = np.arange(len(mine))
-            to = ragged(np.arange(len(mine)) << (one - 1), count[mine])
-            at = ragged(first[mine], count[mine])
-            docs, impacts = np.zeros(len(mine) << (one - 1), np.int64), np.zeros(len(mine) << (one - 1), np.float32)
-            docs[to], impacts[to] = doc[at], impact[at]
-            self.lists.append((one, docs.reshape(len(mine), -1), impacts.reshape(len(mine), -1)))
-        self.code = np.full(postings.wanted, -1, np.int32)
+        kind = np.searchsorted(WIDTHS, count).astype(np.int32)  # a list of at most WIDTHS[kind] postings
+        by = np.argsort(kind, kind="stable")
+        many, widths = np.bincount(kind, minlength=1).tolist(), WIDTHS.tolist()
+        room = WIDTHS[kind[by]]
+        to, at = ragged(np.cumsum(room) - room, count[by]), ragged(first[by], count[by])
+        docs, impacts = np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.float32)
+        docs[to], impacts[to] = doc[at], impact[at]
+        place = np.zeros(len(first), np.int32)
+        self.lists, terms, start = [], 0, 0
+        for one, n in enumerate(many):
+            if n:
+                place[by[terms : terms + n]] = np.arange(n)
+                end = start + n * widths[one]
+                self.lists.append((one, docs[start:end].reshape(n, -1), impacts[start:end].reshape(n, -1)))
+                terms, start = terms + n, end
+        self.code, self.row = np.full((2, postings.wanted), -1, np.int32)
         self.code[slot[first]] = place * KINDS + kind
+        self.row[slot[first[rows]]] = np.arange(len(rows))
+        self.worth = PRODUCT / np.maximum(count[rows], 1) * self.docs  # queries in one that make a row worth its product
 
     def sums(self, query: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
         """Of ``n`` queries (rows) and all documents (columns), from the pairs of query and term."""
         code = self.code[slot]
         here = np.flatnonzero(code >= 0)
-        code, query = code[here], query[here]
-        place, kind = np.divmod(code, KINDS)
-        asked = np.zeros((n, len(self.matrix)), np.float32)
-        row = np.flatnonzero(kind == 0)
-        asked[query[row], place[row]] = 1
-        out = asked @ self.matrix
+        code, query, row = code[here], query[here], self.row[slot[here]]
+        taken = np.append(np.bincount(row[row >= 0], minlength=len(self.matrix)) >= n * self.worth, False)
+        column = np.append(np.cumsum(taken[:-1]) - 1, 0)
+        by_product = taken[row]
+        asked = np.zeros((n, np.count_nonzero(taken)), np.float32)
+        asked[query[by_product], column[row[by_product]]] = 1
+        out = asked @ self.matrix[taken[:-1]]
         flat = out.reshape(-1)
+        code, query = code[~by_product], query[~by_product]
+        place, kind = code // KINDS, code % KINDS
         for one, docs, impacts in self.lists:
             pairs = np.flatnonzero(kind == one)
-            step = max(1, PIECE >> (one - 1))
+            step = max(1, PIECE // docs.shape[1])
             for s in range(0, len(pairs), step):
                 p = pairs[s : s + step]
-                to = docs[place[p]]
-                to += (query[p] * self.docs)[:, None]
+                to = np.add(docs[place[p]], (query[p] * self.docs)[:, None], dtype=np.int64)
                 np.add.at(flat, to.reshape(-1), impacts[place[p]].reshape(-1))
         return out
 
@@ -355,6 +366,22 @@ class Asked:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def groups(self, groups: int = 8, terms: int = 256) -> np.ndarray:
+        """A number for each query; those with one share many of their frequent terms, as texts of a language do."""
+        often = np.argsort(-np.bincount(self.slots, minlength=len(self.wanted)), kind="stable")[:terms]
+        column = np.full(len(self.wanted), -1)
+        column[often] = np.arange(len(often))
+        at = column[self.slots]
+        has = np.zeros((len(self), len(often)), np.float32)
+        has[np.repeat(np.arange(len(self)), np.diff(self.cuts))[at >= 0], at[at >= 0]] = 1
+        has /= np.maximum(np.sqrt(has.sum(1, keepdims=True)), 1)
+        centres = has[np.linspace(0, len(self) - 1, groups).astype(int)]
+        for _ in range(10):
+            number = np.argmax(has @ centres.T, axis=1)
+            centres = (number == np.arange(groups)[:, None]).astype(np.float32) @ has
+            centres /= np.maximum(np.sqrt((centres**2).sum(1, keepdims=True)), 1e-9)
+        return number
+
 
 def searcher(asked: Asked, idf: np.ndarray, mean: float, k: int, floors: Floors):
     """Arrow map: the best of all shards of a task for each query, as far as they come before the query's floor (score, doc_id)."""
@@ -423,16 +450,25 @@ def search(docs: DataFrame, asked: Column, k: int = 10, shard_bytes: int = SHARD
         block = queries.filter(F.pmod("key", F.lit(parts)) == part).orderBy("query_id", "key").collect()
         if not block:
             continue
-        ids, keys = (np.array([r[c] for r in block], np.int64) for c in ("query_id", "key"))
-        asked = Asked(ids, keys, [np.frombuffer(r["terms"], "<u8") for r in block])
+        asked = grouped(block)
+        del block
         n = np.zeros(len(asked.wanted))
-        counted = index.select("terms", "offsets").mapInArrow(frequencies(asked.wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        few = 2 * spark.sparkContext.defaultParallelism
+        counted = index.select("terms", "offsets").coalesce(few).mapInArrow(frequencies(asked.wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         n[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
         out = out.union(through_levels(index, levels, asked, idf, stats[1] / stats[0], k))
     return best(out, k).select("query_id", "rank", "doc_id", "score")
 
 
+def grouped(block: list[Row]) -> Asked:
+    """Queries that are alike next to each other."""
+    ids, keys = (np.array([r[c] for r in block], np.int64) for c in ("query_id", "key"))
+    terms = [np.frombuffer(r["terms"], "<u8") for r in block]
+    order = np.argsort(Asked(ids, keys, terms).groups(), kind="stable")
+    return Asked(ids[order], keys[order], [terms[i] for i in order])
+
+
 FOUND = "query_id bigint, key bigint, doc_id bigint, score double"
 
 
@@ -442,7 +478,8 @@ def through_levels(index: DataFrame, levels: list[int], asked: Asked, idf: np.nd
     floors = np.zeros(len(asked)), np.full(len(asked), np.iinfo(np.int64).max)
     tops = index.sparkSession.createDataFrame([], FOUND)
     for one in levels:
-        found = index.filter(F.col("level") == one).mapInArrow(searcher(asked, idf, mean, k, floors), FOUND)
+        shards = index.filter(F.col("level") == one).coalesce(8 * index.sparkSession.sparkContext.defaultParallelism)
+        found = shards.mapInArrow(searcher(asked, idf, mean, k, floors), FOUND)
         tops = stored(best(tops.union(found), k), "tops")
         if one != levels[-1]:
             last = tops.filter(F.col("rank") == k).toArrow()

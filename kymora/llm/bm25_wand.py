@@ -26,13 +26,14 @@ also carries the best of a query from shard to shard.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -453,14 +454,29 @@ def search(docs: DataFrame, asked: Column, k: int = 10, shard_bytes: int = SHARD
         asked = grouped(block)
         del block
         n = np.zeros(len(asked.wanted))
-        few = 2 * spark.sparkContext.defaultParallelism
-        counted = index.select("terms", "offsets").coalesce(few).mapInArrow(frequencies(asked.wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        give_back()
+        shards = index.select("terms", "offsets").coalesce(2 * spark.sparkContext.defaultParallelism)
+        with one_row_batches(spark):
+            counted = stored(shards.mapInArrow(frequencies(asked.wanted), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+        counted = counted.toArrow()
         n[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
         idf = np.log(1 + (stats[0] - n + 0.5) / (n + 0.5))
         out = out.union(through_levels(index, levels, asked, idf, stats[1] / stats[0], k))
     return best(out, k).select("query_id", "rank", "doc_id", "score")
 
 
+@contextlib.contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """A row is a whole shard: a task that reads many holds one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def grouped(block: list[Row]) -> Asked:
     """Queries that are alike next to each other."""
     ids, keys = (np.array([r[c] for r in block], np.int64) for c in ("query_id", "key"))
@@ -480,7 +496,8 @@ def through_levels(index: DataFrame, levels: list[int], asked: Asked, idf: np.nd
     for one in levels:
         shards = index.filter(F.col("level") == one).coalesce(8 * index.sparkSession.sparkContext.defaultParallelism)
         found = shards.mapInArrow(searcher(asked, idf, mean, k, floors), FOUND)
-        tops = stored(best(tops.union(found), k), "tops")
+        with one_row_batches(index.sparkSession):
+            tops = stored(best(tops.union(found), k), "tops")
         if one != levels[-1]:
             last = tops.filter(F.col("rank") == k).toArrow()
             at = [place[q] for q in zip(last.column("query_id").to_pylist(), last.column("key").to_pylist(), strict=True)]

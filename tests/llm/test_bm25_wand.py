@@ -203,6 +203,19 @@ def test_a_shard_without_results_takes_few_steps():
     assert len(calls) < 5 * len(asked)
 
 
+def test_a_task_holds_one_shard_at_a_time(documents, monkeypatch):
+    """Many shards in a task, and the session's batch size as it was afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = []
+    plain = bm25_wand.stored
+    monkeypatch.setattr(bm25_wand, "stored", lambda df, kind: sizes.append((kind, df.sparkSession.conf.get(name))) or plain(df, kind))
+    docs = documents([(i, f"common term{i % 7} other{i}") for i in range(300)]).coalesce(1)
+    before = docs.sparkSession.conf.get(name)
+    assert search(docs, F.col("doc_id") % 3 == 0, 10, 1000).count() == 1000
+    assert {k: n for k, n in sizes if k != "queries"} == {"frequencies": "1", "tops": "1"}
+    assert docs.sparkSession.conf.get(name) in (before, "2000") and dict(sizes)["queries"] != "1"
+
+
 def test_many_blocks_of_queries(documents, monkeypatch):
     monkeypatch.setattr(bm25_wand, "QUERY_BYTES", 64)
     rows = [(i, f"common term{i % 7} other{i % 11}") for i in range(60)]
